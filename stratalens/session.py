@@ -43,3 +43,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+SMALL_ROWS = 100_000
+
+
+def hold(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
+    """Keep a result that later steps read several times.
+
+    Tables proven to have at most ``bound`` rows become local relations, which costs no
+    file and lets the optimizer see their size. Anything larger is checkpointed.
+    """
+    found = df.limit(bound + 1).toArrow()
+    if found.num_rows > bound:
+        return cut_lineage(df)
+    return df.sparkSession.createDataFrame(found, df.schema)
