@@ -1 +1,8 @@
 """Exploration of wide numeric tables on Spark: scaling, density trees, projections, range explanations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code along, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
