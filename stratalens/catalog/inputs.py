@@ -76,3 +76,37 @@ def order_membership(rows: DataFrame) -> DataFrame:
         F.when((F.col("c1") >= 0) & (F.col("c2") >= 0), second),
     )
     return rows.select(F.explode(F.array_compact(paths)).alias("node_id"), "row_id")
+
+
+# Letters whose share separates the languages of the documents.
+LETTERS = ["h", "é", "u", "z", "o", "w"]
+LETTER_COLUMNS = [f"letter_{i}" for i in range(len(LETTERS))]
+
+
+def _letter_sql(letter: str) -> str:
+    return f"(length(text) - length(replace(text, '{letter}', ''))) * 100.0::double / length(text)"
+
+
+LETTER_SQL = (
+    "letters as (select doc_id as row_id, lang, source, n_chars, "
+    + ", ".join(f"{_letter_sql(x)} as {c}" for x, c in zip(LETTERS, LETTER_COLUMNS))
+    + ", ["
+    + ", ".join(_letter_sql(x) for x in LETTERS)
+    + "] as v from documents)"
+)
+
+
+def letter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, lang, source, n_chars, letter shares per hundred characters) of every document."""
+    d = table(spark, sf_dir, "documents")
+    size = F.length("text")
+    share = lambda x: (size - F.length(F.replace(F.col("text"), F.lit(x), F.lit("")))) * F.lit(100.0) / size
+    return d.select(
+        F.col("doc_id").alias("row_id"), "lang", "source", "n_chars", *[share(x).alias(c) for x, c in zip(LETTERS, LETTER_COLUMNS)]
+    )
+
+
+def letter_points(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The same as points of one node, in shares per hundred characters."""
+    rows = letter_rows(spark, sf_dir)
+    return rows.select(F.lit("root").alias("node_id"), "row_id", F.array(*LETTER_COLUMNS).alias("features"), *more)

@@ -357,3 +357,70 @@ def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, block_ro
     scored = both.select(NODE, "row_id", "selected", score.alias("outlier_score"))
     labels = _with_labels(rows, scored.where(F.col("selected").isNotNull()), "selected")
     return labels.join(scored.select(NODE, "row_id", "outlier_score"), [NODE, "row_id"], "left")
+
+
+# ---- validity -----------------------------------------------------------------------------
+
+
+def density_validity(points: DataFrame, label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(node_id, dbcv, status, n_clusters): density-based validity after Moulavi et al. (2014).
+
+    Clusters of one row count as noise. With fewer than two clusters there is no score and
+    the status says how many there were. Each cluster is a node of its own while its inner
+    distances are needed; between clusters only the least distance per pair is kept.
+    """
+    named = points.select(NODE, "row_id", "features", F.col(label).cast("int").alias("label"))
+    total = named.groupBy(NODE).agg(F.count("*").alias("n_all"))
+    sizes = named.where(F.col("label") >= 0).groupBy(NODE, "label").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
+    kept = named.join(sizes, [NODE, "label"]).withColumn("whole", F.col(NODE))
+    inner = kept.select(F.concat_ws("|", "whole", F.col("label").cast("string")).alias(NODE), "row_id", "features", "whole", "label", "n")
+
+    def closeness(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        x, y = matrix(q["features"]), matrix(s["features"])
+        with np.errstate(divide="ignore"):
+            power = -x.shape[1] * np.log(distances(x, y))
+        power[q["row_id"].to_numpy()[:, None] == s["row_id"].to_numpy()[None, :]] = -np.inf
+        top = power.max(axis=1)
+        base = np.where(np.isfinite(top), top, 0.0)
+        rest = np.where(np.isposinf(top), 1.0, np.exp(np.where(np.isposinf(power), 0.0, power) - base[:, None]).sum(axis=1))
+        return pd.DataFrame({"node_id": q[NODE], "row_id": q["row_id"], "top": np.where(np.isneginf(top), -1e308, np.where(np.isposinf(top), 1e308, top)), "rest": rest})
+
+    rows = inner.select(NODE, "row_id", "features")
+    parts, _ = block_join(rows, rows, closeness, "node_id string, row_id bigint, top double, rest double", "features", None, block_rows)
+    peak = parts.groupBy(NODE, "row_id").agg(F.max("top").alias("peak"))
+    summed = parts.join(peak, [NODE, "row_id"]).groupBy(NODE, "row_id").agg(F.max("peak").alias("peak"), F.sum(F.col("rest") * F.exp(F.col("top") - F.col("peak"))).alias("mass"))
+    dims = F.size("features").cast("double")
+    core = F.when(F.col("peak") >= 1e308, 0.0).otherwise(F.exp(-(F.col("peak") + F.log("mass") - F.log(F.col("n") - 1.0)) / dims))
+    cored = hold(inner.join(summed, [NODE, "row_id"]).select(NODE, "row_id", "features", "whole", "label", "n", core.alias("core")))
+
+    tree = mutual_spanning_tree(cored, 0, block_rows, apart="core")
+    ends = tree.select(NODE, F.col("a").alias("row_id")).unionByName(tree.select(NODE, F.col("b").alias("row_id")))
+    degree = hold(ends.groupBy(NODE, "row_id").agg(F.count("*").alias("degree")))
+    deg = lambda c: degree.select(NODE, F.col("row_id").alias(c), F.col("degree").alias(f"d_{c}"))
+    marked = tree.join(deg("a"), [NODE, "a"]).join(deg("b"), [NODE, "b"])
+    inside = (F.col("d_a") > 1) & (F.col("d_b") > 1)
+    sparse = marked.groupBy(NODE).agg(F.coalesce(F.max(F.when(inside, F.col("w"))), F.max("w")).alias("sparseness"))
+    tops = degree.groupBy(NODE).agg(F.max("degree").alias("top"))
+    hubs = degree.join(tops, NODE).where((F.col("degree") > 1) | (F.col("top") == 1)).select(NODE, "row_id")
+    core_rows = hold(cored.join(hubs, [NODE, "row_id"]).select(F.col("whole").alias(NODE), "row_id", "features", "label", "core"))
+
+    def between(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        w = np.maximum(distances(matrix(q["features"]), matrix(s["features"])), np.maximum(q["core"].to_numpy()[:, None], s["core"].to_numpy()[None, :]))
+        ql, sl = q["label"].to_numpy(), s["label"].to_numpy()
+        found = [(a, w[np.ix_(ql == a, (sl != a))].min()) for a in np.unique(ql) if (sl != a).any()]
+        return pd.DataFrame({"node_id": [q[NODE].iloc[0]] * len(found), "label": [a for a, _ in found], "apart": [v for _, v in found]})
+
+    gaps, _ = block_join(core_rows, core_rows, between, "node_id string, label int, apart double", "features", None, block_rows)
+    apart = gaps.groupBy(NODE, "label").agg(F.min("apart").alias("separation"))
+    keyed = sparse.select(F.split(NODE, "\\|")[0].alias(NODE), F.split(NODE, "\\|")[1].cast("int").alias("label"), "sparseness")
+    widest = F.greatest("separation", "sparseness")
+    value = F.when(widest > 0, (F.col("separation") - F.col("sparseness")) / widest).otherwise(0.0)
+    scored = sizes.join(keyed, [NODE, "label"]).join(apart, [NODE, "label"]).withColumn("v", value)
+    per = scored.groupBy(NODE).agg(F.sum(F.col("v") * F.col("n")).alias("s"))
+    counts = sizes.groupBy(NODE).agg(F.count("*").alias("n_clusters"))
+    out = total.join(counts, NODE, "left").join(per, NODE, "left").withColumn("n_clusters", F.coalesce("n_clusters", F.lit(0)))
+    enough = F.col("n_clusters") >= 2
+    return out.select(
+        NODE, F.when(enough, F.col("s") / F.col("n_all")).alias("dbcv"),
+        F.when(enough, "ok").otherwise(F.concat(F.lit("degenerate:"), F.col("n_clusters").cast("string"), F.lit("_clusters"))).alias("status"), "n_clusters",
+    )
