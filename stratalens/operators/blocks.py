@@ -62,6 +62,22 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows[place < k], cols[place < k]
 
 
+_DTYPES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "object"}
+
+
+def _guarded(fn, schema: str):
+    """``fn`` on blocks with rows on both sides; a chunk may be empty on one. Text columns leave as plain lists."""
+    columns = dict(part.strip().split(" ", 1) for part in schema.split(","))
+
+    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(s):
+            return pd.DataFrame({c: pd.Series(dtype=_DTYPES[t]) for c, t in columns.items()})
+        out = fn(q.reset_index(drop=True), s.reset_index(drop=True))
+        return pd.DataFrame({c: pd.Series(np.asarray(out[c], dtype=_DTYPES[t])) for c, t in columns.items()})
+
+    return run
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """The same rows under new column identities, so that both sides of a cogroup may share a source."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -145,6 +161,7 @@ def block_join(
     symmetric work on one table.
     """
     same = queries is candidates
+    fn = _guarded(fn, schema)
     nq = queries.groupBy(NODE).agg(F.count("*").alias("nq"))
     sizes = nq.withColumn("ns", F.col("nq")) if same else nq.join(candidates.groupBy(NODE).agg(F.count("*").alias("ns")), NODE)
     sizes = hold(sizes)

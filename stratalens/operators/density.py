@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import hold
 from .blocks import BLOCK_ROWS, NODE, Reach, block_join, distances, matrix
-from .graphs import components, spanning_edges
+from .graphs import components, relabel, spanning_edges, to_roots
 from .neighbours import knn
 
 # The row itself is not counted among its min_samples neighbours.
@@ -106,18 +106,27 @@ def core_distances(points: DataFrame, min_samples: int, block_rows: int = BLOCK_
     return lists.groupBy(NODE, "row_id").agg(F.max("dist").alias("core"))
 
 
-def _local_tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning tree of one block's dense weights, grown vertex by vertex."""
+def _local_tree(weight: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning tree of one block's dense weights, grown vertex by vertex.
+
+    Equal weights are ordered by the ids of their ends, here and in the joins that merge
+    blocks, so there is one tree however the rows are cut.
+    """
     n = len(weight)
     best, source, left = weight[0].copy(), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
+    low, high = np.minimum(ids[0], ids), np.maximum(ids[0], ids)
     left[0] = False
     a, b, w = np.empty(n - 1, int), np.empty(n - 1, int), np.empty(n - 1)
     for step in range(n - 1):
-        at = int(np.where(left, best, np.inf).argmin())
+        open_best = np.where(left, best, np.inf)
+        tied = np.nonzero((open_best == open_best.min()) & left)[0]
+        at = tied[np.lexsort((high[tied], low[tied]))[0]] if len(tied) > 1 else tied[0]
         a[step], b[step], w[step] = source[at], at, best[at]
         left[at] = False
-        closer = left & (weight[at] < best)
-        best[closer], source[closer] = weight[at][closer], at
+        lo, hi = np.minimum(ids[at], ids), np.maximum(ids[at], ids)
+        earlier = (lo < low) | ((lo == low) & (hi < high))
+        closer = left & ((weight[at] < best) | ((weight[at] == best) & earlier))
+        best[closer], source[closer], low[closer], high[closer] = weight[at][closer], at, lo[closer], hi[closer]
     return a, b, w
 
 
@@ -147,7 +156,7 @@ def mutual_spanning_tree(points: DataFrame, min_samples: int, block_rows: int =
             dense = np.full((len(ids), len(ids)), np.inf)
             dense[: len(q), len(q) :] = weight
             dense[len(q) :, : len(q)] = weight.T
-        a, b, w = _local_tree(dense)
+        a, b, w = _local_tree(dense, ids)
         keep = np.isfinite(w)
         x, y = ids[a[keep]], ids[b[keep]]
         return pd.DataFrame({"node_id": q[NODE].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "w": w[keep]})
@@ -160,49 +169,67 @@ def mutual_spanning_tree(points: DataFrame, min_samples: int, block_rows: int =
 def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """((node_id, row_id, seed, w), (node_id, x, y, w)): when each row joins a group of ``least`` rows.
 
-    Seen from below, a row's group grows by its lightest edge. Small groups that choose each
-    other merge; small groups whose lightest edge leads, directly or through other small
-    groups, to a grown one join it at the weight of their own edge. What is left are the
-    edges between grown groups, at most rows / ``least`` of them. Rounds are limited by
-    ``least``, since every small group still waiting has grown or been taken up.
+    A small group leaves by its lightest edge, so these choices form trees whose weights
+    fall towards the root. A tree rooted in a grown group is taken up by it, each group at
+    the weight of its own edge. A tree rooted in two small groups that chose each other
+    grows in the order of its weights: if it reaches ``least`` rows before the lightest edge
+    out of the tree, a group is born there; otherwise everything lighter than that edge is
+    one small group for the next round. Trees at least halve, so rounds are logarithmic. What
+    is left are the edges between grown groups, at most one per ``least`` rows.
     """
-    edges = hold(tree.select(NODE, F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b", F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
+    edges = hold(tree.select(NODE, F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("w", "a", "b").alias("e"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
     waiting = rows.select(NODE, "row_id", F.col("row_id").alias("c"))
     joined = None
     while True:
-        out = edges.select(NODE, F.col("ca").alias("c"), F.col("na").alias("n"), F.struct("w", "a", "b", F.col("cb").alias("to"), F.col("nb").alias("n_to")).alias("e")).unionByName(
-            edges.select(NODE, F.col("cb").alias("c"), F.col("nb").alias("n"), F.struct("w", "a", "b", F.col("ca").alias("to"), F.col("na").alias("n_to")).alias("e"))
+        out = edges.select(NODE, F.col("ca").alias("c"), F.col("na").alias("n"), F.struct("e", F.col("cb").alias("to"), F.col("nb").alias("n_to")).alias("x")).unionByName(
+            edges.select(NODE, F.col("cb").alias("c"), F.col("nb").alias("n"), F.struct("e", F.col("ca").alias("to"), F.col("na").alias("n_to")).alias("x"))
         )
-        best = out.where(F.col("n") < least).groupBy(NODE, "c").agg(F.max("n").alias("n"), F.min("e").alias("e"))
-        best = hold(best.select(NODE, "c", "n", "e.w", "e.a", "e.b", "e.to", "e.n_to"))
+        best = out.where(F.col("n") < least).groupBy(NODE, "c").agg(F.max("n").alias("n"), F.min("x").alias("x"))
+        best = hold(best.select(NODE, "c", "n", "x.e", "x.to", "x.n_to"))
         if not best.limit(1).count():
             break
-        ways = best.select(NODE, "c", "w", "to", (F.col("n_to") >= least).alias("grown"))
-        for _ in range(2):
-            further = ways.select(NODE, F.col("c").alias("to"), F.col("to").alias("to2"), F.col("grown").alias("grown2"))
-            ways = ways.join(further, [NODE, "to"], "left").select(
-                NODE, "c", "w", F.when(F.col("grown"), F.col("to")).otherwise(F.coalesce("to2", "to")).alias("to"), (F.col("grown") | F.coalesce("grown2", F.lit(False))).alias("grown")
-            )
-        taken = ways.where("grown").select(NODE, "c", F.col("to").alias("p"), F.lit(least).cast("bigint").alias("n"), "w")
-        back = best.select(NODE, F.col("c").alias("to"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        mutual = best.join(back, [NODE, "to"]).where((F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
-        merged = mutual.select(NODE, "c", F.least("c", "to").alias("p"), (F.col("n") + F.col("n_to")).alias("n"), "w")
-        fate = hold(taken.unionByName(merged))
-        side = lambda c, n: fate.select(NODE, F.col("c").alias(c), F.col("p").alias(f"p_{c}"), F.col("n").alias(f"n_{c}"))
-        moved = edges.join(side("ca", "na"), [NODE, "ca"], "left").join(side("cb", "nb"), [NODE, "cb"], "left")
-        moved = moved.select(
-            NODE, F.coalesce("p_ca", "ca").alias("ca"), F.coalesce("p_cb", "cb").alias("cb"), "w", "a", "b",
+        back = best.select(NODE, F.col("c").alias("to"), F.col("e").alias("e2"))
+        aimed = best.join(back, [NODE, "to"], "left").withColumn("mutual", F.coalesce(F.col("e") == F.col("e2"), F.lit(False)))
+        roots = to_roots(aimed.select(NODE, "c", F.when(F.col("mutual") & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p")))
+        small = roots.where(F.col("c") == F.col("p")).select(NODE, "p", F.lit(True).alias("small"))
+        member = hold(best.select(NODE, "c", "n", "e").join(roots, [NODE, "c"]).join(small, [NODE, "p"], "left").withColumn("small", F.coalesce("small", F.lit(False))))
+
+        # The lightest edge out of every tree.
+        here = relabel(edges.select(NODE, "ca", "cb", "e"), roots, "ca", "cb").where(F.col("ca") != F.col("cb"))
+        exits = here.select(NODE, F.col("ca").alias("p"), "e").unionByName(here.select(NODE, F.col("cb").alias("p"), "e")).groupBy(NODE, "p").agg(F.min("e").alias("exit"))
+        # Where a tree reaches the size: its lightest ``least`` groups are enough to tell.
+        key = F.when(F.col("c") != F.col("p"), F.col("e"))
+        order = Window.partitionBy(NODE, "p").orderBy(F.col("key").asc_nulls_first())
+        listed = member.where("small").withColumn("key", key)
+        first = listed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= least)
+        born = first.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") >= least).groupBy(NODE, "p").agg(F.min("key").alias("born"))
+        judged = listed.join(exits, [NODE, "p"], "left").join(born, [NODE, "p"], "left")
+        alive = F.col("born").isNotNull() & (F.col("exit").isNull() | (F.col("born") < F.col("exit")))
+        early = F.col("key").isNull() | (F.col("key") <= F.col("born"))
+        lighter = F.col("key").isNull() | F.col("exit").isNull() | (F.col("key") < F.col("exit"))
+        grown = judged.where(alive).select(NODE, "c", "p", F.lit(least).cast("bigint").alias("n"), F.when(early, F.col("born.w")).otherwise(F.col("key.w")).alias("w"))
+        merged = (
+            judged.where(~F.coalesce(alive, F.lit(False)) & lighter)
+            .withColumn("n", F.sum("n").over(Window.partitionBy(NODE, "p")))
+            .select(NODE, "c", "p", "n", F.lit(None).cast("double").alias("w"))
+        )
+        taken = member.where("not small").select(NODE, "c", "p", F.lit(least).cast("bigint").alias("n"), F.col("e.w").alias("w"))
+        fate = hold(taken.unionByName(grown).unionByName(merged))
+
+        side = lambda c: fate.select(NODE, F.col("c").alias(c), F.col("p").alias(f"p_{c}"), F.col("n").alias(f"n_{c}"))
+        moved = edges.join(side("ca"), [NODE, "ca"], "left").join(side("cb"), [NODE, "cb"], "left").select(
+            NODE, F.coalesce("p_ca", "ca").alias("ca"), F.coalesce("p_cb", "cb").alias("cb"), "e",
             F.coalesce("n_ca", "na").alias("na"), F.coalesce("n_cb", "nb").alias("nb"),
         )
         edges = hold(moved.where(F.col("ca") != F.col("cb")))
-        stepped = waiting.join(fate.select(NODE, "c", "p", "n", "w"), [NODE, "c"], "left")
+        stepped = waiting.join(fate, [NODE, "c"], "left")
         stepped = hold(stepped.select(NODE, "row_id", F.coalesce("p", "c").alias("c"), (F.coalesce("n", F.lit(0)) >= least).alias("in"), "w"))
         done = stepped.where("in").select(NODE, "row_id", F.col("c").alias("seed"), "w")
         joined = done if joined is None else joined.unionByName(done)
         waiting = stepped.where(~F.col("in")).select(NODE, "row_id", "c")
     if joined is None:
         joined = rows.select(NODE, "row_id", F.col("row_id").alias("seed"), F.lit(0.0).alias("w")).limit(0)
-    return hold(joined), edges.select(NODE, F.col("ca").alias("x"), F.col("cb").alias("y"), "w", "a", "b")
+    return hold(joined), edges.select(NODE, F.col("ca").alias("x"), F.col("cb").alias("y"), "e.w", "e.a", "e.b")
 
 
 _CLUSTER_SCHEMA = "node_id string, cluster bigint, parent bigint, w_end double"
