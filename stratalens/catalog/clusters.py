@@ -1 +1,224 @@
-"""Registered queries."""
+"""Clustering, projections and whole analyses. Documents as points of letter shares fall into
+their languages; lineitem gives two-column projections whose axes have a closed form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..operators import characteristics as CH
+from ..operators import clustering as C
+from ..operators import density as D
+from ..operators import faithfulness as FA
+from ..operators import projection as PR
+from ..operators import trees as TR
+from ..plans import analyse as A
+from ..plans import sweep as SW
+from ..session import hold, shared_dir
+from ..sources.runs import RunStore
+from . import query
+from .inputs import LETTER_COLUMNS, LETTER_SQL, LETTERS, letter_points, letter_rows, lines, rounded, vectors
+
+DIMS = len(LETTERS)
+TREE = Config.of(hierarchical_layers=2, hclust_min_cluster_size=25, hclust_min_samples=5, hclust_umap_n_components=0)
+
+
+def label_sizes(labels):
+    return labels.groupBy("node_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("k1_kmeans")
+def k1(spark, sf):
+    return C.kmeans(letter_points(spark, sf), 4).select("row_id", "label")
+
+
+@query("k2_gaussian_mixture")
+def k2(spark, sf):
+    return C.gaussian_mixture(letter_points(spark, sf), 4).select("row_id", "label")
+
+
+@query(
+    "k3_dbscan",
+    f"""with recursive {LETTER_SQL},
+        near as materialized (select a.row_id as i, b.row_id as j from letters a join letters b on list_distance(a.v, b.v) <= 1.0),
+        core as materialized (select i from near group by i having count(*) >= 10),
+        links as materialized (select n.i, n.j from near n join core a on n.i = a.i join core b on n.j = b.i),
+        reach(i, root) as (select i, i from core union select l.j, r.root from reach r join links l on l.i = r.i and r.root < l.j),
+        comp as (select i, min(root) as c from reach group by 1),
+        num as (select c, cast(row_number() over (order by c) - 1 as int) as label from (select distinct c from comp)),
+        cl as (select i, label from comp join num using (c)),
+        edge as (select n.i, min(label) as label from near n join cl on cl.i = n.j where n.i not in (select i from core) group by 1)
+        select row_id, coalesce(cl.label, edge.label, -1) as label from letters left join cl on cl.i = row_id left join edge on edge.i = row_id""",
+)
+def k3(spark, sf):
+    return D.dbscan(letter_points(spark, sf), 1.0, 10).select("row_id", "label")
+
+
+@query("k4_hdbscan")
+def k4(spark, sf):
+    return D.hdbscan(letter_points(spark, sf), 25, 5).select("row_id", "label")
+
+
+@query("k5_outlier_scores")
+def k5(spark, sf):
+    return rounded(D.hdbscan(letter_points(spark, sf), 25, 5).select("row_id", "outlier_score"))
+
+
+def stored(spark, sf):
+    """The document tree, built once per data folder and read back by the queries on it."""
+    store = RunStore(spark, shared_dir(spark).rstrip("/") + "/stratalens-runs")
+    return A.analyse_stored(store, sf, letter_rows(spark, sf).drop("lang", "source"), LETTER_COLUMNS, TREE, ["n_chars"])[0]
+
+
+@query("k6_build_tree")
+def k6(spark, sf):
+    return rounded(stored(spark, sf)["nodes"].drop("explained_variance"))
+
+
+@query("k6_membership")
+def k6m(spark, sf):
+    return stored(spark, sf)["membership"]
+
+
+@query("k6_characteristics")
+def k6c(spark, sf):
+    return rounded(stored(spark, sf)["characteristics"])
+
+
+@query("k6_scores")
+def k6s(spark, sf):
+    return rounded(stored(spark, sf)["scores"])
+
+
+@query("k6_outliers")
+def k6o(spark, sf):
+    return rounded(stored(spark, sf)["outliers"])
+
+
+@query("k7_pre_reduction")
+def k7(spark, sf):
+    p = hold(letter_points(spark, sf))
+    space, dims = A.clustering_space(p, DIMS, p.count(), Config.of(hclust_umap_n_components=3))
+    return rounded(space.select("row_id", *[F.col("features")[i].alias(f"c{i}") for i in range(dims)]))
+
+
+@query("k8_sibling_layout")
+def k8(spark, sf):
+    v = vectors(spark, sf).select(F.lit("root").alias("node_id"), F.col("label").alias("cluster"), "features")
+    return rounded(PR.sibling_layout(CH.centroids(v, "features", 64, ["node_id", "cluster"])))
+
+
+@query("k12_cluster_within_groups")
+def k12(spark, sf):
+    config = Config.of(hclust_min_cluster_size=10, hclust_min_samples=5)
+    return C.cluster_within_groups(letter_points(spark, sf, "lang"), "lang", config)
+
+
+@query("k13_reduce_then_cluster")
+def k13(spark, sf):
+    config = Config.of(method="PCA", cluster_method="DBSCAN", dbscan_eps=0.5, hclust_min_samples=10)
+    return SW.reduce_then_cluster(letter_points(spark, sf), DIMS, config).select("row_id", "label")
+
+
+# Two columns: the covariance matrix [[p, q], [q, r]] has its first axis along (q, l - p).
+@query(
+    "e1_two_column_axes",
+    """with m as (select l_returnflag as node_id, avg(l_quantity) as mx, avg(y) as my, var_samp(l_quantity) as p, covar_samp(l_quantity, y) as q, var_samp(y) as r
+          from (select *, l_extendedprice / 2000 as y from lineitem) group by 1),
+        e as (select *, (p + r) / 2 + sqrt(((p - r) / 2) ** 2 + q * q) as l from m),
+        a as (select *, q / sqrt(q * q + (l - p) ** 2) as ax, (l - p) / sqrt(q * q + (l - p) ** 2) as ay from e),
+        s as (select *, case when abs(ax) >= abs(ay) then sign(ax) else sign(ay) end as f, case when abs(ay) >= abs(ax) then sign(-ay) else sign(ax) end as g from a)
+        select node_id, l_orderkey, l_linenumber, round(f * (ax * (l_quantity - mx) + ay * (l_extendedprice / 2000 - my)), 5) as x,
+          round(g * (-ay * (l_quantity - mx) + ax * (l_extendedprice / 2000 - my)), 5) as y, round(l / (p + r), 6) as share
+        from lineitem join s on node_id = l_returnflag""",
+)
+def e1(spark, sf):
+    src = lines(spark, sf).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    points = src.select(F.col("l_returnflag").alias("node_id"), "row_id", F.array(F.col("l_quantity"), F.col("l_extendedprice") / 2000).alias("features"), "l_orderkey", "l_linenumber")
+    axes = hold(PR.principal_axes(points, 2))
+    placed = points.join(axes, "node_id")
+    out = placed.select(
+        "node_id", "l_orderkey", "l_linenumber", F.round(PR._along(F.col("axes")[0]), 5).alias("x") + 0.0, F.round(PR._along(F.col("axes")[1]), 5).alias("y") + 0.0,
+        F.round(F.col("explained_variance")[0], 6).alias("share"),
+    )
+    return out.toDF("node_id", "l_orderkey", "l_linenumber", "x", "y", "share")
+
+
+def projected(spark, sf, config):
+    p = letter_points(spark, sf)
+    placed, _ = PR.project(p, DIMS, config)
+    return rounded(PR.as_xy(placed).select("row_id", "x", "y"))
+
+
+@query("e1_principal_axes")
+def e1b(spark, sf):
+    return projected(spark, sf, Config.of(method="PCA"))
+
+
+@query("e2_landmark_scaling")
+def e2(spark, sf):
+    return projected(spark, sf, Config.of(method="MDS"))
+
+
+@query("e3_affinity_graph")
+def e3(spark, sf):
+    return rounded(PR.affinity_graph(letter_points(spark, sf), 10.0), 9)
+
+
+@query("e4_fuzzy_graph")
+def e4(spark, sf):
+    return rounded(PR.fuzzy_graph(letter_points(spark, sf), 15), 9)
+
+
+@query("e5_graph_layout")
+def e5(spark, sf):
+    return projected(spark, sf, Config.of(method="UMAP"))
+
+
+@query(
+    "e6_projection_guard",
+    """with m as (select 'root' as node_id, c_custkey as row_id from customer
+          union all select 'root/' || (cast(floor(c_acctbal / 5) as int)), c_custkey from customer), s as (select node_id, count(*) as n from m group by 1)
+       select node_id, n < 2 as skipped, case when n >= 2 then n else 0 end as n_embedded from s""",
+)
+def e6(spark, sf):
+    from .inputs import table
+
+    c = table(spark, sf, "customer")
+    nodes = F.array(F.lit("root"), F.concat(F.lit("root/"), F.floor(F.col("c_acctbal") / 5).cast("int").cast("string")))
+    members = c.select(F.explode(nodes).alias("node_id"), F.col("c_custkey").alias("row_id"))
+    points = c.select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("features"))
+    embedding, _, skipped = A.node_projections(points, members, 2, Config())
+    counts = embedding.where(F.col("x").isNotNull()).groupBy("node_id").agg(F.count("*").alias("n_embedded"))
+    names = members.select("node_id").distinct()
+    out = names.join(counts, "node_id", "left").join(skipped.select("node_id", F.lit(True).alias("s")), "node_id", "left")
+    return out.select("node_id", F.coalesce("s", F.lit(False)).alias("skipped"), F.coalesce("n_embedded", F.lit(0)).alias("n_embedded"))
+
+
+@query("v11_density_validity")
+def v11(spark, sf):
+    rows = letter_points(spark, sf, "lang").withColumn("label", F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int") - 1)
+    in_space = rows.withColumn("node_id", F.lit("original"))
+    placed, _ = PR.pca(rows, DIMS, 2)
+    in_view = rows.drop("features").join(placed, ["node_id", "row_id"]).select(F.lit("embedded").alias("node_id"), "row_id", F.col("coordinates").alias("features"), "lang", "label")
+    return rounded(D.density_validity(in_space.unionByName(in_view)))
+
+
+@query("t32_configuration_sweep")
+def t32(spark, sf):
+    configs = [
+        Config.of(method="PCA", cluster_method="KMeans", cluster_n_clusters=4),
+        Config.of(method="PCA", cluster_method="DBSCAN", dbscan_eps=0.5, hclust_min_samples=10),
+        Config.of(method="MDS", cluster_method="GMM", gmm_n_components=4),
+    ]
+    points = hold(letter_points(spark, sf))
+    truth = letter_rows(spark, sf).select("row_id", F.col("lang").alias("truth"))
+    return rounded(SW.sweep(points, DIMS, configs, truth))
+
+
+@query("r15_rule_tree")
+def r15(spark, sf):
+    src = lines(spark, sf).withColumn("inside", (F.col("l_quantity") > 30) & (F.col("l_discount") < 0.05))
+    text = C.rule_tree(src, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "inside")
+    rows = src.agg(F.count_if("inside").alias("n_inside"), F.count("*").alias("n_rows"))
+    return rows.withColumn("rules", F.lit(text))
