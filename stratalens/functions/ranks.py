@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, hold
 
 WINDOW_ROWS = 1_000_000
 
@@ -19,6 +19,7 @@ def running_total(df: DataFrame, by: Sequence[str], order: str, value: str, name
     large group spreads over tasks; each part is summed on its own and shifted by the
     totals of the parts before it.
     """
+    df = hold(df)
     if df.limit(bound + 1).count() <= bound:
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(order)))
     parts = cut_lineage(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hold
+from ..session import cut_lineage, hold
 
 BLOCK_ROWS = 2048
 PIVOTS = 1024
@@ -185,7 +185,8 @@ def block_join(
     zero = {"cell": F.lit(0), "reach": F.lit(0.0)}
 
     def placed(df):
-        return df.mapInPandas(place, _place_schema(df)) if pivots else df.withColumns(zero)
+        # Placed rows are read by the cell statistics and by the blocks.
+        return cut_lineage(df.mapInPandas(place, _place_schema(df))) if pivots else df.withColumns(zero)
 
     q = placed(queries)
     s = q if same else placed(candidates)

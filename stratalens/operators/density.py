@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hold
+from ..session import cut_lineage, hold
 from .blocks import BLOCK_ROWS, NODE, Reach, block_join, distances, matrix
 from .graphs import components, relabel, spanning_edges, to_roots
 from .neighbours import knn
@@ -60,7 +60,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, block_rows: int = BL
     candidate label per border row; pairs of rows are never listed. Border rows take the
     lowest cluster in reach.
     """
-    narrow = points.select(NODE, "row_id", "features")
+    narrow = cut_lineage(points.select(NODE, "row_id", "features"))
     reach = Reach(radius=eps)
 
     def count(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -370,6 +370,7 @@ def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, block_ro
     The outlier score compares the density at which a row joined with the densest point of
     the cluster it joined. A node that never splits is all noise.
     """
+    points = cut_lineage(points.select(NODE, "row_id", "features"))
     rows = points.select(NODE, "row_id")
     tree = mutual_spanning_tree(points, min_samples, block_rows)
     joined, skeleton = _grow_clusters(rows, tree, min_cluster_size)
@@ -399,7 +400,7 @@ def density_validity(points: DataFrame, label: str = "label", block_rows: int =
     named = points.select(NODE, "row_id", "features", F.col(label).cast("int").alias("label"))
     total = named.groupBy(NODE).agg(F.count("*").alias("n_all"))
     sizes = named.where(F.col("label") >= 0).groupBy(NODE, "label").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
-    kept = named.join(sizes, [NODE, "label"]).withColumn("whole", F.col(NODE))
+    kept = cut_lineage(named.join(sizes, [NODE, "label"]).withColumn("whole", F.col(NODE)))
     inner = kept.select(F.concat_ws("|", "whole", F.col("label").cast("string")).alias(NODE), "row_id", "features", "whole", "label", "n")
 
     def closeness(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:

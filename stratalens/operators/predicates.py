@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import f1_columns, finite, ratio
 from ..session import hold
-from .quantiles import GROUP_LIMIT, exact_quantiles, extents, largest_group
+from .quantiles import GROUP_LIMIT, exact_quantiles, extents, largest_group, value_ranks
 from .scaling import Scaler, fit_scaler
 
 GAIN = 1e-6
@@ -52,16 +52,29 @@ def selection_rows(background: DataFrame, features: Sequence[str]) -> DataFrame:
     return background.where(F.col("sel").isNotNull()).select(sel.alias("sel"), *[finite(f).alias(f) for f in features])
 
 
-def tail_shares(selected: DataFrame, features: Sequence[str], limit: int = GROUP_LIMIT, ext: DataFrame | None = None) -> DataFrame:
+def tail_shares(
+    selected: DataFrame, features: Sequence[str], limit: int = GROUP_LIMIT, ext: DataFrame | None = None, ranked: DataFrame | None = None
+) -> DataFrame:
     """(sel, feature, n, lo, hi, median, left_share): trim shares by how far each tail reaches."""
     ext = hold(extents(selected, ["sel"], features)) if ext is None else ext
-    largest = largest_group(ext)
     middle = ext.withColumns({"target": F.lit("median"), "p": F.lit(0.5)})
-    mid = exact_quantiles(selected, ["sel"], features, middle, limit, largest)
+    mid = exact_quantiles(selected, ["sel"], features, middle, limit, largest_group(ext), ranked)
     both = ext.join(mid.select("sel", "feature", F.col("value").alias("median")), ["sel", "feature"])
     left, right = F.col("median") - F.col("lo"), F.col("hi") - F.col("median")
-    both = both.withColumn("left_share", F.when(left + right > 0, left / (left + right)).otherwise(0.5))
-    return hold(both)
+    return hold(both.withColumn("left_share", F.when(left + right > 0, left / (left + right)).otherwise(0.5)))
+
+
+def _spans(background: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(extents per selection, extents of all rows); one pass when each row has at most one selection."""
+    numbers = background.select("sel", *[finite(f).alias(f) for f in features])
+    if _is_array(background, "sel"):
+        whole = extents(numbers, [], features)
+        own = hold(extents(selection_rows(background, features), ["sel"], features))
+    else:
+        every = hold(extents(numbers, ["sel"], features))
+        whole = every.groupBy("feature").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        own = every.where(F.col("sel").isNotNull())
+    return own, whole.select("feature", F.col("lo").alias("global_min"), F.col("hi").alias("global_max"))
 
 
 def marginal_ranges(
@@ -77,42 +90,42 @@ def marginal_ranges(
     """
     check_conditions(conditions)
     chosen = selection_rows(background, features)
-    ext = hold(extents(chosen, ["sel"], features))
-    if any(t < 1 and s == "severity" for t, s in conditions):
-        base = tail_shares(chosen, features, limit, ext)
+    ext, span = _spans(background, features)
+    trimmed = [(t, s) for t, s in conditions if t < 1]
+    largest = largest_group(ext) if trimmed else 0
+    ranked = value_ranks(chosen, ["sel"], features).persist() if trimmed and largest <= limit else None
+    if any(s == "severity" for _, s in trimmed):
+        base = tail_shares(chosen, features, limit, ext, ranked)
     else:
         base = ext.withColumn("left_share", F.lit(0.5))
     cases = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(s).alias("split")) for t, s in conditions])
-    plan = base.select("*", F.inline(cases)).withColumn(
+    plan = base.select("sel", "feature", "n", "lo", "hi", "left_share", F.inline(cases)).withColumn(
         "left_share", F.when(F.col("split") == "severity", F.col("left_share")).otherwise(0.5)
     )
-    plan = plan.withColumn("trim", F.lit(1.0) - F.col("t"))
-    if any(t < 1 for t, _ in conditions):
+    if trimmed:
+        trim = F.lit(1.0) - F.col("t")
         ends = F.array(
-            F.struct(F.lit("a").alias("side"), (F.col("trim") * F.col("left_share")).alias("p")),
-            F.struct(F.lit("b").alias("side"), (F.lit(1.0) - F.col("trim") * (F.lit(1.0) - F.col("left_share"))).alias("p")),
+            F.struct(F.lit("a").alias("side"), (trim * F.col("left_share")).alias("p")),
+            F.struct(F.lit("b").alias("side"), (F.lit(1.0) - trim * (F.lit(1.0) - F.col("left_share"))).alias("p")),
         )
         targets = plan.where(F.col("t") < 1).select("sel", "feature", "n", "lo", "hi", "t", "split", F.inline(ends))
-        targets = targets.withColumn("target", F.concat_ws("|", F.col("t").cast("string"), "split", "side"))
-        found = exact_quantiles(chosen, ["sel"], features, targets, limit, largest_group(ext))
+        targets = hold(targets.withColumn("target", F.concat_ws("|", F.col("t").cast("string"), "split", "side")))
+        found = exact_quantiles(chosen, ["sel"], features, targets, limit, largest, ranked)
         sides = F.split("target", "\\|")
-        bounds = (
-            found.withColumns({"t": sides[0].cast("double"), "split": sides[1], "side": sides[2]})
-            .groupBy("sel", "feature", "t", "split")
-            .agg(F.max(F.when(F.col("side") == "a", F.col("value"))).alias("q_lo"), F.max(F.when(F.col("side") == "b", F.col("value"))).alias("q_hi"))
-        )
+        side = lambda x: F.max(F.when(sides[2] == x, F.col("value")))
+        bounds = found.groupBy("sel", "feature", sides[0].cast("double").alias("t"), sides[1].alias("split")).agg(side("a").alias("q_lo"), side("b").alias("q_hi"))
         plan = plan.join(bounds, ["sel", "feature", "t", "split"], "left")
-        plan = plan.withColumns({"sel_min": F.coalesce("q_lo", "lo"), "sel_max": F.coalesce("q_hi", "hi")})
+        low, high = F.coalesce("q_lo", "lo"), F.coalesce("q_hi", "hi")
     else:
-        plan = plan.withColumns({"sel_min": F.col("lo"), "sel_max": F.col("hi")})
-    whole = background.select(*[finite(f).alias(f) for f in features])
-    span = extents(whole, [], features).select("feature", F.col("lo").alias("global_min"), F.col("hi").alias("global_max"))
-    return hold(
+        low, high = F.col("lo"), F.col("hi")
+    out = hold(
         plan.join(span, "feature").select(
-            "sel", "t", "split", "feature", "sel_min", "sel_max", (F.col("sel_max") - F.col("sel_min")).alias("sel_range"),
-            "global_min", "global_max",
+            "sel", "t", "split", "feature", low.alias("sel_min"), high.alias("sel_max"), (high - low).alias("sel_range"), "global_min", "global_max"
         )
     )
+    if ranked is not None:
+        ranked.unpersist()
+    return out
 
 
 def scaled_ranges(ranges: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -36,13 +36,17 @@ def _narrow(cells: DataFrame, keys: Sequence[str], open_ranks: DataFrame) -> Dat
     return hit.select(*at, "rank", "lo", "hi", (F.col("upto") - F.col("inside")).alias("below"), "inside")
 
 
-def _settled(cells: DataFrame, at: list[str], spots: DataFrame) -> DataFrame:
-    """Ranks to values over distinct values with their counts (groups known to be small)."""
-    counted = cells.groupBy(*at, "value").agg(F.count("*").alias("n"))
+def value_ranks(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys..., feature, value, upto): distinct values with their running counts, for groups known to be small."""
+    at = [*keys, "feature"]
+    counted = melt(rows, keys, columns).groupBy(*at, "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*at).orderBy("value"))
-    ranked = counted.withColumn("upto", upto).drop("n").join(spots, at)
+    return counted.withColumn("upto", upto).drop("n")
+
+
+def _settled(ranked: DataFrame, at: list[str], spots: DataFrame) -> DataFrame:
     first = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("value")))
-    return ranked.groupBy(*at, "target", "pos", "r0").agg(first("r0").alias("v0"), first("r1").alias("v1"))
+    return ranked.join(spots, at).groupBy(*at, "target", "pos", "r0").agg(first("r0").alias("v0"), first("r1").alias("v1"))
 
 
 def order_statistics(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: DataFrame, limit: int) -> DataFrame:
@@ -74,19 +78,20 @@ def largest_group(ext: DataFrame) -> int:
 
 def exact_quantiles(
     rows: DataFrame, keys: Sequence[str], columns: Sequence[str], targets: DataFrame, limit: int = GROUP_LIMIT,
-    largest: int | None = None,
+    largest: int | None = None, ranked: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles (keys..., feature, target, value).
 
     ``targets`` holds (keys..., feature, n, lo, hi, target, p); ``p`` may differ per group
     and column, which the built-in exact percentile does not allow. ``largest`` is the
-    size of the largest group where the caller already knows it.
+    size of the largest group where the caller already knows it, ``ranked`` the values'
+    running counts where it keeps them for several calls.
     """
     at = [*keys, "feature"]
     spots = targets.withColumn("pos", F.col("p") * (F.col("n") - 1))
     spots = spots.withColumn("r0", F.floor("pos")).withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1))
     if (largest_group(targets) if largest is None else largest) <= limit:
-        out = _settled(melt(rows, keys, columns), at, spots.select(*at, "target", "pos", "r0", "r1"))
+        out = _settled(value_ranks(rows, keys, columns) if ranked is None else ranked, at, spots.select(*at, "target", "pos", "r0", "r1"))
     else:
         ranks = spots.select(*at, "n", "lo", "hi", F.explode(F.array("r0", "r1")).alias("rank")).distinct()
         values = hold(order_statistics(rows, keys, columns, ranks, limit))

@@ -12,6 +12,9 @@ from ..session import hold
 from .predicates import _in_scans, _number, _text, check_conditions, generate
 from .quantiles import GROUP_LIMIT, order_statistics
 
+# Tests of one group written out as plain columns; beyond, arrays and a generic test.
+SHORT_TESTS = 120
+
 # Fixed sizes: smallest selection, and neighbours behind the boundary pool.
 MIN_SELECTION = 20
 POOL_K = 10
@@ -84,28 +87,52 @@ def admission_patterns(
         if r["active"]:
             reps[r["feature"]] = (r["sel_min"], r["sel_max"])
     groups = [{"key": k, "reps": [v[x] for x in sorted(v)]} for k, v in sorted(bounds.items(), key=lambda x: str(x[0]))]
-    vector = F.array(*[finite(f) for f in features])
-    rows = background.select(vector.alias("x"), *([F.col(member).alias("member")] if member else []))
-    per = max(1, max((len(g["reps"]) for g in groups), default=1))
+    per = max((len(g["reps"]) for g in groups), default=1)
+    short = per * len(features) <= SHORT_TESTS
+    numbers = [finite(f).alias(f"x{j}") for j, f in enumerate(features)] if short else [F.array(*[finite(f) for f in features]).alias("x")]
+    rows = background.select(*numbers, *([F.col(member).alias("member")] if member else []))
     out = None
     for part in _in_scans(groups, list(features) * per):
         cells = []
         for g in part:
-            side = lambda at: "array(" + ", ".join(
-                "array(" + ", ".join(_number(b[f][at]) if f in b else "double(null)" for f in features) + ")" for b in g["reps"]
-            ) + ")"
             names = ", ".join(f"'{c}', {_text(v)}" for c, v in zip(group, g["key"]))
-            cells.append(f"named_struct({names}, 'lo', {side(0)}, 'hi', {side(1)})")
+            cells.append(f"named_struct({names}, {_bounds_columns(g['reps'], features, per) if short else _bounds_arrays(g['reps'], features)})")
         beside = rows.select("*", F.expr(f"inline(array({', '.join(cells)}))"))
-        pattern = F.expr(
-            "transform(lo, (l, k) -> forall(sequence(0, size(x) - 1), j -> l[j] is null or coalesce(x[j] between l[j] and hi[k][j], false)))"
-        )
         chosen = F.coalesce(F.col("member") == F.col(group[0]), F.lit(False)) if member else F.lit(False)
-        counted = beside.select(*group, chosen.alias("selected"), pattern.alias("pattern")).groupBy(*group, "selected", "pattern").agg(F.count("*").alias("n"))
+        if short:
+            code = " + ".join(f"if({_all_within(k, len(features))}, {1 << k}L, 0L)" for k in range(per))
+            counted = beside.select(*group, "m", chosen.alias("selected"), F.expr(f"{code} as code")).groupBy(*group, "m", "selected", "code").agg(F.count("*").alias("n"))
+            bits = F.expr("transform(sequence(0, m - 1), k -> (shiftright(code, k) & 1L) = 1L)")
+            counted = counted.select(*group, "selected", bits.alias("pattern"), "n")
+        else:
+            test = "forall(sequence(0, size(x) - 1), j -> l[j] is null or coalesce(x[j] between l[j] and hi[k][j], false))"
+            pattern = F.expr(f"transform(lo, (l, k) -> {test})")
+            counted = beside.select(*group, chosen.alias("selected"), pattern.alias("pattern")).groupBy(*group, "selected", "pattern").agg(F.count("*").alias("n"))
         out = counted if out is None else out.unionByName(counted)
     return out
 
 
+def _bounds_columns(reps: list[dict], features: Sequence[str], per: int) -> str:
+    cells = [f"'m', {len(reps)}"]
+    for k in range(per):
+        for j, f in enumerate(features):
+            low, high = reps[k][f] if k < len(reps) and f in reps[k] else (None, None)
+            number = lambda v: "double(null)" if v is None else _number(v)
+            cells.append(f"'lo{k}_{j}', {number(low)}, 'hi{k}_{j}', {number(high)}")
+    return ", ".join(cells)
+
+
+def _all_within(k: int, width: int) -> str:
+    return " and ".join(f"coalesce(x{j} between lo{k}_{j} and hi{k}_{j}, lo{k}_{j} is null)" for j in range(width))
+
+
+def _bounds_arrays(reps: list[dict], features: Sequence[str]) -> str:
+    side = lambda at: "array(" + ", ".join(
+        "array(" + ", ".join(_number(b[f][at]) if f in b else "double(null)" for f in features) + ")" for b in reps
+    ) + ")"
+    return f"'lo', {side(0)}, 'hi', {side(1)}"
+
+
 def _pair_counts(patterns: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group..., i, j, both, any): admitted rows in common and altogether, i < j."""
     pairs = F.expr("flatten(transform(sequence(0, size(pattern) - 1), i -> transform(sequence(0, size(pattern) - 1), j -> named_struct('i', i, 'j', j, 'p', pattern[i], 'q', pattern[j]))))")
