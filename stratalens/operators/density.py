@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, hold
+from ..session import cut_lineage, hold, keeper
 from .blocks import BLOCK_ROWS, NODE, Reach, block_join, distances, matrix
 from .graphs import components, relabel, spanning_edges, to_roots
 from .neighbours import knn
@@ -61,6 +61,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, block_rows: int = BL
     lowest cluster in reach.
     """
     narrow = cut_lineage(points.select(NODE, "row_id", "features"))
+    keep = keeper(narrow.count())
     reach = Reach(radius=eps)
 
     def count(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +69,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, block_rows: int = BL
         return pd.DataFrame({"node_id": q[NODE], "row_id": q["row_id"], "n": near.sum(axis=1)})
 
     counts, _ = block_join(narrow, narrow, count, "node_id string, row_id bigint, n bigint", "features", reach, block_rows)
-    dense = hold(counts.groupBy(NODE, "row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select(NODE, "row_id"))
+    dense = keep(counts.groupBy(NODE, "row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select(NODE, "row_id"))
     core = narrow.join(dense, [NODE, "row_id"])
 
     def link(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -80,9 +81,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, block_rows: int = BL
         return pd.DataFrame({"node_id": q[NODE].iloc[0] if len(q) else "", "a": ids, "b": ids[_block_components(adjacent)]})
 
     links, _ = block_join(core, core, link, "node_id string, a bigint, b bigint", "features", reach, block_rows, once=True)
-    found = hold(components(dense.withColumnRenamed("row_id", "v"), links))
+    found = keep(components(dense.withColumnRenamed("row_id", "v"), links, keep))
     number = _numbered(found.withColumnRenamed("v", "row_id"), "c")
-    cores = hold(found.join(number, [NODE, "c"]).select(NODE, F.col("v").alias("row_id"), "label"))
+    cores = keep(found.join(number, [NODE, "c"]).select(NODE, F.col("v").alias("row_id"), "label"))
 
     def border(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         near = distances(matrix(q["features"]), matrix(s["features"])) <= eps
@@ -130,14 +131,14 @@ def _local_tree(weight: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return a, b, w
 
 
-def mutual_spanning_tree(points: DataFrame, min_samples: int, block_rows: int = BLOCK_ROWS, apart: str | None = None) -> DataFrame:
+def mutual_spanning_tree(points: DataFrame, min_samples: int, block_rows: int = BLOCK_ROWS, apart: str | None = None, keep=hold) -> DataFrame:
     """(node_id, a, b, w): minimum spanning tree under mutual reachability distance.
 
     Every pair of blocks contributes the spanning tree of the edges between its rows; an
     edge outside such a tree cannot be needed, so the tree of their union is the tree of all
     pairs. The union holds a few edges per row and block and is resolved by rounds of joins.
     """
-    core = hold(core_distances(points, min_samples, block_rows)) if apart is None else points.select(NODE, "row_id", F.col(apart).alias("core"))
+    core = keep(core_distances(points, min_samples, block_rows)) if apart is None else points.select(NODE, "row_id", F.col(apart).alias("core"))
     rows = points.select(NODE, "row_id", "features").join(core, [NODE, "row_id"])
 
     def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -162,11 +163,11 @@ def mutual_spanning_tree(points: DataFrame, min_samples: int, block_rows: int =
         return pd.DataFrame({"node_id": q[NODE].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "w": w[keep]})
 
     edges, whole = block_join(rows, rows, block, "node_id string, a bigint, b bigint, w double", "features", None, block_rows, once=True)
-    edges = hold(edges)
-    return edges if whole else spanning_edges(edges)
+    edges = keep(edges)
+    return edges if whole else spanning_edges(edges, keep)
 
 
-def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int, keep=hold) -> tuple[DataFrame, DataFrame]:
     """((node_id, row_id, seed, w), (node_id, x, y, w)): when each row joins a group of ``least`` rows.
 
     A small group leaves by its lightest edge, so these choices form trees whose weights
@@ -177,7 +178,7 @@ def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int) -> tuple[DataFr
     one small group for the next round. Trees at least halve, so rounds are logarithmic. What
     is left are the edges between grown groups, at most one per ``least`` rows.
     """
-    edges = hold(tree.select(NODE, F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("w", "a", "b").alias("e"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
+    edges = keep(tree.select(NODE, F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("w", "a", "b").alias("e"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
     waiting = rows.select(NODE, "row_id", F.col("row_id").alias("c"))
     joined = None
     while True:
@@ -185,14 +186,14 @@ def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int) -> tuple[DataFr
             edges.select(NODE, F.col("cb").alias("c"), F.col("nb").alias("n"), F.struct("e", F.col("ca").alias("to"), F.col("na").alias("n_to")).alias("x"))
         )
         best = out.where(F.col("n") < least).groupBy(NODE, "c").agg(F.max("n").alias("n"), F.min("x").alias("x"))
-        best = hold(best.select(NODE, "c", "n", "x.e", "x.to", "x.n_to"))
+        best = keep(best.select(NODE, "c", "n", "x.e", "x.to", "x.n_to"))
         if not best.limit(1).count():
             break
         back = best.select(NODE, F.col("c").alias("to"), F.col("e").alias("e2"))
         aimed = best.join(back, [NODE, "to"], "left").withColumn("mutual", F.coalesce(F.col("e") == F.col("e2"), F.lit(False)))
-        roots = to_roots(aimed.select(NODE, "c", F.when(F.col("mutual") & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p")))
+        roots = to_roots(aimed.select(NODE, "c", F.when(F.col("mutual") & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p")), keep)
         small = roots.where(F.col("c") == F.col("p")).select(NODE, "p", F.lit(True).alias("small"))
-        member = hold(best.select(NODE, "c", "n", "e").join(roots, [NODE, "c"]).join(small, [NODE, "p"], "left").withColumn("small", F.coalesce("small", F.lit(False))))
+        member = keep(best.select(NODE, "c", "n", "e").join(roots, [NODE, "c"]).join(small, [NODE, "p"], "left").withColumn("small", F.coalesce("small", F.lit(False))))
 
         # The lightest edge out of every tree.
         here = relabel(edges.select(NODE, "ca", "cb", "e"), roots, "ca", "cb").where(F.col("ca") != F.col("cb"))
@@ -214,22 +215,22 @@ def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int) -> tuple[DataFr
             .select(NODE, "c", "p", "n", F.lit(None).cast("double").alias("w"))
         )
         taken = member.where("not small").select(NODE, "c", "p", F.lit(least).cast("bigint").alias("n"), F.col("e.w").alias("w"))
-        fate = hold(taken.unionByName(grown).unionByName(merged))
+        fate = keep(taken.unionByName(grown).unionByName(merged))
 
         side = lambda c: fate.select(NODE, F.col("c").alias(c), F.col("p").alias(f"p_{c}"), F.col("n").alias(f"n_{c}"))
         moved = edges.join(side("ca"), [NODE, "ca"], "left").join(side("cb"), [NODE, "cb"], "left").select(
             NODE, F.coalesce("p_ca", "ca").alias("ca"), F.coalesce("p_cb", "cb").alias("cb"), "e",
             F.coalesce("n_ca", "na").alias("na"), F.coalesce("n_cb", "nb").alias("nb"),
         )
-        edges = hold(moved.where(F.col("ca") != F.col("cb")))
+        edges = keep(moved.where(F.col("ca") != F.col("cb")))
         stepped = waiting.join(fate, [NODE, "c"], "left")
-        stepped = hold(stepped.select(NODE, "row_id", F.coalesce("p", "c").alias("c"), (F.coalesce("n", F.lit(0)) >= least).alias("in"), "w"))
+        stepped = keep(stepped.select(NODE, "row_id", F.coalesce("p", "c").alias("c"), (F.coalesce("n", F.lit(0)) >= least).alias("in"), "w"))
         done = stepped.where("in").select(NODE, "row_id", F.col("c").alias("seed"), "w")
         joined = done if joined is None else joined.unionByName(done)
         waiting = stepped.where(~F.col("in")).select(NODE, "row_id", "c")
     if joined is None:
         joined = rows.select(NODE, "row_id", F.col("row_id").alias("seed"), F.lit(0.0).alias("w")).limit(0)
-    return hold(joined), edges.select(NODE, F.col("ca").alias("x"), F.col("cb").alias("y"), "e.w", "e.a", "e.b")
+    return keep(joined), edges.select(NODE, F.col("ca").alias("x"), F.col("cb").alias("y"), "e.w", "e.a", "e.b")
 
 
 _CLUSTER_SCHEMA = "node_id string, cluster bigint, parent bigint, w_end double"
@@ -277,7 +278,7 @@ def _cluster_tree(joined: DataFrame, skeleton: DataFrame) -> DataFrame:
 def merge_rounds(merges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The same tree by rounds: groups whose lightest merge is mutual merge, all over the node at once.
 
-    A merged cluster is named after its merge: minus (one plus the larger row of its edge).
+    A merged cluster is named by a negative hash of the two rows of its edge.
     """
     live = hold(merges.select(NODE, "w", "a", "b", F.col("x").alias("ca"), F.col("y").alias("cb")))
     done = None
@@ -288,7 +289,6 @@ def merge_rounds(merges: DataFrame, seeds: DataFrame) -> DataFrame:
         left, right = (best.select(NODE, F.col("c").alias(c), F.col("e").alias(f"e_{c}")) for c in ("ca", "cb"))
         here = F.struct("w", "a", "b")
         mutual = live.join(left, [NODE, "ca"]).join(right, [NODE, "cb"]).where((F.col("e_ca") == here) & (F.col("e_cb") == here))
-        # An edge of a tree is named by the pair of its rows; the pair is folded into one id.
         name = -F.abs(F.xxhash64("a", "b")) - 1
         fused = hold(mutual.select(NODE, "ca", "cb", "w", name.alias("p")))
         ended = fused.select(NODE, F.col("ca").alias("cluster"), F.col("p").alias("parent"), F.col("w").alias("w_end")).unionByName(
@@ -306,7 +306,7 @@ def merge_rounds(merges: DataFrame, seeds: DataFrame) -> DataFrame:
     return hold(done.unionByName(roots.select(NODE, "cluster", F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("double").alias("w_end"))))
 
 
-def _place_rows(joined: DataFrame, clusters: DataFrame) -> DataFrame:
+def _place_rows(joined: DataFrame, clusters: DataFrame, keep=hold) -> DataFrame:
     """(node_id, row_id, cluster, w): the cluster a row joined, climbing from its seed while that had merged before."""
     ends = clusters.select(NODE, "cluster", "parent", "w_end")
     moving = joined.withColumnRenamed("seed", "cluster").join(ends, [NODE, "cluster"])
@@ -315,7 +315,7 @@ def _place_rows(joined: DataFrame, clusters: DataFrame) -> DataFrame:
         late = F.col("w_end").isNotNull() & (F.col("w") > F.col("w_end"))
         here = moving.where(~late).select(NODE, "row_id", "cluster", "w")
         placed = here if placed is None else placed.unionByName(here)
-        moving = hold(moving.where(late).select(NODE, "row_id", F.col("parent").alias("cluster"), "w").join(ends, [NODE, "cluster"]))
+        moving = keep(moving.where(late).select(NODE, "row_id", F.col("parent").alias("cluster"), "w").join(ends, [NODE, "cluster"]))
         if not moving.limit(1).count():
             return placed
 
@@ -371,11 +371,12 @@ def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, block_ro
     the cluster it joined. A node that never splits is all noise.
     """
     points = cut_lineage(points.select(NODE, "row_id", "features"))
+    keep = keeper(points.count())
     rows = points.select(NODE, "row_id")
-    tree = mutual_spanning_tree(points, min_samples, block_rows)
-    joined, skeleton = _grow_clusters(rows, tree, min_cluster_size)
+    tree = mutual_spanning_tree(points, min_samples, block_rows, keep=keep)
+    joined, skeleton = _grow_clusters(rows, tree, min_cluster_size, keep)
     clusters = _cluster_tree(joined, skeleton)
-    placed = hold(_place_rows(joined, clusters))
+    placed = keep(_place_rows(joined, clusters, keep))
     masses = _stabilities(placed, clusters)
     picks = hold(masses.groupBy(NODE).applyInPandas(_select, "node_id string, cluster bigint, selected bigint, peak double"))
     both = placed.join(picks, [NODE, "cluster"])
@@ -401,6 +402,7 @@ def density_validity(points: DataFrame, label: str = "label", block_rows: int =
     total = named.groupBy(NODE).agg(F.count("*").alias("n_all"))
     sizes = named.where(F.col("label") >= 0).groupBy(NODE, "label").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     kept = cut_lineage(named.join(sizes, [NODE, "label"]).withColumn("whole", F.col(NODE)))
+    keep = keeper(kept.count())
     inner = kept.select(F.concat_ws("|", "whole", F.col("label").cast("string")).alias(NODE), "row_id", "features", "whole", "label", "n")
 
     def closeness(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -419,18 +421,18 @@ def density_validity(points: DataFrame, label: str = "label", block_rows: int =
     summed = parts.join(peak, [NODE, "row_id"]).groupBy(NODE, "row_id").agg(F.max("peak").alias("peak"), F.sum(F.col("rest") * F.exp(F.col("top") - F.col("peak"))).alias("mass"))
     dims = F.size("features").cast("double")
     core = F.when(F.col("peak") >= 1e308, 0.0).otherwise(F.exp(-(F.col("peak") + F.log("mass") - F.log(F.col("n") - 1.0)) / dims))
-    cored = hold(inner.join(summed, [NODE, "row_id"]).select(NODE, "row_id", "features", "whole", "label", "n", core.alias("core")))
+    cored = keep(inner.join(summed, [NODE, "row_id"]).select(NODE, "row_id", "features", "whole", "label", "n", core.alias("core")))
 
-    tree = mutual_spanning_tree(cored, 0, block_rows, apart="core")
+    tree = mutual_spanning_tree(cored, 0, block_rows, apart="core", keep=keep)
     ends = tree.select(NODE, F.col("a").alias("row_id")).unionByName(tree.select(NODE, F.col("b").alias("row_id")))
-    degree = hold(ends.groupBy(NODE, "row_id").agg(F.count("*").alias("degree")))
+    degree = keep(ends.groupBy(NODE, "row_id").agg(F.count("*").alias("degree")))
     deg = lambda c: degree.select(NODE, F.col("row_id").alias(c), F.col("degree").alias(f"d_{c}"))
     marked = tree.join(deg("a"), [NODE, "a"]).join(deg("b"), [NODE, "b"])
     inside = (F.col("d_a") > 1) & (F.col("d_b") > 1)
     sparse = marked.groupBy(NODE).agg(F.coalesce(F.max(F.when(inside, F.col("w"))), F.max("w")).alias("sparseness"))
     tops = degree.groupBy(NODE).agg(F.max("degree").alias("top"))
     hubs = degree.join(tops, NODE).where((F.col("degree") > 1) | (F.col("top") == 1)).select(NODE, "row_id")
-    core_rows = hold(cored.join(hubs, [NODE, "row_id"]).select(F.col("whole").alias(NODE), "row_id", "features", "label", "core"))
+    core_rows = keep(cored.join(hubs, [NODE, "row_id"]).select(F.col("whole").alias(NODE), "row_id", "features", "label", "core"))
 
     def between(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         w = np.maximum(distances(matrix(q["features"]), matrix(s["features"])), np.maximum(q["core"].to_numpy()[:, None], s["core"].to_numpy()[None, :]))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hold
+from ..session import hold, keeper
 from .blocks import BLOCK_ROWS, NODE, block_join, distances, matrix
 from .neighbours import knn
 
@@ -282,14 +282,15 @@ def graph_layout(
     trustworthiness; coordinates are not those of a sequential optimiser.
     """
     a, b = curve_parameters(min_dist)
+    keep = keeper(start.count())
     span = start.groupBy(NODE).agg(
         F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("s")
     )
     numbered = start.join(span, NODE).withColumn("scale", F.when(F.col("s") > 0, 10 / F.col("s")).otherwise(0.0))
     peak = edges.groupBy(NODE).agg(F.max("w").alias("w_top"))
     pull = edges.join(peak, NODE).select(NODE, "a", "b", (F.col("w") / F.col("w_top")).alias("w"))
-    both = hold(pull.unionByName(pull.select(NODE, F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    place = hold(numbered.select(NODE, "row_id", (F.col("x") * F.col("scale")).alias("x"), (F.col("y") * F.col("scale")).alias("y")))
+    both = keep(pull.unionByName(pull.select(NODE, F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    place = keep(numbered.select(NODE, "row_id", (F.col("x") * F.col("scale")).alias("x"), (F.col("y") * F.col("scale")).alias("y")))
     spots = 64
     clip = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
     for epoch in range(epochs):
@@ -319,7 +320,7 @@ def graph_layout(
         place = place.join(total, [NODE, "row_id"], "left").select(
             NODE, "row_id", (F.col("x") + F.coalesce(step * F.col("dx"), F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce(step * F.col("dy"), F.lit(0.0))).alias("y")
         )
-        place = hold(place)
+        place = keep(place)
     return place
 
 

@@ -58,3 +58,8 @@ def hold(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     if found.num_rows > bound:
         return cut_lineage(df)
     return df.sparkSession.createDataFrame(found, df.schema)
+
+
+def keeper(n_rows: int):
+    """How to keep row-sized tables of ``n_rows`` between steps, decided once instead of probed every time."""
+    return hold if n_rows <= SMALL_ROWS else cut_lineage
