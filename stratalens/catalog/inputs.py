@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 VECTOR_SIZE = 64
 
@@ -20,6 +22,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem for work that costs more than the scan."""
+    return spread(table(spark, sf_dir, "lineitem"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
@@ -51,7 +58,7 @@ membership as (
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     status = F.col("o_orderstatus")
     return o.select(
         F.col("o_orderkey").alias("row_id"),
@@ -98,7 +105,7 @@ LETTER_SQL = (
 
 def letter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, lang, source, n_chars, letter shares per hundred characters) of every document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     size = F.length("text")
     share = lambda x: (size - F.length(F.replace(F.col("text"), F.lit(x), F.lit("")))) * F.lit(100.0) / size
     return d.select(

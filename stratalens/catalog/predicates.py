@@ -8,13 +8,13 @@ from ..operators import predicates as P
 from ..operators.scaling import fit_scaler
 from . import query
 from . import range_sql as Q
-from .inputs import LINE_FEATURES, ORDER_TREE_SQL, lines, order_rows, rounded
+from .inputs import LINE_FEATURES, ORDER_TREE_SQL, order_rows, rounded, spread_lines
 
 SEVERAL = [(1.0, "severity"), (0.95, "severity"), (0.9, "severity"), (0.9, "symmetric")]
 
 
 def flagged(spark, sf):
-    return lines(spark, sf).withColumn("sel", F.col("l_returnflag"))
+    return spread_lines(spark, sf).withColumn("sel", F.col("l_returnflag"))
 
 
 @query("r1_marginal_range", f"with {Q.ranges_cte([(0.9, 'severity')])} select sel, t, split, feature, {Q.r6(Q.BOUNDS)} from ranges")
@@ -69,7 +69,7 @@ def r5b(spark, sf):
 
 def planted(spark, sf):
     bulk = (F.col("l_quantity") > 30) & (F.col("l_discount") < 0.05)
-    return lines(spark, sf).withColumn("sel", F.when(bulk, "bulk").when(F.col("l_extendedprice") < 20000, "small"))
+    return spread_lines(spark, sf).withColumn("sel", F.when(bulk, "bulk").when(F.col("l_extendedprice") < 20000, "small"))
 
 
 @query(
@@ -97,7 +97,7 @@ ALL_SRC = f"(select *, {OPEN_SEL} as chosen from lineitem)"
     ),
 )
 def r7(spark, sf):
-    src = lines(spark, sf).withColumn("sel", F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), "big"))
+    src = spread_lines(spark, sf).withColumn("sel", F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), "big"))
     node = F.col("l_returnflag") == "R"
     out = None
     for name, scope, norm in (("local", "local", False), ("global", "global", True), ("global_raw", "global", False)):

@@ -11,7 +11,7 @@ from ..operators import stability as S
 from ..session import hold
 from . import query
 from . import range_sql as Q
-from .inputs import LINE_FEATURES, lines, rounded, table
+from .inputs import LINE_FEATURES, rounded, spread_lines, table
 from .inputs import letter_points, letter_rows, LETTER_COLUMNS
 
 DELTAS = [0.05, 0.1]
@@ -61,11 +61,11 @@ PARTS = [1, 2, 3]
 def parts(spark, sf):
     """(base, rep, t, split, feature, sel_min, sel_max, in_predicate) of three parts of every flag, and the rows."""
     names = [F.when(F.col("l_linenumber") != k, F.concat(F.col("l_returnflag"), F.lit(f"#{k}"))) for k in PARTS]
-    rows = lines(spark, sf).withColumn("sel", F.array_compact(F.array(*names)))
+    rows = spread_lines(spark, sf).withColumn("sel", F.array_compact(F.array(*names)))
     found = P.generate("db", rows, LINE_FEATURES, Q.FULL_CORE)
     split = F.split("sel", "#")
     preds = found.select(split[0].alias("base"), split[1].cast("int").alias("rep"), "t", "split", "feature", "sel_min", "sel_max", "in_predicate")
-    return hold(preds), lines(spark, sf)
+    return hold(preds), spread_lines(spark, sf)
 
 
 PARTS_CTE = f"""{Q.ranges_cte(Q.FULL_CORE, REP_SQL, 'part')}, pr as (select split_part(sel, '#', 1) as base, cast(split_part(sel, '#', 2) as int) as rep, t, split, feature, ix, sel_min, sel_max from ranges),
@@ -191,7 +191,7 @@ def b9(spark, sf):
     "select metric, 0.0::double as max_difference, (select count(distinct l_returnflag) from lineitem) as n_pairs from (values ('f1'), ('coverage')) m(metric)",
 )
 def b10(spark, sf):
-    src = lines(spark, sf).withColumn("sel", F.col("l_returnflag"))
+    src = spread_lines(spark, sf).withColumn("sel", F.col("l_returnflag"))
     rows = P.generate("db", src, LINE_FEATURES, [(1.0, "severity"), (1.0, "symmetric")]).withColumn("active", F.col("in_predicate"))
     scores = P.quality(src, LINE_FEATURES, rows, ["sel", "t", "split"])
     records = scores.select(F.lit("lines").alias("arm"), F.lit(0).alias("seed"), F.col("sel").alias("sel_id"), F.lit("db").alias("method"), F.lit(0.0).alias("delta"), "t", "split", "f1", "coverage")

@@ -19,8 +19,10 @@ def to_roots(parent: DataFrame, keep=hold) -> DataFrame:
     """(node_id, c, p) with every pointer followed to its root (a root points to itself)."""
     parent = keep(parent)
     while True:
-        up = parent.select(NODE, F.col("c").alias("p"), F.col("p").alias("pp"))
-        moved = keep(parent.join(up, [NODE, "p"], "left").select(NODE, "c", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        up = parent.select(NODE, F.col("c").alias("p"), F.col("p").alias("p2"))
+        step = parent.join(up, [NODE, "p"], "left").select(NODE, "c", "p", F.coalesce("p2", "p").alias("p2"))
+        twice = step.select(NODE, F.col("c").alias("p2"), F.col("p2").alias("p4"))
+        moved = keep(step.join(twice, [NODE, "p2"], "left").select(NODE, "c", F.coalesce("p4", "p2").alias("p"), (F.coalesce("p4", "p2") != F.col("p")).alias("moved")))
         parent = moved.select(NODE, "c", "p")
         if not moved.where("moved").limit(1).count():
             return parent

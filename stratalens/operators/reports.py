@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..session import hold
 from . import paired as P
 
 # Which scores are better when larger, and the test level.
@@ -31,14 +32,15 @@ def stability_summary(records: DataFrame, strict: float = 1.0) -> DataFrame:
     f1, coverage). Holm's correction runs over the thresholds of one family.
     """
     family = ["arm", "method", "split", "delta"]
-    medians = records.groupBy(*family, "t").agg(F.percentile("f1", 0.5).alias("median_f1"), F.percentile("coverage", 0.5).alias("median_coverage"))
+    medians = hold(records.groupBy(*family, "t").agg(F.percentile("f1", 0.5).alias("median_f1"), F.percentile("coverage", 0.5).alias("median_coverage")))
     strict_f1 = medians.where(F.col("t") == strict).select(*family, F.col("median_f1").alias("strict_f1"))
     long = P.long_metrics(records, [*family, "t", "seed", "sel_id"], list(STABILITY_UP))
     values = long.groupBy(*family, "metric", "t", "seed", "sel_id").agg(F.avg("value").alias("value"))
+    values = hold(values)
     base = values.where(F.col("t") == strict).select(*family, "metric", "seed", "sel_id", F.col("value").alias("strict_value"))
     relaxed = values.where(F.col("t") != strict)
     pairs = relaxed.join(base, [*family, "metric", "seed", "sel_id"]).dropna(subset=["value", "strict_value"])
-    pairs = pairs.withColumn("d", F.col("value") - F.col("strict_value"))
+    pairs = hold(pairs.withColumn("d", F.col("value") - F.col("strict_value")))
     by = [*family, "metric", "t"]
     tested = P.compare_pairs(pairs, by, _up(STABILITY_UP))
     units = pairs.groupBy(*by).agg(F.count_distinct("sel_id").alias("n_selections"), F.count_distinct("seed").alias("n_seeds"))

@@ -36,3 +36,14 @@ def rename_role(df: DataFrame, column: str, role: str) -> DataFrame:
     if column not in df.columns:
         raise ValueError(f"no column {column}")
     return df.withColumnRenamed(column, role)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores, dealt out to all of them.
+
+    A file of one row group is one task however many cores wait. Large tables have more
+    splits than cores and are left alone. Only for scans: the number of splits is read off
+    the plan without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
