@@ -65,8 +65,9 @@ def k5(spark, sf):
 
 
 def stored(spark, sf):
-    """The document tree, built once per data folder and read back by the queries on it."""
-    store = RunStore(spark, shared_dir(spark).rstrip("/") + "/stratalens-runs")
+    """The document tree, built once per application and data folder and read back by the queries on it."""
+    app = spark.sparkContext.applicationId
+    store = RunStore(spark, f"{shared_dir(spark).rstrip('/')}/stratalens-runs/{app}")
     return A.analyse_stored(store, sf, letter_rows(spark, sf).drop("lang", "source"), LETTER_COLUMNS, TREE, ["n_chars"])[0]
 
 

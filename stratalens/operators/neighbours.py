@@ -60,21 +60,6 @@ def knn(points: DataFrame, k: int, vector: str = "features", block_rows: int = B
     return nearest(narrow, narrow, k, vector, block_rows)
 
 
-def approximate_knn(points: DataFrame, k: int, width: float, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Opt-in approximation: neighbours among rows sharing a random-projection bucket (MLlib LSH).
-
-    Only for a single node. The answer may miss neighbours; nothing else in the package uses it.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = points.select("row_id", array_to_vector("features").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, 2 * width, "dist").where("datasetA.row_id <> datasetB.row_id")
-    lists = pairs.select(F.lit("root").alias(NODE), F.col("datasetA.row_id").alias("row_id"), F.col("datasetB.row_id").alias("neighbour"), "dist")
-    return keep_nearest(lists, k)
-
-
 def distance_profile(points: DataFrame, vector: str = "features", other: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distances of every row to all other rows of its node, reduced in the blocks.
 

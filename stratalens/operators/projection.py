@@ -155,16 +155,11 @@ def mds(points: DataFrame, metric: bool = True, landmarks: int = LANDMARKS, seed
 def sibling_layout(centroids: DataFrame) -> DataFrame:
     """(node_id, cluster, rel_x, rel_y): the children of a node laid out by the distances of their centroids.
 
-    One group holds one centroid per child of a node, at most one per ``min_cluster_size`` rows.
+    Up to ``LANDMARKS`` children are scaled whole; further ones are placed by their
+    distances to that many, as rows are.
     """
-
-    def lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster")
-        c = matrix(pdf["centroid"])
-        x, _ = classical_scaling(distances(c, c))
-        return pd.DataFrame({"node_id": pdf[NODE], "cluster": pdf["cluster"], "rel_x": x[:, 0], "rel_y": x[:, 1]})
-
-    return centroids.groupBy(NODE).applyInPandas(lay_out, "node_id string, cluster int, rel_x double, rel_y double")
+    points = centroids.select(NODE, F.col("cluster").cast("bigint").alias("row_id"), F.col("centroid").alias("features"))
+    return mds(points).select(NODE, F.col("row_id").cast("int").alias("cluster"), F.col("x").alias("rel_x"), F.col("y").alias("rel_y"))
 
 
 # ---- neighbour graphs ---------------------------------------------------------------------
