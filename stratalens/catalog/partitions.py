@@ -104,7 +104,7 @@ def v7(spark, sf):
 
 @query(
     "v8_merge_count",
-    f"""with {ROWS_SQL} select grp, count_if(n > 1) as merges from (select grp, flat, fine, count(distinct part) as n from t
+    f"""with {ROWS_SQL} select grp, cast(count_if(n > 1) as bigint) as merges from (select grp, flat, fine, count(distinct part) as n from t
         where flat <> -1 and part <> -1 group by all) group by 1""",
 )
 def v8(spark, sf):

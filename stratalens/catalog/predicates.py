@@ -126,7 +126,7 @@ def r8(spark, sf):
 @query(
     "r8_summary",
     f"""with {Q.predicate_cte(Q.FULL_CORE, 'planted', f'(select *, {QUANTITY_SEL} as planted from lineitem)')}
-        select sel, round(max(predicate_f1), 6) as predicate_f1, count_if(in_predicate) as n_features_used, count(*) as n_features_total,
+        select sel, round(max(predicate_f1), 6) as predicate_f1, cast(count_if(in_predicate) as bigint) as n_features_used, count(*) as n_features_total,
         (select count(*) from src where planted = sel) as n_selected from predicate where t = 1 group by sel""",
 )
 def r8s(spark, sf):
@@ -205,7 +205,7 @@ def r11(spark, sf):
     f"""with {ACTIVE_CTE}, q as (select d.sel, d.t, d.method, length, coalesce(tp, 0)::double as tp, coalesce(predicted, 0)::double as pp, actual::double as actual, total
           from need d left join admit using (sel, t, method) join tot using (sel, t))
         select sel, t, method, round({Q.F1}, 6) as f1, round(coalesce(tp / nullif(pp, 0), 0), 6) as precision, round(coalesce(tp / nullif(actual, 0), 0), 6) as recall,
-        round(pp / total, 6) as coverage, length from q""",
+        round(pp / total, 6) as coverage, cast(length as bigint) as length from q""",
 )
 def r12(spark, sf):
     src = planted(spark, sf)
@@ -214,7 +214,7 @@ def r12(spark, sf):
 
 @query(
     "r13_clauses_json",
-    f"""with {Q.predicate_cte([(1.0, 'severity')])} select sel, t, split, count(*) as n_clauses, count_if(in_predicate) as n_used,
+    f"""with {Q.predicate_cte([(1.0, 'severity')])} select sel, t, split, count(*) as n_clauses, cast(count_if(in_predicate) as bigint) as n_used,
         string_agg(feature, ',' order by feature) as features from predicate group by 1, 2, 3""",
 )
 def r13(spark, sf):

@@ -237,7 +237,7 @@ def t11(spark, sf):
 def t12(spark, sf):
     kept, dropped = R.drop_repeated_control(planted_records(spark, sf), F.col("nesting") == "non_nested", "rho")
     n = dropped.head()["n_dropped"]
-    return kept.groupBy("nesting", "rho").agg(F.count("*").alias("n_rows")).withColumn("n_dropped", F.lit(n))
+    return kept.groupBy("nesting", "rho").agg(F.count("*").alias("n_rows")).withColumn("n_dropped", F.lit(n).cast("bigint"))
 
 
 @query(
@@ -285,7 +285,7 @@ def t16(spark, sf):
 
 @query(
     "t18_counted_left_join",
-    """select count(*) as n_rows, count_if(o_custkey is null) as n_unmatched from customer left join
+    """select count(*) as n_rows, cast(count_if(o_custkey is null) as bigint) as n_unmatched from customer left join
        (select distinct o_custkey from orders where o_orderstatus = 'P' and o_totalprice > 400000) on c_custkey = o_custkey""",
 )
 def t18(spark, sf):
@@ -448,7 +448,7 @@ def t30(spark, sf):
     f"""with {REGIONS}, per as (select dataset, seed, region, sum(n) as n, count(distinct cond) as arms from regions group by all),
         k as (select dataset, seed, region, count(distinct n) as nk from regions group by all)
         select dataset, seed, region, cast(n as bigint) as n, case when n < 10 then 'too_small' else 'not_scored' end as reason,
-        (select count(*) from k) as n_regions, (select count_if(nk > 1) from k) as n_violations from per where n < 20 or arms < 2""",
+        (select count(*) from k) as n_regions, (select cast(count_if(nk > 1) as bigint) from k) as n_violations from per where n < 20 or arms < 2""",
 )
 def t31(spark, sf):
     reg = regions(spark, sf)
@@ -456,7 +456,7 @@ def t31(spark, sf):
     per = reg.groupBy(*keys).agg(F.sum("n").alias("n"), F.count_distinct("cond").alias("arms"))
     scored = per.where((F.col("n") >= 20) & (F.col("arms") == 2))
     check = R.unequal_k(reg.withColumn("k", F.col("n")), keys).head()
-    return R.skip_table(per, scored, keys, 10).withColumns({"n_regions": F.lit(check["n_regions"]), "n_violations": F.lit(check["n_violations"])})
+    return R.skip_table(per, scored, keys, 10).withColumns({"n_regions": F.lit(check["n_regions"]).cast("bigint"), "n_violations": F.lit(check["n_violations"]).cast("bigint")})
 
 
 @query(

@@ -47,7 +47,7 @@ def a14(spark, sf):
     return T.layer_census(nodes, members)
 
 
-@query("a16_tree_counts", f"with {NODES_SQL} select count_if(not is_leaf) as n_inner, count_if(is_leaf) as n_leaves from nodes")
+@query("a16_tree_counts", f"with {NODES_SQL} select cast(count_if(not is_leaf) as bigint) as n_inner, cast(count_if(is_leaf) as bigint) as n_leaves from nodes")
 def a16(spark, sf):
     return T.tree_counts(tree(spark, sf)[2])
 
@@ -84,7 +84,7 @@ def builds(spark, sf):
         select cast(build as int) as build, any_value(n_rows) as n_rows, 2 as realized_depth, true as cap_censored, count(*) as n_leaves,
         quantile_cont(n_points, 0.5) as median_leaf_size, min(n_points) as min_leaf_size, max(n_points) as max_leaf_size,
         round(1.0 - sum(n_points)::double / any_value(n_rows), 6) as noise_fraction, count(trustworthiness) as n_leaves_scored,
-        count_if(n_points >= 20) as n_leaves_predicated, count_if(not projected) as n_leaves_unprojected, false as root_unprojected
+        cast(count_if(n_points >= 20) as bigint) as n_leaves_predicated, cast(count_if(not projected) as bigint) as n_leaves_unprojected, false as root_unprojected
         from leaves join r using (build) group by build""",
 )
 def a17(spark, sf):
