@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cost_packing, quality_rules, url_rules
+from . import compression_quality, cost_packing, cross_polytope, html_content, piece_scan, quality_rules, url_rules
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,32 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_html_content")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op5_compression_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return compression_quality.score(docs, compression_quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op6_cross_polytope")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return cross_polytope.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op7_piece_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as a digest, and what decoding gives back."""
+    coded = piece_scan.encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", "n_chars", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("decoded_chars"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32")
+    )
+
+
 _URL_SQL = f"""
 with rules(host, path, verdict) as (values {', '.join(map(str, RULES))}),
 pages_of as (
