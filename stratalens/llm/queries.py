@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, cost_packing, cross_polytope, html_content, piece_scan, quality_rules, url_rules
+from . import compression_quality, cost_packing, cross_polytope, deleted_interpolation, html_content, piece_scan, quality_rules, url_rules
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(read(spark, sf_dir, "pages"))
 
 
+@query("op4_deleted_interpolation")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(read(spark, sf_dir, "documents"))
+
+
 @query("op5_compression_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
