@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, compression_quality, cost_packing, cross_polytope, deleted_interpolation, html_content, piece_scan, quality_rules, url_rules
+from . import bag_minhash, compression_quality, cost_packing, cross_polytope, deleted_interpolation, html_content, paragraph_dedup, piece_scan, quality_rules, url_rules
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op2_paragraph_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.passages(read(spark, sf_dir, "documents"))
+
+
 @query("op3_html_content")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract(read(spark, sf_dir, "pages"))
