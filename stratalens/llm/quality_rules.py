@@ -132,4 +132,5 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 def keep(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` whose text meets the base rule and every threshold, with their columns."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), whole_text(docs, text).alias("__text"))
-    return _judged(packed, "__text", thresholds).where("kept").select("__row.*")
+    # A generator, for a filter would be pushed below the arrays and build them anew for every word.
+    return _judged(packed, "__text", thresholds).select(F.inline(F.when(F.col("kept"), F.array("__row"))))
