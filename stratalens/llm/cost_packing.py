@@ -71,8 +71,6 @@ class Encoder:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words = {b"": b""}
         for first in range(0, len(words), 4096):
             part = [w.decode() for w in words[first : first + 4096]]
             joined = "".join(part)
@@ -100,10 +98,10 @@ class Encoder:
         for words in split:
             seen.update(words)
         new = [w for w in seen if w not in self.words]
-        if new:
-            self._learn(new)
-            if not seen <= self.words.keys():  # the table began anew
-                self._learn([w for w in seen if w not in self.words])
+        if len(self.words) + len(new) > WORDS_KEPT:
+            self.words = {b"": b""}
+            new = [w for w in seen if w]
+        self._learn(new)
         get = self.words.__getitem__
         return [self._ids(t).tobytes() if i in whole else b"".join(map(get, w)) for i, (t, w) in enumerate(zip(texts, split, strict=True))]
 
