@@ -96,7 +96,7 @@ def signatures(holder: np.ndarray, shingle: np.ndarray, weight: np.ndarray, text
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """(text, band): a 64-bit key of the slots of each band."""
-    raw = signature.view(np.uint64).reshape(len(signature), bands, -1)
+    raw = signature.view(np.uint64).reshape(len(signature), bands, signature.shape[1] // bands)
     key = np.broadcast_to(_STEP * np.arange(1, bands + 1, dtype=np.uint64), raw.shape[:2]).copy()
     for k in range(raw.shape[2]):
         key = mix(key + raw[:, :, k] * _STEP)
