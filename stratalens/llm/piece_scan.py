@@ -180,23 +180,22 @@ class Chunk:
         self.model, self.text = model, left + core + right
         self.begin, self.stop = len(left), len(left) + len(core)
         self.first, self.last = first, last
-        cuts = [i for i in (core.find(SPACE), core.rfind(SPACE)) if i >= 0]
         # Word starts between which nothing depends on the borders; none in a chunk without words.
-        self.a = self._word_start(self.begin + cuts[0], 1) if cuts else None
-        self.b = self._word_start(self.begin + cuts[-1], -1) if cuts else None
-        if self.a is None or self.b is None or self.a >= self.b:
+        self.a = self._word_start(range(self.begin + 1, self.stop))
+        self.b = self._word_start(range(self.stop - 1, self.begin, -1))
+        if self.a == self.b:
             self.a = self.b = None
 
-    def _word_start(self, at: int, step: int) -> int | None:
-        while self.begin < at < self.stop:
-            if self.text[at] == SPACE and self.text[at - 1] != SPACE:
-                return at
-            at += step
-        return None
+    def _word_start(self, places: range) -> int | None:
+        return next((at for at in places if self.text[at] == SPACE and self.text[at - 1] != SPACE), None)
 
     def entries(self) -> list[tuple[int, str]]:
         if self.first:
             return [(self.begin, "")]
+        for at in range(self.begin - 1, 0, -1):
+            # A word start before the border leaves only the pieces that its prefix can reach.
+            if self.text[at] == SPACE and self.text[at - 1] != SPACE:
+                return list(forward(self.model, self.text, [(at, "")], self.begin)[0])
         return [(s, p) for s in range(max(0, self.begin - self.model.longest), self.begin) for p in self.model.starting(self.text, s) if s + len(p) >= self.begin]
 
     def _exits(self, reached: dict) -> dict:
