@@ -1,9 +1,10 @@
-"""Session helpers: local sessions for tests, and lineage cuts that survive executor loss."""
+"""Session helpers: local sessions for tests, and tables between steps that survive executor loss."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "stratalens") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -38,30 +40,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used wherever a driver loop would otherwise grow the plan."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def _folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables, below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
-SMALL_ROWS = 100_000
+def hold(df: DataFrame) -> DataFrame:
+    """Write a result that later steps read again, and read it back.
 
+    One path at every size: the rows are computed once, stay with the executors, cut the
+    lineage and survive lost executors; the optimizer sees their size in the files. ``tidy``
+    removes all tables of an application.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def hold(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
-    """Keep a result that later steps read several times.
 
-    Tables proven to have at most ``bound`` rows become local relations, which costs no
-    file and lets the optimizer see their size. Anything larger is checkpointed.
-    """
-    found = df.limit(bound + 1).toArrow()
-    if found.num_rows > bound:
-        return cut_lineage(df)
-    return df.sparkSession.createDataFrame(found, df.schema)
+#: The same where a driver loop would otherwise grow the plan.
+cut_lineage = hold
 
 
-def keeper(n_rows: int):
-    """How to keep row-sized tables of ``n_rows`` between steps, decided once instead of probed every time."""
-    return hold if n_rows <= SMALL_ROWS else cut_lineage
+def tidy(spark: SparkSession) -> None:
+    """Delete what ``hold`` has written for this application; its results must not be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
