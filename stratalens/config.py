@@ -7,7 +7,7 @@ import json
 from dataclasses import asdict, dataclass, fields
 
 # Bump when a change alters stored results; it is part of every run key.
-RESULT_VERSION = 1
+RESULT_VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ class Config:
     umap_n_neighbors: int = 15
     umap_min_dist: float = 0.1
     umap_random_state: int = 42
+    layout_epochs: int = 12
     mds_metric: bool = True
     mds_n_init: int = 2
     mds_max_iter: int = 100

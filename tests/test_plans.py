@@ -112,14 +112,36 @@ def test_principal_axes_match_numpy(spark):
     assert np.allclose(axes.head().explained_variance, values[::-1][:2] / values.sum())
 
 
-@pytest.mark.parametrize("landmarks", [10, 500])
-def test_landmark_scaling_keeps_planar_distances(spark, landmarks):
-    x = np.random.default_rng(1).normal(size=(60, 2))
-    got = np.array([(r.x, r.y) for r in PR.mds(frame(spark, x), landmarks=landmarks).orderBy("row_id").collect()])
+@pytest.mark.parametrize("block_rows", [16, 2048])
+def test_distance_scaling(spark, block_rows):
+    """Planar rows keep their distances; others settle below the stress of their principal projection, in one block or many."""
+    rng = np.random.default_rng(1)
     gap = lambda v: np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
-    assert np.allclose(gap(got), gap(x), atol=1e-6)
+    flat = rng.normal(size=(60, 2))
+    place = lambda x, **kw: np.array([(r.x, r.y) for r in PR.mds(frame(spark, x), x.shape[1], block_rows=block_rows, **kw).orderBy("row_id").collect()])
+    assert np.allclose(gap(place(flat)), gap(flat), atol=1e-6)
+    x = rng.normal(size=(50, 6))
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    start = (x - x.mean(0)) @ vectors[:, ::-1][:, :2]
+    stress = lambda y: ((gap(y) - gap(x)) ** 2).sum() / 2
+    first, more = place(x, max_iter=20), place(x, max_iter=20, n_init=2)
+    assert stress(first) < 0.8 * stress(start) and stress(more) <= stress(first) + 1e-9
+    assert np.allclose(np.abs(place(x, max_iter=0)), np.abs(start))
     with pytest.raises(ValueError):
-        PR.mds(frame(spark, x), metric=False)
+        PR.mds(frame(spark, x), 6, metric=False)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_missing_features_count_nowhere(spark, parts):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3)) + 1e8
+    rows = [("n", i, v.tolist()) for i, v in enumerate(x)] + [("n", 90, [1.0, None, 2.0]), ("n", 91, [float("nan"), 0.0, 1.0]), ("n", 92, [float("inf"), 0.0, 1.0]), ("n", 93, None)]
+    points = spark.createDataFrame(rows, "node_id string, row_id bigint, features array<double>").repartition(parts)
+    placed, axes = PR.pca(points, 3)
+    assert axes.head().n_points == 40 and np.allclose(axes.head().center, x.mean(0), rtol=1e-12)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert np.allclose(axes.head().explained_variance, values[:2] / values.sum(), atol=1e-6)
+    assert [r.row_id for r in placed.orderBy("row_id").collect()] == list(range(40))
 
 
 def test_neighbour_graph_weights(spark):
@@ -141,6 +163,8 @@ def test_graph_layout_beats_noise(spark):
     placed, _ = PR.project(points, 3, Config.of(method="UMAP", umap_n_neighbors=10))
     scored = FA.score_nodes(points.join(placed.withColumnRenamed("coordinates", "embedding"), ["node_id", "row_id"]))[0].head()
     assert scored.trustworthiness > 0.85
+    solid, _ = PR.project(points, 3, Config.of(layout_epochs=2), 3, "UMAP")
+    assert {len(r.coordinates) for r in solid.collect()} == {3}
 
 
 def test_row_ids_and_draws(spark):
