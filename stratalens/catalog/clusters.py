@@ -37,6 +37,49 @@ def k2(spark, sf):
     return C.gaussian_mixture(letter_points(spark, sf), 4).select("row_id", "label")
 
 
+# Customers of a segment in two far groups, by the parity of their nation: every node finds its own two.
+_PLANTED_SQL = """select c_mktsegment as node_id, c_nationkey % 2 as side, count(*) as n, cast(1 as bigint) as n_labels,
+                  cast(2 as bigint) as n_clusters from customer group by 1, 2"""
+
+
+def planted(spark, sf):
+    from .inputs import table
+
+    c = table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("node_id"), F.col("c_custkey").alias("row_id"), F.col("c_acctbal"), (F.col("c_nationkey") % 2).alias("side"), F.ascii("c_mktsegment").cast("double").alias("far")
+    )
+    return c.select("node_id", "row_id", "side", F.array(F.col("c_acctbal") / 10_000, F.col("side") * 100.0 + 1000 * F.col("far")).alias("features"))
+
+
+def planted_labels(points, found):
+    both = points.join(found, ["node_id", "row_id"])
+    clusters = both.groupBy("node_id").agg(F.count_distinct("label").alias("n_clusters"))
+    sides = both.groupBy("node_id", "side").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"))
+    return sides.join(clusters, "node_id").select("node_id", "side", "n", "n_labels", "n_clusters")
+
+
+@query("k1_planted_nodes", _PLANTED_SQL)
+def k1_planted(spark, sf):
+    p = planted(spark, sf)
+    return planted_labels(p, C.kmeans(p, 2))
+
+
+@query("k2_planted_nodes", _PLANTED_SQL)
+def k2_planted(spark, sf):
+    p = planted(spark, sf)
+    return planted_labels(p, C.gaussian_mixture(p, 2))
+
+
+@query("k12_planted_groups", _PLANTED_SQL.replace("cast(2 as bigint)", "(select count(distinct c_mktsegment || (c_nationkey % 2)) from customer)"))
+def k12_planted(spark, sf):
+    p = planted(spark, sf)
+    config = Config.of(cluster_method="KMeans", cluster_n_clusters=2)
+    found = C.cluster_within_groups(p.withColumn("segment", F.col("node_id")), "segment", config)
+    both = p.join(found, "row_id")
+    sides = both.groupBy("node_id", "side").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"))
+    return sides.crossJoin(F.broadcast(found.agg(F.count_distinct("label").alias("n_clusters"))))
+
+
 @query(
     "k3_dbscan",
     f"""with recursive {LETTER_SQL},
@@ -106,7 +149,7 @@ def k7(spark, sf):
 @query("k8_sibling_layout")
 def k8(spark, sf):
     v = vectors(spark, sf).select(F.lit("root").alias("node_id"), F.col("label").alias("cluster"), "features")
-    return rounded(PR.sibling_layout(CH.centroids(v, "features", 64, ["node_id", "cluster"])))
+    return rounded(PR.sibling_layout(CH.centroids(v, "features", 64, ["node_id", "cluster"]), 64))
 
 
 @query("k12_cluster_within_groups")
@@ -134,8 +177,7 @@ def k13(spark, sf):
         from lineitem join s on node_id = l_returnflag""",
 )
 def e1(spark, sf):
-    src = lines(spark, sf).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    points = src.select(F.col("l_returnflag").alias("node_id"), "row_id", F.array(F.col("l_quantity"), F.col("l_extendedprice") / 2000).alias("features"), "l_orderkey", "l_linenumber")
+    points = line_plane(spark, sf)
     axes = hold(PR.principal_axes(points, 2))
     placed = points.join(axes, "node_id")
     out = placed.select(
@@ -145,6 +187,32 @@ def e1(spark, sf):
     return out.toDF("node_id", "l_orderkey", "l_linenumber", "x", "y", "share")
 
 
+def line_plane(spark, sf):
+    """lineitem as points of two columns, a node per return flag."""
+    src = lines(spark, sf).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return src.select(F.col("l_returnflag").alias("node_id"), "row_id", F.array(F.col("l_quantity"), F.col("l_extendedprice") / 2000).alias("features"), "l_orderkey", "l_linenumber")
+
+
+# Distances of two columns are kept exactly by their principal coordinates, so scaling stops there.
+@query(
+    "e2_two_column_scaling",
+    """with p as (select o_orderpriority as node_id, o_orderkey, o_totalprice / 1000 as x1, cast(o_custkey as double) / 10 as x2 from orders),
+        m as (select node_id, avg(x1) as mx, avg(x2) as my, var_samp(x1) as p, covar_samp(x1, x2) as q, var_samp(x2) as r from p group by 1),
+        e as (select *, (p + r) / 2 + sqrt(((p - r) / 2) ** 2 + q * q) as l from m),
+        a as (select *, q / sqrt(q * q + (l - p) ** 2) as ax, (l - p) / sqrt(q * q + (l - p) ** 2) as ay from e),
+        s as (select *, case when abs(ax) >= abs(ay) then sign(ax) else sign(ay) end as f, case when abs(ay) >= abs(ax) then sign(-ay) else sign(ax) end as g from a)
+        select node_id, o_orderkey, round(f * (ax * (x1 - mx) + ay * (x2 - my)), 5) as x, round(g * (-ay * (x1 - mx) + ax * (x2 - my)), 5) as y
+        from p join s using (node_id)""",
+)
+def e2_plane(spark, sf):
+    from .inputs import table
+
+    o = table(spark, sf, "orders")
+    points = o.select(F.col("o_orderpriority").alias("node_id"), F.col("o_orderkey").alias("row_id"), F.array(F.col("o_totalprice") / 1000, F.col("o_custkey").cast("double") / 10).alias("features"))
+    placed = PR.mds(points, 2, n_init=1)
+    return rounded(placed.select("node_id", F.col("row_id").alias("o_orderkey"), "x", "y"), 5)
+
+
 def projected(spark, sf, config):
     p = letter_points(spark, sf)
     placed, _ = PR.project(p, DIMS, config)
@@ -156,7 +224,7 @@ def e1b(spark, sf):
     return projected(spark, sf, Config.of(method="PCA"))
 
 
-@query("e2_landmark_scaling")
+@query("e2_distance_scaling")
 def e2(spark, sf):
     return projected(spark, sf, Config.of(method="MDS"))
 

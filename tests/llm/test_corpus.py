@@ -79,11 +79,19 @@ def test_blocks_find_what_leaders_leave(spark, copies, monkeypatch):
     """Without any round of leaders, only the block-wise check is left, in blocks far smaller than the buckets."""
     monkeypatch.setattr(links, "BLOCK", 4)
     real = links.classes
-    monkeypatch.setattr(links, "classes", lambda live, a, b: real(live, a, b, rounds=0))
+    monkeypatch.setattr(links, "classes", lambda live, a, b: real(live, a, b, leaders_first=False))
     got = Counter((r.doc_id, r.class_id, r.class_size) for r in bag_minhash.near_duplicates(documents(spark, copies)).collect())
     assert got == expected_classes(copies)
 
 
+def test_similarities_of_all_pairs():
+    rng = np.random.default_rng(4)
+    texts = [edited("a b c d e " * 20 + prose(1, 60), rng, i) for i in range(12)] + ["one two", "a b c d e " * 50]
+    got = bag_minhash.similarities([bag_minhash.bag(t.encode()) for t in texts], columns=16)
+    want = [[weighted(shingle_bag(x), shingle_bag(y)) for y in texts] for x in texts]
+    assert np.allclose(got, want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert bag_minhash.near_duplicates(documents(spark, [])).collect() == []
     assert bag_minhash.one_of_each(documents(spark, [])).collect() == []

@@ -180,3 +180,28 @@ def test_density_validity(spark, block_rows):
     assert got.status == "ok" and np.isclose(got.dbcv, total)
     lone = D.density_validity(frame(spark, x, label=np.zeros(len(x)))).head()
     assert lone.dbcv is None and lone.status == "degenerate:1_clusters"
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_centre_methods_per_node(spark, chunk, monkeypatch):
+    """Every node finds its own clusters, and k-means agrees with plain Lloyd rounds from the same result."""
+    from stratalens.operators import clustering as C
+
+    monkeypatch.setattr(C, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(8)
+    rows, truth = [], {}
+    for node, middles in (("a", [(0, 0), (9, 0)]), ("b", [(500, 500), (500, 512)])):
+        for i in range(60):
+            rows.append((node, len(rows), (np.array(middles[i % 2]) + rng.normal(size=2)).tolist()))
+            truth[len(rows) - 1] = (node, i % 2)
+    rows.append(("a", 999, [None, 1.0]))
+    points = spark.createDataFrame(rows, "node_id string, row_id bigint, features array<double>")
+    for found in (C.kmeans(points, 2), C.gaussian_mixture(points, 2)):
+        got = {r.row_id: (r.node_id, r.label) for r in found.collect()}
+        assert got.keys() == truth.keys()
+        assert len({(truth[i], got[i]) for i in got}) == 4
+    found = {r.row_id: r.label for r in C.kmeans(points.where("node_id = 'a'"), 3).collect()}
+    x = {r[1]: np.array(r[2]) for r in rows if r[0] == "a" and r[1] != 999}
+    centres = np.array([np.mean([x[i] for i in found if found[i] == j], axis=0) for j in range(3)])
+    moved = sum(int(((x[i] - centres) ** 2).sum(axis=1).argmin()) != found[i] for i in found)
+    assert moved <= 2
