@@ -134,6 +134,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / max(a[1].sum() + b[1].sum() - shared, 1))
 
 
+def similarities(bags_: list[tuple[np.ndarray, np.ndarray]], columns: int = 1 << 14) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of some bags.
+
+    A shingle of weight ``w`` stands for its first to ``w``-th occurrence, so the overlap of two
+    bags is a product of zeros and ones, summed over occurrences that two bags have at least.
+    """
+    sizes = np.array([w.sum() for _, w in bags_])
+    holder = np.repeat(np.arange(len(bags_)), sizes)
+    shingle = np.concatenate([np.repeat(x, w) for x, w in bags_])
+    first = np.repeat(np.cumsum(np.concatenate([w for _, w in bags_])) - np.concatenate([w for _, w in bags_]), np.concatenate([w for _, w in bags_]))
+    occurrence = (np.arange(len(shingle)) - first).astype(np.uint64)
+    order = np.argsort(key := mix(shingle + _STEP * occurrence), kind="stable")
+    key, holder = key[order], holder[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(start, len(key)))
+    column = np.repeat(np.cumsum(count > 1) - 1, count)
+    shared = np.repeat(count > 1, count)
+    column, holder = column[shared], holder[shared]
+    overlap = np.zeros((len(bags_), len(bags_)))
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (begin, begin + columns))
+        part = np.zeros((len(bags_), columns), np.float32)
+        part[holder[a:b], column[a:b] - begin] = 1
+        overlap += part @ part.T
+    np.fill_diagonal(overlap, sizes)
+    return overlap / np.maximum(sizes[:, None] + sizes[None, :] - overlap, 1)
+
+
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     _, shingle, weight = bags(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     return shingle, weight
@@ -169,14 +197,21 @@ def _linked(texts: DataFrame, threshold: float):
 
     def in_block(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("v")
-        kept, names, group = [bag(t.encode()) for t in frame["text"]], list(frame["v"]), list(frame["c"])
+        names, group = list(frame["v"]), frame["c"].to_numpy()
+        hold = similarities([bag(t.encode()) for t in frame["text"]]) >= threshold
+        class_of = {c: c for c in group}
+
+        def top(c):
+            while class_of[c] != c:
+                c = class_of[c]
+            return c
+
         found = []
-        for i in range(len(kept)):
-            for j in range(i):
-                if group[i] != group[j] and similarity(kept[i], kept[j]) >= threshold:
-                    found.append((names[i], names[j]))
-                    old, new = group[i], group[j]
-                    group = [new if g == old else g for g in group]
+        for i, j in zip(*np.nonzero(np.triu(hold & (group[:, None] != group[None, :]), 1)), strict=True):
+            a, b = top(group[i]), top(group[j])
+            if a != b:  # one link is enough for two classes
+                class_of[a] = b
+                found.append((names[i], names[j]))
         return pd.DataFrame(found, columns=["a", "b"])
 
     def linked_blocks(blocks: DataFrame) -> DataFrame:

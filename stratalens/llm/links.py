@@ -3,9 +3,9 @@
 In a round every bucket names one leader; members of other classes are checked against it, linked
 ones join its class, and the leader, which has now met them all, leaves the bucket. Buckets with
 members of one class only are finished. Leaders come from the smallest class of their bucket, so
-that a few outsiders beside a large class meet it in a few rounds. What is left after ``ROUNDS``
-meets block by block, so that every two members of a bucket that are not yet in one class are
-checked, and none is dropped however large its bucket.
+that a few outsiders beside a large class meet it in a few rounds. Rounds go on while each finishes
+at least half of what was left; then the rest meets block by block, so that every two members of a
+bucket that are not yet in one class are checked, and none is dropped however large its bucket.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ROUNDS = 4
-BLOCK = 128
+BLOCK = 256
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,17 +58,17 @@ def _roots(parent: DataFrame) -> DataFrame:
             return parent
 
 
-def classes(live: DataFrame, linked: Callable[[DataFrame], DataFrame], linked_blocks: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def classes(live: DataFrame, linked: Callable[[DataFrame], DataFrame], linked_blocks: Callable[[DataFrame], DataFrame], leaders_first: bool = True) -> DataFrame:
     """(v, c) of every vertex with a link: its class by ``live`` (k, v), bucket and vertex, from ``shared``.
 
     ``linked`` keeps the pairs (a, b) that hold; ``linked_blocks`` takes (g, v, c), groups of
-    vertices with their classes so far, and returns the pairs (a, b) that hold between members
-    of a group that are of different classes.
+    vertices with their classes so far, and returns pairs (a, b) that hold and connect what
+    is connected within a group.
     """
-    labels = None
-    if live.isEmpty():
+    labels, left = None, live.count()
+    if not left:
         return live.select("v", F.col("v").alias("c"))
-    for _ in range(rounds):
+    while leaders_first:
         known = _labelled(live, labels)
         leaders = known.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader"))
         leaders = leaders.groupBy("k").agg(F.min(F.struct("n", "leader", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
@@ -79,8 +78,10 @@ def classes(live: DataFrame, linked: Callable[[DataFrame], DataFrame], linked_bl
         labels = _merged(labels, linked(pairs))
         # Buckets of several classes, without their leaders, by the new classes.
         live = _mixed(met.where(F.col("v") != F.col("leader")).select("k", "v"), labels)
-        if live.isEmpty():
+        before, left = left, live.count()
+        if not left:
             return labels
+        leaders_first = 2 * left <= before
     rest = _labelled(live, labels)
     sizes = rest.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("v"), F.col("n")).cast("int")
