@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..functions.pvalues import signed_rank_p
 from ..functions.ranks import average_ranks
+from .quantiles import with_medians
 
 
 def paired_differences(
@@ -33,14 +34,14 @@ def improved(d: Column, higher: Column | bool = True) -> Column:
 def effect_sizes(pairs: DataFrame, by: Sequence[str], higher: Column | bool = True) -> DataFrame:
     """(by..., n_pairs, median_delta, win_rate, rank_biserial); a win respects the better direction."""
     d, win = F.col("d"), improved(F.col("d"), higher)
-    return pairs.groupBy(*by).agg(
+    counts = pairs.groupBy(*by).agg(
         F.count("*").alias("n_pairs"),
-        F.percentile("d", 0.5).alias("median_delta"),
         F.avg(win.cast("double")).alias("win_rate"),
         ratio(
             (F.count_if(win) - F.count_if(~win & (d != 0))).cast("double"), F.count_if(d != 0)
         ).alias("rank_biserial"),
     )
+    return with_medians(counts, pairs, by, {"median_delta": "d"}).select(*by, "n_pairs", "median_delta", "win_rate", "rank_biserial")
 
 
 def signed_rank(pairs: DataFrame, by: Sequence[str], method: str = "auto") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import aggregate_wide, melt
@@ -100,3 +101,28 @@ def exact_quantiles(
         out = spots.join(low, [*at, "r0"]).join(high, [*at, "r1"])
     value = F.col("v0") + (F.col("pos") - F.col("r0")) * (F.col("v1") - F.col("v0"))
     return out.select(*at, "target", value.alias("value"))
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: dict[str, Column | str]) -> DataFrame:
+    """(by..., one column per entry of ``columns``): exact medians per group, null where a group has no value.
+
+    Groups are compared like values of SQL's ``group by``: null keys are a group as well.
+    """
+    names = list(columns)
+    keys = [f"__k{i}" for i in range(len(by))]
+    plain = df.select(*[F.struct(F.col(k).alias("k")).alias(n) for k, n in zip(by, keys)], *[(F.col(c) if isinstance(c, str) else c).cast("double").alias(n) for n, c in columns.items()])
+    plain = hold(plain)
+    ext = hold(extents(plain, keys, names))
+    found = exact_quantiles(plain, keys, names, ext.withColumns({"target": F.lit("median"), "p": F.lit(0.5)}), largest=largest_group(ext))
+    pick = lambda n: F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n)
+    groups = plain.select(*keys).distinct()
+    wide = found.groupBy(*keys).agg(*[pick(n) for n in names])
+    return groups.join(wide, keys, "left").select(*[F.col(f"{n}.k").alias(k) for k, n in zip(by, keys)], *names)
+
+
+def with_medians(table: DataFrame, df: DataFrame, by: Sequence[str], columns: dict[str, Column | str]) -> DataFrame:
+    """``table``, one row per group of ``df``, with its exact medians."""
+    own = medians(df, by, columns)
+    names = {k: f"__m_{k}" for k in by}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return table.join(own.withColumnsRenamed(names), same, "left").drop(*names.values())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..session import hold
 from . import paired as P
+from .quantiles import medians, with_medians
 
 # Which scores are better when larger, and the test level.
 HIGHER_IS_BETTER = {"trustworthiness": True, "continuity": True, "mrre_false": True, "mrre_missing": True, "stress": False}
@@ -32,8 +33,9 @@ def stability_summary(records: DataFrame, strict: float = 1.0) -> DataFrame:
     f1, coverage). Holm's correction runs over the thresholds of one family.
     """
     family = ["arm", "method", "split", "delta"]
-    medians = hold(records.groupBy(*family, "t").agg(F.percentile("f1", 0.5).alias("median_f1"), F.percentile("coverage", 0.5).alias("median_coverage")))
-    strict_f1 = medians.where(F.col("t") == strict).select(*family, F.col("median_f1").alias("strict_f1"))
+    records = hold(records)
+    middle = hold(medians(records, [*family, "t"], {"median_f1": "f1", "median_coverage": "coverage"}))
+    strict_f1 = middle.where(F.col("t") == strict).select(*family, F.col("median_f1").alias("strict_f1"))
     long = P.long_metrics(records, [*family, "t", "seed", "sel_id"], list(STABILITY_UP))
     values = long.groupBy(*family, "metric", "t", "seed", "sel_id").agg(F.avg("value").alias("value"))
     values = hold(values)
@@ -44,10 +46,10 @@ def stability_summary(records: DataFrame, strict: float = 1.0) -> DataFrame:
     by = [*family, "metric", "t"]
     tested = P.compare_pairs(pairs, by, _up(STABILITY_UP))
     units = pairs.groupBy(*by).agg(F.count_distinct("sel_id").alias("n_selections"), F.count_distinct("seed").alias("n_seeds"))
-    own = relaxed.groupBy(*by).agg(F.percentile("value", 0.5).alias("median_value"))
-    strict_own = base.groupBy(*family, "metric").agg(F.percentile("strict_value", 0.5).alias("median_strict"))
+    own = medians(relaxed, by, {"median_value": "value"})
+    strict_own = medians(base, [*family, "metric"], {"median_strict": "strict_value"})
     out = tested.join(units, by).join(own, by).join(strict_own, [*family, "metric"])
-    out = out.join(medians, [*family, "t"]).join(strict_f1, family).withColumn("f1_ratio", ratio(F.col("median_f1"), F.col("strict_f1")))
+    out = out.join(middle, [*family, "t"]).join(strict_f1, family).withColumn("f1_ratio", ratio(F.col("median_f1"), F.col("strict_f1")))
     return P.holm(out, [*family, "metric"], order=[F.col("t").desc()]).drop("strict_f1")
 
 
@@ -86,10 +88,11 @@ def split_invariance(records: DataFrame, columns: Sequence[str], strict: float =
 def matched_leaf_summary(matches: DataFrame) -> DataFrame:
     """Agreement of strongly matched leaves per (method, t), the weak share beside it."""
     weak = matches.groupBy("method").agg(F.avg(F.col("weak_match").cast("double")).alias("weak_match_frac"))
-    strong = matches.where(~F.col("weak_match")).groupBy("method", "t").agg(
-        F.count("*").alias("n_matched_pairs"), F.avg("jaccard_admitted").alias("mean_jaccard_admitted"),
-        F.percentile("jaccard_admitted", 0.5).alias("median_jaccard_admitted"), F.avg("match_jaccard").alias("mean_match_jaccard"),
+    kept = matches.where(~F.col("weak_match"))
+    strong = kept.groupBy("method", "t").agg(
+        F.count("*").alias("n_matched_pairs"), F.avg("jaccard_admitted").alias("mean_jaccard_admitted"), F.avg("match_jaccard").alias("mean_match_jaccard"),
     )
+    strong = with_medians(strong, kept, ["method", "t"], {"median_jaccard_admitted": "jaccard_admitted"})
     return strong.join(weak, "method")
 
 
@@ -131,7 +134,8 @@ def crossover(records: DataFrame, level: str, value: str, floor: float = ADEQUAC
 
 
 def gap_table(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.count(value).alias("count"))
+    means = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
+    return with_medians(means, df, by, {"median": value}).select(*by, "mean", "median", "count")
 
 
 def table_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
@@ -233,12 +237,12 @@ def acceptance(runs: DataFrame, by: Sequence[str], n_validation: int, time_limit
     wide = runs.groupBy(*by).agg(
         F.max(on(base, "dbcv_leaf")).alias("b_dbcv_max"), F.min(on(cand, "dbcv_leaf")).alias("p_dbcv_min"),
         F.avg(on(base, "tnc_mean")).alias("b_tnc"), F.avg(on(cand, "tnc_mean")).alias("p_tnc"),
-        F.percentile(on(base, "build_seconds"), 0.5).alias("b_sec"), F.percentile(on(cand, "build_seconds"), 0.5).alias("p_sec"),
         F.avg(on(base, "noise_frac")).alias("b_noise"), F.avg(on(cand, "noise_frac")).alias("p_noise"),
         F.avg(on(base, "ari")).alias("b_ari"), F.avg(on(cand, "ari")).alias("p_ari"),
         F.count_if(cand & F.col("exception").isNull()).alias("n_ok"), F.count_if(cand).alias("n_cand"),
         F.min(F.when(cand, F.coalesce("median_leaf_size", F.lit(0.0)))).alias("p_leaf_min"),
     )
+    wide = with_medians(wide, runs, by, {"b_sec": on(base, "build_seconds"), "p_sec": on(cand, "build_seconds")})
     no = F.lit(False)
     rules = {
         "a1_separation": F.coalesce(F.col("p_dbcv_min") > F.col("b_dbcv_max"), no),
@@ -263,12 +267,14 @@ def bound_check(statistics: DataFrame, bounds: DataFrame, by: Sequence[str]) ->
     """
     v = F.col("value")
     within = lambda lo, hi: F.bool_and((v >= F.coalesce(lo, F.lit(float("-inf")))) & (v <= F.coalesce(hi, F.lit(float("inf")))))
-    judged = statistics.join(bounds, list(by)).groupBy(*by).agg(
-        F.count("*").alias("n"), F.percentile("value", 0.5).alias("median"),
+    rows = statistics.join(bounds, list(by))
+    judged = rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
         within(F.col("lo"), F.col("hi")).alias("inside"), within(F.col("band_lo"), F.col("band_hi")).alias("in_band"),
     )
     verdict = F.when(F.col("inside"), "pass").when(F.col("in_band"), "excursion").otherwise("fail")
-    return judged.withColumn("verdict", verdict).drop("inside", "in_band")
+    judged = with_medians(judged.withColumn("verdict", verdict), rows, by, {"median": "value"})
+    return judged.select(*by, "n", "median", "verdict")
 
 
 def pooled_check(pairs: DataFrame, band: float = 0.05, wins: tuple[float, float] = (0.5, 0.8)) -> DataFrame:
@@ -285,7 +291,7 @@ def example_leaf(shapes: DataFrame, leaves: DataFrame, by: Sequence[str]) -> Dat
     Without a build of exactly the median count the nearest one is taken; ties go to the
     earlier build. Of an even number of leaves the larger middle one, equal sizes by leaf id.
     """
-    mid = shapes.groupBy(*by).agg(F.floor(F.percentile("n_leaves", 0.5)).alias("mid"))
+    mid = medians(shapes, by, {"mid": "n_leaves"}).withColumn("mid", F.floor("mid"))
     near = Window.partitionBy(*by).orderBy(F.abs(F.col("n_leaves") - F.col("mid")), "build")
     build = shapes.join(mid, list(by)).withColumn("rn", F.row_number().over(near)).where("rn = 1").select(*by, "build")
     sizes = leaves.select(*by, "build", "leaf_id", "leaf_n").distinct().join(build, [*by, "build"])

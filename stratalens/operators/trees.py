@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import medians, with_medians
+
 SCORE_FLOOR_K = 10
 MIN_SCORE_ROWS = 2 * SCORE_FLOOR_K + 1
 EVAL_K = 20
@@ -72,12 +74,11 @@ def tree_shape(nodes: DataFrame, scores: DataFrame, by: Sequence[str], depth_cap
     size = F.when(leaf, F.col("n_points"))
     joined = nodes.join(scores.select(*keys, "node_id", "trustworthiness"), [*keys, "node_id"], "left")
     total = F.max(F.when(F.col("node_id") == "root", F.col("n_points")))
-    return joined.groupBy(*keys).agg(
+    shapes = joined.groupBy(*keys).agg(
         total.alias("n_rows"),
         F.max(F.when(leaf, F.col("depth"))).alias("realized_depth"),
         (F.max(F.when(leaf, F.col("depth"))) >= depth_cap).alias("cap_censored"),
         F.count_if(leaf).alias("n_leaves"),
-        F.percentile(size, 0.5).alias("median_leaf_size"),
         F.min(size).alias("min_leaf_size"),
         F.max(size).alias("max_leaf_size"),
         (F.lit(1.0) - F.sum(size) / total).alias("noise_fraction"),
@@ -86,6 +87,7 @@ def tree_shape(nodes: DataFrame, scores: DataFrame, by: Sequence[str], depth_cap
         F.count_if(leaf & ~F.col("projected")).alias("n_leaves_unprojected"),
         F.bool_or((F.col("node_id") == "root") & ~F.col("projected")).alias("root_unprojected"),
     )
+    return with_medians(shapes, joined, keys, {"median_leaf_size": size})
 
 
 def leaf_purity(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -120,20 +122,20 @@ def leaf_means(scores: DataFrame, columns: Sequence[str], by: Sequence[str], wei
 
 
 def median_range(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.percentile(column, 0.5).alias("median"), F.min(column).cast("double").alias("lowest"), F.max(column).cast("double").alias("highest")
-    )
+    ends = df.groupBy(*by).agg(F.min(column).cast("double").alias("lowest"), F.max(column).cast("double").alias("highest"))
+    return with_medians(ends, df, by, {"median": column}).select(*by, "median", "lowest", "highest")
 
 
 def two_stage_median(df: DataFrame, column: str, by: Sequence[str], stage: Sequence[str]) -> DataFrame:
     """Pooled median beside the median of the medians per stage."""
-    pooled = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"), F.count(column).alias("count"))
-    inner = df.groupBy(*by, *stage).agg(F.percentile(column, 0.5).alias("m"))
-    return pooled.join(inner.groupBy(*by).agg(F.percentile("m", 0.5).alias("median_of_stage_medians")), list(by))
+    pooled = with_medians(df.groupBy(*by).agg(F.count(column).alias("count")), df, by, {"median": column})
+    inner = medians(df, [*by, *stage], {"m": column})
+    return with_medians(pooled, inner, by, {"median_of_stage_medians": "m"}).select(*by, "median", "count", "median_of_stage_medians")
 
 
 def grouped_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str], size_name: str = "n_selections") -> DataFrame:
-    return df.groupBy(*by).agg(*[F.percentile(c, 0.5).alias(c) for c in columns], F.count("*").alias(size_name))
+    sizes = df.groupBy(*by).agg(F.count("*").alias(size_name))
+    return with_medians(sizes, df, by, {c: c for c in columns}).select(*by, *columns, size_name)
 
 
 def cluster_stats(partition: DataFrame, by: Sequence[str] = ()) -> DataFrame:
