@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,13 +16,8 @@ from .inputs import LINE_FEATURES, lines, order_membership, order_rows, rounded,
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder below the shared one."""
-    base = shared_dir(spark)
-    if "://" in base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """The name of a fresh folder below the shared one; Spark itself makes it, wherever it is."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s1_read_delimited", "select o_orderkey, o_totalprice, o_orderpriority from orders")

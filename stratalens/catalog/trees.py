@@ -194,10 +194,10 @@ def k11(spark, sf):
 @query(
     "g8_neighbourhood_size",
     """select user_id, n, case when n >= 10 and least(20, (n - 1) // 2) >= 1 then cast(least(20, (n - 1) // 2) as int) end as k,
-       case when n >= 21 then 10 end as k_fixed from (select user_id, count(*) as n from events where event_type <> 'view' group by 1)""",
+       case when n >= 21 then 10 end as k_fixed from (select user_id, count(*) as n from events group by 1)""",
 )
 def g8(spark, sf):
-    sizes = table(spark, sf, "events").where(F.col("event_type") != "view").groupBy("user_id").agg(F.count("*").alias("n"))
+    sizes = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     return sizes.select("user_id", "n", T.scoring_k(F.col("n")).alias("k"), T.fixed_k(F.col("n")).alias("k_fixed"))
 
 

@@ -21,10 +21,12 @@ def describe_selection(
     """Tables ``full``, ``trimmed``, ``summary``, ``characteristics`` and ``targets`` of a selection.
 
     ``node`` and ``selection`` hold row ids. A selection of the whole node is refused; an
-    empty one gives an empty result.
+    empty one gives the same tables without rows.
     """
-    if not require_partial(node, selection):
-        return {}
+    some = require_partial(node, selection)
+    if not some:  # any row stands in, for the shape of the tables
+        node = df.select("row_id")
+        selection = node.orderBy("row_id").limit(1)
     inside = node.select("row_id", F.lit(True).alias("in_node"))
     chosen = selection.select("row_id", F.lit(True).alias("selected"))
     tagged = df.join(inside, "row_id", "left").join(chosen, "row_id", "left")
@@ -34,10 +36,11 @@ def describe_selection(
     found, summary = P.full_and_core(rows, features, stats)
     space = tagged.where("in_node")
     root = Scaler.fit(df, features, config.normalize)
-    return {
+    out = {
         "full": found.where("part = 'full'"),
         "trimmed": found.where("part = 'trimmed'"),
         "summary": summary,
         "characteristics": selection_characteristics(space, "selected", features, extras, root),
         "targets": selection_targets(tagged, targets, "selected"),
     }
+    return out if some else {name: table.limit(0) for name, table in out.items()}

@@ -96,7 +96,8 @@ def test_describe_selection(spark):
     target = out["targets"].collect()
     assert [r.feature for r in target] == ["target_fr"] and target[0].is_boolean and target[0].sel_mean == 1.0
     assert out["characteristics"].count() == len(LETTER_COLUMNS) + 1
-    assert describe_selection(df, LETTER_COLUMNS, node, chosen.limit(0)) == {}
+    none = describe_selection(df, LETTER_COLUMNS, node, chosen.limit(0), extras=["n_chars"], targets=["target_fr"])
+    assert none.keys() == out.keys() and all(t.columns == out[n].columns and t.isEmpty() for n, t in none.items())
     with pytest.raises(ValueError):
         describe_selection(df, LETTER_COLUMNS, node, node)
 
