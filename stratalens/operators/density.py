@@ -306,17 +306,22 @@ def merge_rounds(merges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _place_rows(joined: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(node_id, row_id, cluster, w): the cluster a row joined, climbing from its seed while that had merged before."""
-    ends = clusters.select(NODE, "cluster", "parent", "w_end")
-    moving = joined.withColumnRenamed("seed", "cluster").join(ends, [NODE, "cluster"])
-    placed = None
-    while True:
-        late = F.col("w_end").isNotNull() & (F.col("w") > F.col("w_end"))
-        here = moving.where(~late).select(NODE, "row_id", "cluster", "w")
-        placed = here if placed is None else placed.unionByName(here)
-        moving = hold(moving.where(late).select(NODE, "row_id", F.col("parent").alias("cluster"), "w").join(ends, [NODE, "cluster"]))
-        if not moving.limit(1).count():
-            return placed
+    """(node_id, row_id, cluster, w): the cluster a row joined, climbing from its seed while that had merged before.
+
+    Jumps of one, two, four, ... clusters upwards are made by doubling; a row then takes the
+    longest jumps first, each while even its last cluster had merged before. Rounds are
+    logarithmic in the depth of the tree.
+    """
+    jump = clusters.where(F.col("parent").isNotNull()).select(NODE, "cluster", F.col("parent").alias("up"), F.col("w_end").alias("far"))
+    jumps = []
+    while not (jump := hold(jump)).isEmpty():
+        jumps.append(jump)
+        above = jump.select(NODE, F.col("cluster").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        jump = jump.join(above, [NODE, "up"]).select(NODE, "cluster", F.col("up2").alias("up"), F.greatest("far", "far2").alias("far"))
+    rows = joined.select(NODE, "row_id", F.col("seed").alias("cluster"), "w")
+    for jump in reversed(jumps):
+        rows = rows.join(jump, [NODE, "cluster"], "left").select(NODE, "row_id", F.when(F.col("w") > F.col("far"), F.col("up")).otherwise(F.col("cluster")).alias("cluster"), "w")
+    return rows
 
 
 def _stabilities(placed: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -205,3 +205,21 @@ def test_centre_methods_per_node(spark, chunk, monkeypatch):
     centres = np.array([np.mean([x[i] for i in found if found[i] == j], axis=0) for j in range(3)])
     moved = sum(int(((x[i] - centres) ** 2).sum(axis=1).argmin()) != found[i] for i in found)
     assert moved <= 2
+
+
+def test_rows_climb_deep_trees(spark):
+    """A chain of clusters and a random tree against climbing step by step."""
+    from stratalens.operators.density import _place_rows
+
+    rng = np.random.default_rng(4)
+    parent = {("chain", i): i - 1 if i else None for i in range(70)} | {("tree", i): int(rng.integers(i)) if i else None for i in range(60)}
+    w_end = {}
+    for (n, i), p in parent.items():  # a cluster ends before its parent does
+        w_end[n, i] = None if p is None else (100.0 if w_end[n, p] is None else w_end[n, p]) - float(rng.uniform(0.1, 1))
+    clusters = spark.createDataFrame([(n, i, p, w_end[n, i]) for (n, i), p in parent.items()], "node_id string, cluster bigint, parent bigint, w_end double")
+    joined = [(n, k, i, float(rng.uniform(20, 101))) for k, (n, i) in enumerate([*parent] * 3)]
+    got = {(r.node_id, r.row_id): r.cluster for r in _place_rows(spark.createDataFrame(joined, "node_id string, row_id bigint, seed bigint, w double"), clusters).collect()}
+    for n, k, i, w in joined:
+        while w_end[n, i] is not None and w > w_end[n, i]:
+            i = parent[n, i]
+        assert got[n, k] == i
