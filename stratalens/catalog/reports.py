@@ -394,16 +394,99 @@ RUNS = """runs as (select l_suppkey as dataset, l_linenumber as build, case when
         select *, a1_separation and a2_view and a3_interactive and a4_reliable and a5_granularity and a6_labels as adopted from r""",
 )
 def t25(spark, sf):
-    runs = lines(spark, sf).groupBy(
+    return R.acceptance(build_runs(spark, sf), ["dataset"], n_validation=7)
+
+
+def build_runs(spark, sf, *more):
+    return lines(spark, sf).groupBy(
         F.col("l_suppkey").alias("dataset"), F.col("l_linenumber").alias("build"),
         F.when(F.col("l_linestatus") == "F", "baseline").otherwise("preset").alias("arm"), F.lit("test").alias("split"),
     ).agg(
         F.round(F.min("l_discount") + F.max("l_tax"), 4).alias("dbcv_leaf"), F.round(F.avg("l_tax") * 10, 4).alias("tnc_mean"),
         F.round(F.avg("l_quantity"), 2).alias("build_seconds"), F.round(F.avg("l_discount"), 4).alias("noise_frac"), F.round(F.avg("l_tax"), 4).alias("ari"),
         F.round(F.avg("l_quantity"), 2).alias("median_leaf_size"),
-        F.when((F.max("l_quantity") == 50) & (F.count("*") % 6 == 0), "error").alias("exception"),
+        F.when((F.max("l_quantity") == 50) & (F.count("*") % 6 == 0), "error").alias("exception"), *more,
     )
-    return R.acceptance(runs, ["dataset"], n_validation=7)
+
+
+@query(
+    "t25_acceptance_numbers",
+    f"""with {RUNS.replace(" as exception", " as exception, count(*) as n_leaves, cast(sum(case when l_discount = 0 then 1 else 0 end) as bigint) as unembedded_nodes")}
+        select dataset, round(avg(case when arm = 'baseline' then dbcv_leaf end), 6) as baseline_dbcv_mean, round(avg(case when arm = 'preset' then dbcv_leaf end), 6) as preset_dbcv_mean,
+          round(avg(case when arm = 'baseline' then tnc_mean end), 6) as baseline_tnc_mean, round(avg(case when arm = 'preset' then tnc_mean end), 6) as preset_tnc_mean,
+          round(avg(case when arm = 'baseline' then ari end), 6) as baseline_ari_mean, round(avg(case when arm = 'preset' then ari end), 6) as preset_ari_mean,
+          round(avg(case when arm = 'baseline' then noise_frac end), 6) as baseline_noise_mean, round(avg(case when arm = 'preset' then noise_frac end), 6) as preset_noise_mean,
+          round(max(case when arm = 'baseline' then dbcv_leaf end), 6) as baseline_dbcv_max, round(min(case when arm = 'preset' then dbcv_leaf end), 6) as preset_dbcv_min,
+          coalesce(array_to_string(list(n_leaves order by n_leaves) filter (arm = 'baseline'), ','), '') as baseline_leaves, coalesce(array_to_string(list(n_leaves order by n_leaves) filter (arm = 'preset'), ','), '') as preset_leaves,
+          coalesce(cast(sum(case when arm = 'baseline' then unembedded_nodes end) as bigint), 0) as baseline_unembedded_nodes, coalesce(cast(sum(case when arm = 'preset' then unembedded_nodes end) as bigint), 0) as preset_unembedded_nodes,
+          round(quantile_cont(case when arm = 'baseline' then build_seconds end, 0.5), 6) as baseline_seconds_median, round(quantile_cont(case when arm = 'preset' then build_seconds end, 0.5), 6) as preset_seconds_median
+        from runs group by 1""",
+)
+def t25_numbers(spark, sf):
+    runs = build_runs(spark, sf, F.count("*").alias("n_leaves"), F.count_if(F.col("l_discount") == 0).alias("unembedded_nodes"))
+    out = R.acceptance_numbers(runs, ["dataset"])
+    lists = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("baseline_leaves", "preset_leaves")}
+    return rounded(out.withColumns(lists))
+
+
+MEDIAN_BOUNDS = [("click", 40.0, None), ("view", 1.0, 45.0), ("error", 60.0, None), ("signup", 0.0, 1000.0)]
+
+
+@query(
+    "t26_median_check",
+    f"""with b as (select * from (values {', '.join('(' + ', '.join('null' if v is None else repr(v) for v in r) + ')' for r in MEDIAN_BOUNDS)}) t(event_type, lo, ceiling)),
+        m as (select event_type, count(value) as n, quantile_cont(value, 0.5) as median from events group by 1),
+        s as (select event_type, quantile_cont(m, 0.5) as mm from (select event_type, user_id, quantile_cont(value, 0.5) as m from events group by 1, 2) group by 1)
+        select event_type, n, round(median, 6) as median, round(mm, 6) as median_of_stage_medians, case when median >= lo and (ceiling is null or median < ceiling) then 'pass' else 'fail' end as verdict
+        from m join s using (event_type) join b using (event_type)""",
+)
+def t26_median(spark, sf):
+    bounds = spark.createDataFrame(MEDIAN_BOUNDS, "event_type string, lo double, ceiling double")
+    return rounded(R.median_check(table(spark, sf, "events").select("event_type", "user_id", "value"), bounds, ["event_type"], ["user_id"]))
+
+
+PAIR_RULES = [("A", 64, None, None, None, None), ("N", 40, None, None, None, None), ("R", 64, 20.0, 30.0, 20.0, 30.0)]
+
+
+@query(
+    "t26_median_pairs",
+    f"""with u as (select * from (values {', '.join('(' + ', '.join('null' if v is None else repr(v) for v in r) + ')' for r in PAIR_RULES)}) t(l_returnflag, dims, sl, sh, rl, rh)),
+        m as (select l_returnflag, count(case when l_linenumber = 1 then 1 end) as n_strict, count(case when l_linenumber = 4 then 1 end) as n_relaxed,
+          quantile_cont(case when l_linenumber = 1 then l_quantity end, 0.5) as s, quantile_cont(case when l_linenumber = 4 then l_quantity end, 0.5) as r from lineitem group by 1)
+        select l_returnflag, n_strict, n_relaxed, round(s, 6) as strict_median, round(r, 6) as relaxed_median,
+          case when case when sl is not null then s between sl and sh and r between rl and rh else r < s and s < dims / 2 end then 'pass' else 'fail' end as verdict from m join u using (l_returnflag)""",
+)
+def t26_pairs(spark, sf):
+    rules = spark.createDataFrame(PAIR_RULES, "l_returnflag string, dims int, strict_lo double, strict_hi double, relaxed_lo double, relaxed_hi double")
+    values = lines(spark, sf).withColumn("value", F.col("l_quantity"))
+    return rounded(R.median_pair_check(values, ["l_returnflag"], "l_linenumber", 1, 4, rules))
+
+
+DELTAS = "records as (select event_type as dataset, user_id % 3 <> 0 as eligible, case when user_id % 7 <> 0 then round((value - 50) / 1000, 4) end as d, value / 100 as second from events)"
+
+
+def deltas(spark, sf):
+    d = F.when(F.col("user_id") % 7 != 0, F.round((F.col("value") - 50) / 1000, 4))
+    return table(spark, sf, "events").select(F.col("event_type").alias("dataset"), (F.col("user_id") % 3 != 0).alias("eligible"), d.alias("d"), (F.col("value") / 100).alias("second"))
+
+
+@query(
+    "t27_pooled_groups",
+    f"""with {DELTAS} select dataset, round(quantile_cont(d, 0.5), 6) as median, round(avg(case when d > 0 then 1.0 else 0 end), 6) as win_rate, count(*) as n from records where eligible and d is not null group by 1""",
+)
+def t27_groups(spark, sf):
+    return rounded(R.pooled_report(deltas(spark, sf), ["dataset"])[1])
+
+
+@query(
+    "t27_pooled_row",
+    f"""with {DELTAS}, one as (select 1 as k, d from records where eligible and d is not null), {compare_cte('c', 'k', source='one')}
+        select n_pairs, round(median_delta, 6) as median_delta, round(win_rate, 6) as win_rate, round(wilcoxon_p, 6) as wilcoxon_p,
+          case when median_delta > 0 and median_delta <= 0.05 and win_rate between 0.5 and 0.8 then 'pass' else 'fail' end as verdict,
+          (select round(quantile_cont(second, 0.5), 6) from records where eligible and d is not null) as median_second, (select count(*) from records where eligible and d is null) as n_unscored from c""",
+)
+def t27_row(spark, sf):
+    return rounded(R.pooled_report(deltas(spark, sf), ["dataset"])[0])
 
 
 BOUNDS = [("click", 0.0, 500.0, 0.0, 600.0), ("view", 1.0, 300.0, 0.0, 400.0), ("error", 0.0, 100.0, 0.0, 150.0), ("signup", None, 400.0, None, 450.0)]

@@ -259,6 +259,54 @@ def acceptance(runs: DataFrame, by: Sequence[str], n_validation: int, time_limit
     return judged.select(*by, adopted.alias("adopted"), *rules)
 
 
+def acceptance_numbers(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The numbers behind ``acceptance``, per side: means, extremes, medians, leaf counts and unprojected nodes.
+
+    ``runs`` holds n_leaves and unembedded_nodes besides the columns of ``acceptance``.
+    """
+    sides = {"baseline": (F.col("arm") == "baseline") & (F.col("split") == "test"), "preset": F.col("arm") == "preset"}
+    means = {"dbcv": "dbcv_leaf", "tnc": "tnc_mean", "ari": "ari", "noise": "noise_frac"}
+    out, middle = [], {}
+    for side, chosen in sides.items():
+        on = lambda c: F.when(chosen, F.col(c))  # noqa: E731, B023
+        out += [F.avg(on(c)).alias(f"{side}_{name}_mean") for name, c in means.items()]
+        out.append((F.max if side == "baseline" else F.min)(on("dbcv_leaf")).alias(f"{side}_dbcv_{'max' if side == 'baseline' else 'min'}"))
+        out.append(F.array_sort(F.collect_list(on("n_leaves"))).alias(f"{side}_leaves"))
+        out.append(F.coalesce(F.sum(on("unembedded_nodes")), F.lit(0)).cast("bigint").alias(f"{side}_unembedded_nodes"))
+        middle[f"{side}_seconds_median"] = on("build_seconds")
+    return with_medians(runs.groupBy(*by).agg(*out), runs, by, middle)
+
+
+def median_check(values: DataFrame, bounds: DataFrame, by: Sequence[str], stage: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, median, median_of_stage_medians, verdict) against a table (by..., lo, ceiling).
+
+    A group passes when the median of its values reaches ``lo`` and stays under ``ceiling``
+    where there is one. The median of the medians per ``stage`` stands beside it for reading.
+    """
+    rows = values.join(bounds, list(by))
+    ends = rows.groupBy(*by).agg(F.count("value").alias("n"), F.max("lo").alias("lo"), F.max("ceiling").alias("ceiling"))
+    found = with_medians(ends, rows, by, {"median": "value"})
+    found = with_medians(found, medians(rows, [*by, *stage], {"m": "value"}), by, {"median_of_stage_medians": "m"})
+    good = (F.col("median") >= F.col("lo")) & (F.col("ceiling").isNull() | (F.col("median") < F.col("ceiling")))
+    return found.select(*by, "n", "median", "median_of_stage_medians", F.when(good, "pass").otherwise("fail").alias("verdict"))
+
+
+def median_pair_check(values: DataFrame, by: Sequence[str], level: str, strict, relaxed, rules: DataFrame) -> DataFrame:
+    """(by..., n_strict, n_relaxed, strict_median, relaxed_median, verdict) of two levels of a setting.
+
+    ``rules`` holds (by..., dims, strict_lo, strict_hi, relaxed_lo, relaxed_hi). Where bands are
+    given both medians must lie in theirs; else the relaxed median must be below the strict
+    one and that below half of ``dims``.
+    """
+    on = lambda v: F.when(F.col(level) == v, F.col("value"))
+    counts = values.groupBy(*by).agg(F.count(on(strict)).alias("n_strict"), F.count(on(relaxed)).alias("n_relaxed"))
+    found = with_medians(counts, values, by, {"strict_median": on(strict), "relaxed_median": on(relaxed)}).join(rules, list(by))
+    s, r = F.col("strict_median"), F.col("relaxed_median")
+    banded = s.between(F.col("strict_lo"), F.col("strict_hi")) & r.between(F.col("relaxed_lo"), F.col("relaxed_hi"))
+    good = F.when(F.col("strict_lo").isNotNull(), banded).otherwise((r < s) & (s < F.col("dims") / 2))
+    return found.select(*by, "n_strict", "n_relaxed", "strict_median", "relaxed_median", F.when(F.coalesce(good, F.lit(False)), "pass").otherwise("fail").alias("verdict"))
+
+
 def bound_check(statistics: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Grouped values against a bound table (by..., lo, hi, band_lo, band_hi): pass, excursion or fail.
 
@@ -321,3 +369,19 @@ def best_configurations(results: DataFrame, value: str, by: Sequence[str], worst
     """Best row per group, non-finite values last, ties by ``tie``."""
     order = Window.partitionBy(*by).orderBy(finite_or_worst(value, worst).desc(), tie)
     return results.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+def pooled_report(records: DataFrame, by: Sequence[str], band: float = 0.05, wins: tuple[float, float] = (0.5, 0.8)) -> tuple[DataFrame, DataFrame]:
+    """(pooled row, rows per group) of records (by..., eligible, d, second).
+
+    The pooled row is that of ``pooled_check`` with the median of ``second`` and the number of
+    eligible records without ``d``, which are left out of it.
+    """
+    chosen = records.where("eligible").withColumn("__all", F.lit(1))
+    scored = chosen.where(F.col("d").isNotNull())
+    unscored = chosen.agg(F.count_if(F.col("d").isNull()).alias("n_unscored"))
+    other = medians(scored, ["__all"], {"median_second": "second"}).drop("__all")
+    # One row each.
+    pooled = pooled_check(scored.drop("__all"), band, wins).join(other).join(unscored)
+    counts = scored.groupBy(*by).agg(F.avg((F.col("d") > 0).cast("double")).alias("win_rate"), F.count("*").alias("n"))
+    return pooled, with_medians(counts, scored, by, {"median": "d"}).select(*by, "median", "win_rate", "n")
