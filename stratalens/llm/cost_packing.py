@@ -34,7 +34,7 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 GROUP = 1 << 21
 #: Words whose ids a worker keeps; beyond that it starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -57,6 +57,11 @@ class Encoder:
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         # Digits stand alone in this vocabulary, so one of them can part words encoded in one call.
         self.marks = {d: int(x[1]) for d in "0123456789" if len(x := self._ids(f"a {d} b")) == 3}
+        # Where the vocabulary marks the last piece of a run of letters, words of letters need no mark.
+        suffix = self.model.model.end_of_word_suffix
+        self.last = np.zeros(self.model.get_vocab_size(), bool)
+        if suffix:
+            self.last[[i for piece, i in self.model.get_vocab().items() if piece.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {b"": b""}
 
     @classmethod
@@ -73,19 +78,28 @@ class Encoder:
     def _learn(self, words: list[bytes]) -> None:
         for first in range(0, len(words), 4096):
             part = [w.decode() for w in words[first : first + 4096]]
+            if self.last.any():
+                letters = [w for w in part if w.isalpha()]
+                part = [w for w in part if not w.isalpha()]
+                ids = self._ids(" ".join(letters))
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(letters):
+                    self._put(letters, ids, [0, *ends[:-1].tolist()], ends.tolist())
+                else:
+                    part += letters
             joined = "".join(part)
             mark = min(self.marks, key=joined.count, default="")
             for word in [w for w in part if mark in w]:
                 self.words[word.encode()] = self._ids(word).tobytes()
             part = [w for w in part if mark not in w]
-            if not part:
-                continue
-            ids = self._ids(f" {mark} ".join(part))
-            ends = np.append(np.flatnonzero(ids == self.marks[mark]), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                self.words[word.encode()] = raw[4 * at : 4 * end]
-                at = end + 1
+            if part:
+                ids = self._ids(f" {mark} ".join(part))
+                ends = np.append(np.flatnonzero(ids == self.marks[mark]), len(ids)).tolist()
+                self._put(part, ids, [0, *(e + 1 for e in ends[:-1])], ends)
+
+    def _put(self, words: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        self.words.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(words, starts, ends, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         low = [t.encode().lower() for t in texts]
@@ -94,10 +108,8 @@ class Encoder:
         data = np.frombuffer(b"\x00 ".join(b"" if i in whole else t.translate(_BLANKS) for i, t in enumerate(low)), np.uint8)
         at = np.flatnonzero(_LETTER[data[:-1]] & _POINT[data[1:]]) + 1
         split = [t.split(b" ") for t in np.insert(data, at, 32).tobytes().split(b"\x00 ")]
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        new = [w for w in seen if w not in self.words]
+        seen = set().union(*split)
+        new = list(seen.difference(self.words))
         if len(self.words) + len(new) > WORDS_KEPT:
             self.words = {b"": b""}
             new = [w for w in seen if w]
