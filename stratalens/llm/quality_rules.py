@@ -126,7 +126,8 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """Columns ``keep`` beside every measure, ``base_failed`` and ``kept``, one row per input row."""
     names = [c for c in keep if c not in MEASURES]
     slim = docs.select(*names, whole_text(docs, text).alias("__text"))
-    return _judged(slim, "__text", thresholds).select(*names, *MEASURES)
+    # As in ``keep``: a caller's filter on a measure stays above the generator.
+    return _judged(slim, "__text", thresholds).select(*names, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def keep(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
