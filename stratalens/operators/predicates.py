@@ -421,6 +421,7 @@ def quality(background: DataFrame, features: Sequence[str], predicates: DataFram
     ``sel_of`` is the id column naming the selection a predicate is judged against,
     ``member`` the column of ``background`` that holds the row's selection(s).
     """
+    predicates = hold(predicates)  # read by the scans, the lengths and the keys of empty ones
     base = background.withColumnRenamed(member, "__member")
     hit = admitted(base, features, predicates, ids, ["__member"])
     mine = F.array_contains("__member", F.col(sel_of)) if _is_array(base, "__member") else F.col("__member") == F.col(sel_of)
