@@ -191,8 +191,8 @@ def _linked(texts: DataFrame, threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.binary()) for x in (a, b)], names=["a", "b"])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
-        both = first.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
+        first = pairs.hint("merge").join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
+        both = first.hint("merge").join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
         return stored(both.select("a", "b", "ta", "tb").mapInArrow(checked, "a binary, b binary"))
 
     def in_block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -215,7 +215,7 @@ def _linked(texts: DataFrame, threshold: float):
         return pd.DataFrame(found, columns=["a", "b"])
 
     def linked_blocks(blocks: DataFrame) -> DataFrame:
-        return stored(blocks.join(texts, "v").groupBy("g").applyInPandas(in_block, "a binary, b binary"))
+        return stored(blocks.hint("merge").join(texts, "v").groupBy("g").applyInPandas(in_block, "a binary, b binary"))
 
     return linked, linked_blocks
 
@@ -232,7 +232,8 @@ def _text_classes(own: DataFrame, threshold: float) -> DataFrame:
     members = hashed.groupBy("v").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("k"), "v")
     live = links.shared(members)
     # The texts that share a bucket with another, once each.
-    texts = stored(own.join(live.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")))
+    # Texts meet ids by sorting at every size, so that costs grow in proportion and nothing is broadcast.
+    texts = stored(own.join(live.select("v").distinct().hint("merge"), "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")))
     return links.classes(live, *_linked(texts, threshold))
 
 
@@ -256,10 +257,15 @@ def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     own = docs.select(body.alias("text"), _digest(body).alias("v"))
     found = _text_classes(own, threshold)
     empty = F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")) == 0
-    row = F.struct(*[docs[c] for c in docs.columns])
-    packed = docs.select(row.alias("row"), _digest(body).alias("v"), empty.alias("empty"), docs[id_column].alias("id"))
-    classed = packed.where(~F.col("empty")).join(found, "v", "left").select("row", "id", "v", F.coalesce("c", "v").alias("c"))
+    found = found.hint("merge")
+    slim = docs.select(docs[id_column].alias("id"), _digest(body).alias("v"), empty.alias("empty")).where(~F.col("empty"))
     # Null ids sort last; equal ids are told apart by their text.
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("v"))
-    kept = classed.groupBy("c").agg(F.min_by("row", place).alias("row"))
+    first = slim.join(found, "v", "left").groupBy(F.coalesce("c", "v").alias("c")).agg(F.min(place).alias("first"))
+    winners = stored(first.select(F.col("first.v").alias("v"), F.col("first.id").alias("first_id")))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    packed = docs.select(row.alias("row"), _digest(body).alias("v"), empty.alias("empty"), docs[id_column].alias("id"))
+    own_id = (F.col("id") == F.col("first_id")) | (F.col("id").isNull() & F.col("first_id").isNull())
+    # Texts move once: repeated rows of one id lie in the same partition as they do after the join.
+    kept = packed.where(~F.col("empty")).join(winners.hint("merge"), "v").where(own_id).groupBy("v").agg(F.first("row").alias("row"))
     return kept.select("row.*").unionByName(packed.where("empty").select("row.*"))
