@@ -10,11 +10,12 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from stratalens.session import local_session
+    from stratalens.session import local_session, tidy
 
     s = local_session(4, "tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    tidy(s)
     s.stop()
 
 
