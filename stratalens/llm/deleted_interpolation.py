@@ -27,7 +27,6 @@ are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
