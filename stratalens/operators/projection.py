@@ -7,7 +7,6 @@ than two other rows, or of fewer than two columns, has no projection.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
