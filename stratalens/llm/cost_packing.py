@@ -114,7 +114,8 @@ class Encoder:
             self.words = {b"": b""}
             new = [w for w in seen if w]
         self._learn(new)
-        get = self.words.__getitem__
+        # The words of these texts in a table of their own, small enough for the processor's cache.
+        get = dict(zip(seen, map(self.words.__getitem__, seen), strict=True)).__getitem__
         return [self._ids(t).tobytes() if i in whole else b"".join(map(get, w)) for i, (t, w) in enumerate(zip(texts, split, strict=True))]
 
 
