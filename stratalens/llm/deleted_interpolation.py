@@ -1,19 +1,17 @@
 """Language-model scores by deleted interpolation.
 
-The probability of a token mixes maximum-likelihood estimates of growing order with the uniform
-one. The weights depend on how often the context was seen (a bucket per power of two) and are
-learnt by expectation-maximisation on a fold of the training texts whose counts are left out of
-the estimates meanwhile.
-
-Counts of single words cover every word of the corpus, are summed by a shuffle and joined back to
-the texts that ask for them; nothing of them is gathered on the driver. Orders two and three
-predict the class of the next token from classes of the tokens before it, and the token within
-its class by its count. A word that makes up ``1 / WORDS_2`` of all tokens (``1 / WORDS_3`` for
-order three) is a class of its own and all rarer ones share one, so the tables of both orders have
-at most ``(WORDS_2 + 3) ** 2`` and ``(WORDS_3 + 3) ** 3`` cells at any corpus size, which is the
-proven bound of what is shipped to the tasks. All texts are counted in them.
-
-Texts are dealt into batches of about ``BATCH_BYTES``; a batch asks once for each of its words.
+The probability of a token mixes maximum-likelihood estimates of orders one to three with the
+uniform one. The weights depend on how often the context was seen (a bucket per power of two) and
+are learnt by expectation-maximisation on a fold of the training texts whose counts are left out
+of the estimates meanwhile. An order whose context was not seen gives the estimate of the order
+below, so that every mixture is a distribution.
+
+Words, pairs and triples of words of all training texts are counted, whatever their frequency, by
+64-bit hashes (two of them are taken for one with a chance of about n * n / 2 ** 65). Texts are put
+into batches of about ``BATCH_BYTES``, written once. A batch sends each of its keys once, sorted
+and cut into ranges; a range adds up its keys over all batches and answers every batch in the order
+it asked, so that neither tables of counts nor keys go back. Nothing of them is gathered on the driver.
+
 For EM a token counts by its bucket and the ratios of its estimates to the uniform one, rounded
 to a quarter of a power of two, so that one pass over the left-out fold serves all rounds.
 
@@ -27,7 +25,6 @@ are not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,132 +32,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stored, whole_text
+from .common import _STEP, fold_of, mix, stored, whole_text, words_of
 
 FOLDS = 7
 HELD_OUT = 2
 #: The training fold left out of the estimates while the weights are learnt.
 DELETED = 3
-WORDS_2 = 1024
-WORDS_3 = 96
-BATCH_BYTES = 16 << 20
-#: Distinct words that a counting task holds before it passes them on.
-WORDS_HELD = 1 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of text whose keys of one order meet in one range, about.
+RANGE_BYTES = 8 << 20
 ROUNDS = 60
+BUCKETS = 64
 
-END = b"\n"
-RARE, END_CLASS, START_CLASS, FIRST_WORD = 0, 1, 2, 3
+START, END = np.uint64(1), np.uint64(2)
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), END]
+def packed(x: np.ndarray) -> bytes:
+    """Eight-byte numbers by planes of bytes, without the highest planes that are zero."""
+    planes = x.view(np.uint8).reshape(-1, 8).T
+    return planes[: max(1, -(-int(x.max()).bit_length() // 8))].tobytes() if len(x) else b""
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(w, c, kept): tokens of training texts, and how many of them lie outside the left-out fold."""
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view(np.uint64).ravel()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for outside, own in held.items():
-                n = np.fromiter(own.values(), np.int64, len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(n), pa.array(n if outside else np.zeros_like(n))], names=["w", "c", "kept"])
-                own.clear()
+def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """(b, fold, ids, data, offsets): compressed texts of one kind of fold in rows of about ``batch_bytes``; all training folds but ``DELETED`` are fold -1."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list[bytes]]] = {f: ([], []) for f in (-1, HELD_OUT, DELETED)}
+        size = dict.fromkeys(held, 0)
+
+        def row(fold: int) -> pa.RecordBatch:
+            ids, texts = held[fold]
+            offsets = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+            columns = [pa.array([fold], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary()), pa.array([offsets.tobytes()], pa.binary())]
+            held[fold], size[fold] = ([], []), 0
+            return pa.RecordBatch.from_arrays(columns, names=["fold", "ids", "data", "offsets"])
 
         for batch in batches:
-            for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[fold != DELETED].update(tokens(text))
-                if len(held[True]) + len(held[False]) > WORDS_HELD:
-                    yield from flush()
-        yield from flush()
-
-    parts = docs.where(F.col("fold") != HELD_OUT).select("fold", "text").mapInArrow(counted, "w binary, c long, kept long")
-    return parts.groupBy("w").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"))
-
-
-class Classes:
-    """Frequent words by falling count: their class is their place, at order three only the first have one."""
-
-    def __init__(self, frequent: list[tuple[bytes, int, int]], total: int):
-        ordered = sorted((x for x in frequent if x[0] != END), key=lambda x: (-x[1], x[0]))
-        self.of = {END: END_CLASS} | {w: FIRST_WORD + i for i, (w, _, _) in enumerate(ordered)}
-        self.n2 = FIRST_WORD + len(ordered)
-        self.n3 = FIRST_WORD + sum(c * WORDS_3 >= total for _, c, _ in ordered)
-        ends = next(((c, k) for w, c, k in frequent if w == END), (0, 0))
-        # Counts of the words that are classes of their own, in all training texts and outside the left-out fold.
-        self.counts = np.array([(0, 0), ends, (0, 0), *((c, k) for _, c, k in ordered)], dtype=np.int64)
-
-    def cells(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class of every token, its cell of order two, its cell of order three)."""
-        get = self.of.get
-        w = np.array([x for t in texts for x in (START_CLASS, START_CLASS, *(get(x, RARE) for x in t))], dtype=np.int64)
-        real = np.ones(len(w), bool)
-        first = np.cumsum([0, *(len(t) + 2 for t in texts)])[:-1]
-        real[first] = real[first + 1] = False
-        low = np.where(w < self.n3, w, RARE)
-        at = np.flatnonzero(real)
-        return w[at], w[at - 1] * self.n2 + w[at], (low[at - 2] * self.n3 + low[at - 1]) * self.n3 + low[at]
-
-
-def class_counts(docs: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Dense tables (cell, [all training texts, outside the left-out fold]) of orders two and three."""
-    sizes = (classes.n2**2, classes.n3**3)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.zeros(n, np.int32) for n in sizes] for _ in range(2)]
-        for batch in batches:
-            folds = np.array(batch.column(0).to_pylist())
-            for first in range(0, batch.num_rows, 512):
-                texts = [tokens(t) for t in batch.column(1).slice(first, 512).to_pylist()]
-                for outside in (0, 1):
-                    own = [t for t, f in zip(texts, folds[first : first + 512], strict=True) if (f != DELETED) == bool(outside)]
-                    if own:
-                        for table, cell in zip(held[outside], classes.cells(own)[1:], strict=True):
-                            np.add.at(table, cell, 1)
-        for order in range(2):
-            both = held[0][order] + held[1][order]
-            at = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), order, np.int32)), pa.array(at), pa.array(both[at].astype(np.int64)), pa.array(held[1][order][at].astype(np.int64))], names=["o", "cell", "c", "kept"])
-
-    parts = docs.where(F.col("fold") != HELD_OUT).select("fold", "text").mapInArrow(counted, "o int, cell long, c long, kept long")
-    found = parts.groupBy("o", "cell").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept")).toArrow()
-    o, cell = found["o"].to_numpy(), found["cell"].to_numpy()
-    both = np.stack([found["c"].to_numpy(), found["kept"].to_numpy()], axis=1)
-    out = []
-    for order, n in enumerate(sizes):
-        table = np.zeros((n, 2), np.int64)
-        table[cell[o == order]] = both[o == order]
-        out.append(table)
-    return out[0], out[1]
-
-
-class Estimates:
-    """Estimates of order zero to three of tokens with known counts."""
-
-    def __init__(self, classes: Classes, two: np.ndarray, three: np.ndarray, words: tuple[int, int]):
-        n2, n3 = classes.n2, classes.n3
-        self.total, self.distinct = words
-        self.n2, self.n3 = n2, n3
-        self.two, self.three = two.astype(np.float64), three.astype(np.float64)
-        self.context_2 = two.reshape(n2, n2).sum(1).astype(np.float64)
-        self.context_3 = three.reshape(n3 * n3, n3).sum(1).astype(np.float64)
-        self.class_2 = two.reshape(n2, n2).sum(0).astype(np.float64)
-        self.class_3 = three.reshape(n3 * n3, n3).sum(0).astype(np.float64)
-        self.uniform = 1.0 / (self.distinct + 1)
-        self.buckets = 64
-
-    def of(self, c: np.ndarray, w: np.ndarray, cell_2: np.ndarray, cell_3: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(bucket of the context's frequency, estimates of order one to three)."""
-        share = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
-        seen = self.context_3[cell_3 // self.n3]
-        bucket = np.frexp(seen)[1]
-        one = c / max(self.total, 1)
-        two = share(self.two[cell_2], self.context_2[cell_2 // self.n2]) * share(c, self.class_2[w])
-        three = share(self.three[cell_3], seen) * share(c, self.class_3[np.where(w < self.n3, w, RARE)])
-        return np.minimum(bucket, self.buckets - 1), [one.astype(np.float64), two, three]
+            texts = batch.column(2).cast(pa.binary() if pa.types.is_string(batch.column(2).type) else pa.large_binary())
+            for i, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                kind = fold if fold in held else -1
+                held[kind][0].append(i)
+                held[kind][1].append(text.as_py())
+                size[kind] += len(held[kind][1][-1])
+                if size[kind] >= batch_bytes:
+                    yield row(kind)
+        for kind in held:
+            if held[kind][0]:
+                yield row(kind)
+
+    rows = docs.select("doc_id", "fold", "text").mapInArrow(gathered, "fold int, ids array<long>, data binary, offsets binary")
+    return stored(rows.select(F.monotonically_increasing_id().alias("b"), "fold", "ids", "data", "offsets"))
+
+
+def hashes(data: bytes, offsets: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first token of every text, hash of every token) of a batch."""
+    at = np.frombuffer(offsets, np.int64)
+    raw = np.frombuffer(pa.decompress(data, int(at[-1]), "zstd"), np.uint8)
+    owners, words = [], []
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
+        owner, _, _, found = words_of(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        owners.append(owner + i)
+        words.append(found)
+        i = j
+    length = np.bincount(np.concatenate(owners), minlength=len(at) - 1) + 1
+    after = np.cumsum(length)
+    w = np.full(after[-1], END)
+    inside = np.ones(len(w), bool)
+    inside[after - 1] = False
+    w[inside] = np.concatenate(words)
+    return after - length, w
+
+
+def keys(first: np.ndarray, w: np.ndarray, order: int) -> np.ndarray:
+    """Key of every token with the ``order - 1`` before it; at order three the first token of a text has none."""
+    if order == 1:
+        return mix(w)
+    before = np.append(START, w[:-1])
+    before[first] = START
+    if order == 2:
+        return mix(mix(before + _STEP) + w)
+    later = np.ones(len(w), bool)
+    later[first] = False
+    twice = np.append(START, before[:-1])
+    return mix(mix(mix(twice + _STEP * np.uint64(3)) + before) + w)[later]
+
+
+def _edges(n: int) -> np.ndarray:
+    """First key of every one of ``n`` ranges."""
+    return np.array([(i << 64) // n for i in range(n)], np.uint64)
+
+
+def counts(batches: DataFrame, n_ranges: int) -> DataFrame:
+    """(b, o, p, c, kept, sums): for the different keys of order ``o`` of a batch in range ``p``, in their
+    order, how often all training texts and (for the left-out fold) those outside it have them.
+
+    A row without ``b`` has the sums of a range: tokens, different keys, and both outside the left-out fold.
+    """
+
+    def asked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(n_ranges)
+        for batch in rows:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                first, w = hashes(row["data"], row["offsets"])
+                for o in (1, 2, 3):
+                    found, n = np.unique(keys(first, w, o), return_counts=True)
+                    at = np.append(np.searchsorted(found, edges), len(found))
+                    parts = [(p, int(x), int(y)) for p, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+                    n = n.astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row["b"]] * len(parts), pa.int64()), pa.array([row["fold"]] * len(parts), pa.int32()), pa.array([o] * len(parts), pa.int32()),
+                            pa.array([p for p, _, _ in parts], pa.int32()), pa.array([y - x for _, x, y in parts], pa.int32()),
+                            pa.array([packed(np.diff(found[x:y], prepend=edges[p])) for p, x, y in parts], pa.binary()),
+                            pa.array([packed(n[x:y]) if row["fold"] != HELD_OUT else b"" for _, x, y in parts], pa.binary()),
+                        ],
+                        names=["b", "fold", "o", "p", "size", "keys", "n"],
+                    )
+
+    def summed(table: pa.Table) -> pa.Table:
+        o, p = table["o"][0].as_py(), table["p"][0].as_py()
+        size, fold = table["size"].to_numpy(), table["fold"].to_numpy()
+        edge = _edges(n_ranges)[p]
+        found = np.concatenate([np.cumsum(unpacked(raw.as_py(), n), dtype=np.uint64) + edge for raw, n in zip(table["keys"], size, strict=True)])
+        n = np.concatenate([unpacked(raw.as_py(), n) if f != HELD_OUT else np.zeros(n, np.uint64) for raw, n, f in zip(table["n"], size, fold, strict=True)])
+        _, inverse = np.unique(found, return_inverse=True)
+        each = np.repeat(fold, size)
+        # Sums stay below 2 ** 53.
+        c, kept = (np.bincount(inverse, np.where(x, n, 0)).astype(np.uint64) for x in (each != HELD_OUT, each == -1))
+        at = np.append(0, np.cumsum(size))
+        rows = [inverse[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        sums = [int(c.sum()), int((c > 0).sum()), int(kept.sum()), int((kept > 0).sum())]
+        return pa.table(
+            [
+                pa.array([*table["b"].to_pylist(), None], pa.int64()), pa.array([o] * (len(rows) + 1), pa.int32()), pa.array([p] * (len(rows) + 1), pa.int32()),
+                pa.array([*(packed(c[x]) for x in rows), None], pa.binary()), pa.array([*(packed(kept[x]) if f == DELETED else None for x, f in zip(rows, fold, strict=True)), None], pa.binary()),
+                pa.array([*[None] * len(rows), sums], pa.list_(pa.int64())),
+            ],
+            names=["b", "o", "p", "c", "kept", "sums"],
+        )
+
+    blocks = batches.select("b", "fold", "data", "offsets").mapInArrow(asked, "b long, fold int, o int, p int, size int, keys binary, n binary")
+    return stored(blocks.groupBy("o", "p").applyInArrow(summed, "b long, o int, p int, c binary, kept binary, sums array<long>"))
+
+
+def estimates(first: np.ndarray, c: list[np.ndarray], total: int, texts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bucket of the context's frequency, estimates of order one to three) of the tokens of texts that
+    start at ``first``, from the counts of their keys; order three counts nothing for first tokens."""
+    one = c[0] / max(total, 1)
+    before = np.append(0, c[0][:-1])
+    before[first] = texts
+    twice = np.append(0, c[1][:-1])
+    twice[first] = texts
+    two = np.where(before > 0, c[1] / np.maximum(before, 1), one)
+    # Before a text there is nothing but its start, however many words are looked at.
+    third = c[1].copy()
+    later = np.ones(len(one), bool)
+    later[first] = False
+    third[later] = c[2]
+    three = np.where(twice > 0, third / np.maximum(twice, 1), two)
+    return np.minimum(np.frexp(twice.astype(np.float64))[1], BUCKETS - 1), [one, two, three]
 
 
 def learn_weights(bucket: np.ndarray, ratios: np.ndarray, n: np.ndarray, buckets: int) -> np.ndarray:
@@ -185,85 +228,65 @@ def learn_weights(bucket: np.ndarray, ratios: np.ndarray, n: np.ndarray, buckets
     return out
 
 
-def _batched(docs: DataFrame, counts: DataFrame, classes: Classes, n_batches: int, scored, schema: str) -> DataFrame:
-    """``scored(texts, table of the batch's rows, counts of their rarer words)`` for batches of texts."""
-    dealt = docs.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition(n_batches, "b")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each rarer word once for each batch; the rows of a batch are all in this partition."""
-        seen: dict[int, set[bytes]] = {}
-        for batch in batches:
-            for b, text in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(b, set()).update(tokens(text))
-        for b, words in seen.items():
-            rarer = [w for w in words if w not in classes.of]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rarer), b, np.int32)), pa.array(rarer, pa.binary())], names=["b", "w"])
-
-    found = dealt.mapInArrow(asked, "b int, w binary").join(counts, "w").select("b", "w", "c", "kept")
+def _scored(batches: DataFrame, found: DataFrame, n_ranges: int, column: str, scored, schema: str) -> DataFrame:
+    """``scored(row of a batch, first tokens, counts of the keys of order one to three)`` for every batch."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["w"].to_pylist(), range(right.num_rows), strict=True))
-        both = np.concatenate([np.zeros((1, 2), np.int64), np.stack([right["c"].to_numpy(), right["kept"].to_numpy()], axis=1).reshape(-1, 2)])
-        parts = []
-        for first in range(0, left.num_rows, 256):
-            part = left.slice(first, 256)
-            texts = [tokens(t) for t in part["text"].to_pylist()]
-            w, cell_2, cell_3 = classes.cells(texts)
-            at = np.fromiter((known.get(x, -1) for t in texts for x in t), np.int64, len(w)) + 1
-            c = np.where((w != RARE)[:, None], classes.counts[w], both[at])
-            parts.append(scored(part, np.array([len(t) for t in texts]), c, w, cell_2, cell_3))
-        return pa.concat_tables(parts)
-
-    return dealt.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(score, schema)
+        row = left.to_pylist()[0]
+        answers = {(o, p): i for i, (o, p) in enumerate(zip(right["o"].to_pylist(), right["p"].to_pylist(), strict=True))}
+        edges = _edges(n_ranges)
+        first, w = hashes(row["data"], row["offsets"])
+        c = []
+        for o in (1, 2, 3):
+            different, inverse = np.unique(keys(first, w, o), return_inverse=True)
+            size = np.diff(np.append(np.searchsorted(different, edges), len(different)))
+            parts = [unpacked(right[column][answers[o, p]].as_py(), n) for p, n in enumerate(size.tolist()) if n]
+            c.append(np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64)[inverse])
+        return scored(row, first, c)
+
+    answers = found.where(F.col("b").isNotNull()).select("b", "o", "p", column)
+    return batches.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, schema)
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """SCHEMA for every document."""
-    spark = docs.sparkSession
     key = docs[id_column].cast("long")
     own = docs.select(key.alias("doc_id"), fold_of(key, FOLDS).alias("fold"), whole_text(docs, text).alias("text"))
-    counts = stored(word_counts(own))
+    batches = _batches(own, batch_bytes)
+    sizes = {r.fold: r for r in batches.groupBy("fold").agg(F.sum(F.size("ids")).alias("texts")).collect()}
     size = own.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
-    sums = counts.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.sum("kept").alias("kept"), F.count_if(F.col("kept") > 0).alias("n_kept")).first()
-    total, distinct, total_kept, distinct_kept = sums.c or 0, sums.n, sums.kept or 0, sums.n_kept
-    # Words that make up 1 / WORDS_2 of all tokens are WORDS_2 at most.
-    frequent = counts.where((F.col("c") * WORDS_2 >= total) | (F.col("w") == F.lit(END))).collect()
-    classes = Classes([(bytes(r.w), r.c, r.kept) for r in frequent], total)
-    two, three = class_counts(own, classes)
-    n_batches = max(1, -(-size // batch_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    deleted = Estimates(classes, two[:, 1], three[:, 1], (total_kept, distinct_kept))
-    shipped = spark.sparkContext.broadcast(deleted)
-
-    def binned(part, lengths, c, w, cell_2, cell_3) -> pa.Table:
-        model = shipped.value
-        bucket, estimates = model.of(c[:, 1], w, cell_2, cell_3)
+    n_ranges = max(1, -(-size // RANGE_BYTES))
+    texts_kept, texts = (sum(sizes[f].texts for f in folds if f in sizes) for folds in ((-1,), (-1, DELETED)))
+    found = counts(batches, n_ranges)
+    sums = found.where((F.col("o") == 1) & F.col("b").isNull()).agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4)]).first()
+    total, distinct, total_kept, distinct_kept = (x or 0 for x in sums)
+
+    def binned(row, first, c) -> pa.Table:
+        uniform = 1 / (distinct_kept + 1)
+        bucket, orders = estimates(first, c, total_kept, texts_kept)
         with np.errstate(divide="ignore"):
-            bins = [np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300) / model.uniform)), -9999).astype(np.int64) for p in estimates]
+            bins = [np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300) / uniform)), -9999).astype(np.int64) for p in orders]
         rows, n = np.unique(np.stack([bucket.astype(np.int64), *bins], axis=1), axis=0, return_counts=True)
         return pa.table([pa.array(rows[:, i].astype(np.int32)) for i in range(4)] + [pa.array(n.astype(np.int64))], names=["bucket", "r1", "r2", "r3", "n"])
 
-    left_out = own.where(F.col("fold") == DELETED)
-    bins = _batched(left_out, counts, classes, max(1, -(-n_batches // FOLDS)), binned, "bucket int, r1 int, r2 int, r3 int, n long")
+    bins = _scored(batches.where(F.col("fold") == DELETED), found.where(F.col("kept").isNotNull()), n_ranges, "kept", binned, "bucket int, r1 int, r2 int, r3 int, n long")
     # As many rows as there are different rounded ratios.
     seen = bins.groupBy("bucket", "r1", "r2", "r3").agg(F.sum("n").alias("n")).orderBy("bucket", "r1", "r2", "r3").toArrow()
     ratios = np.stack([np.where((r := seen[f"r{i}"].to_numpy()) == -9999, 0.0, np.exp2(np.clip(r, -4000, 4000) / 4)) for i in (1, 2, 3)], axis=1)
-    weights = learn_weights(seen["bucket"].to_numpy(), ratios, seen["n"].to_numpy().astype(np.float64), deleted.buckets)
+    weights = learn_weights(seen["bucket"].to_numpy(), ratios, seen["n"].to_numpy().astype(np.float64), BUCKETS)
 
     if not distinct:  # no training texts: only the uniform estimate, which is one
         weights[:] = [1.0, 0.0, 0.0, 0.0]
-    model = spark.sparkContext.broadcast((Estimates(classes, two[:, 0], three[:, 0], (total, distinct)), weights))
-
-    def mixed(part, lengths, c, w, cell_2, cell_3) -> pa.Table:
-        estimates, mixture = model.value
-        bucket, (one, second, third) = estimates.of(c[:, 0], w, cell_2, cell_3)
-        m = mixture[bucket]
-        p = m[:, 0] * estimates.uniform + m[:, 1] * one + m[:, 2] * second + m[:, 3] * third
-        starts = np.cumsum([0, *lengths])[:-1]
-        base = np.log10((c[:, 0] + 1) / (total + (distinct + 1)))
-        sums = [np.add.reduceat(x, starts) for x in (c[:, 0] > 0, base, np.log10(p))]
-        held_out = pa.array(np.array(part["fold"].to_pylist()) == HELD_OUT)
-        columns = [part["doc_id"], held_out, pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(lengths), total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+
+    def mixed(row, first, c) -> pa.Table:
+        bucket, orders = estimates(first, c, total, texts)
+        p = weights[bucket, 0] / (distinct + 1)
+        for i, x in enumerate(orders, 1):
+            p += weights[bucket, i] * x
+        base = np.log10((c[0] + 1) / (total + (distinct + 1)))
+        known, base, score = (np.add.reduceat(x, first) for x in ((c[0] > 0).astype(np.int64), base, np.log10(p)))
+        n = len(first)
+        columns = [pa.array(row["ids"], pa.int64()), pa.array([row["fold"] == HELD_OUT] * n), pa.array(np.diff(np.append(first, len(p)))), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return _batched(own, counts, classes, n_batches, mixed, SCHEMA)
+    return _scored(batches, found, n_ranges, "c", mixed, SCHEMA)

@@ -204,6 +204,37 @@ def test_language_model_is_a_distribution(spark):
     assert np.median([score[w] for w in words]) > score["neverseen"]
 
 
+def test_language_model_counts_all_pairs_and_triples(spark, monkeypatch):
+    """With given weights every score follows from plain counts of all words, pairs and triples, however rare."""
+    fixed = np.array([0.1, 0.2, 0.3, 0.4])
+    monkeypatch.setattr(deleted_interpolation, "learn_weights", lambda bucket, ratios, n, buckets: np.tile(fixed, (buckets, 1)))
+    monkeypatch.setattr(deleted_interpolation, "RANGE_BYTES", 1 << 12)
+    texts = [(i, f"{prose(i, 60)} Name{i // 8} of{i // 8} place{i // 8} {prose(i + 900, 20 + i % 7)}") for i in range(160)] + [(200, None), (201, "word"), (202, "river river river")]
+    training = [["s", "s", *lm_tokens(t)] for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    n = [Counter(tuple(t[j - o : j + 1]) for t in training for j in range(2, len(t))) for o in range(3)]
+    before = [Counter(tuple(t[j - o : j]) for t in training for j in range(2, len(t))) for o in range(3)]
+    rows = {r.doc_id: r for r in deleted_interpolation.score(documents(spark, texts), batch_bytes=1 << 13).collect()}
+    for i, text in texts:
+        t, total = ["s", "s", *lm_tokens(text)], 0.0
+        for j in range(2, len(t)):
+            p, below = fixed[0] / (len(n[0]) + 1), 0.0
+            for o in range(3):
+                context = before[o][tuple(t[j - o : j])]
+                below = n[o][tuple(t[j - o : j + 1])] / context if context else below
+                p += fixed[o + 1] * below
+            total += math.log10(p)
+        assert abs(rows[i].score - total) < 1e-9 * abs(total)
+
+
+def test_language_model_knows_rare_phrases(spark):
+    free = iter(j for j in range(10**7) if zlib.crc32(str(j).encode()) % 7 == 2)
+    seen = [j for j in range(400) if zlib.crc32(str(j).encode()) % 7 != 2]
+    texts = [(i, f"{prose(i, 60)} first{i // 20} second{i // 20} third{i // 20}") for i in seen]
+    whole, mixed = next(free), next(free)
+    rows = {r.doc_id: r.score for r in deleted_interpolation.score(documents(spark, [*texts, (whole, "first3 second3 third3"), (mixed, "second3 first3 third3")])).collect()}
+    assert rows[whole] > rows[mixed] + 1
+
+
 def test_mixture_weights_follow_em():
     x = np.array([[4.0, 0.0, 0.0], [0.0, 9.0, 0.0], [0.0, 0.0, 0.0]])
     w = deleted_interpolation.learn_weights(np.array([1, 1, 1]), x, np.array([6000.0, 3000.0, 1000.0]), 4)
