@@ -143,6 +143,33 @@ def test_whole_copies_leave_one(spark):
     assert paragraph_dedup.passages(docs.limit(0)).collect() == [] and paragraph_dedup.without_repeats(docs.limit(0)).collect() == []
 
 
+def repeats_found(spark, texts):
+    return {(r.doc_id, r.kept_doc_id) for r in paragraph_dedup.passages(documents(spark, texts)).collect()}
+
+
+def names(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(10**9, size=n))
+
+
+def test_isolated_passages_of_least_length_are_all_found(spark):
+    """No pair of documents is left out for sharing little."""
+    texts = []
+    for i in range(400):
+        passage = names(i, 50 + i % 2)
+        texts += [(2 * i, f"{names(10**4 + i, 30)} {passage} {names(2 * 10**4 + i, 30)}"), (2 * i + 1, f"{names(3 * 10**4 + i, 17)} {passage} {names(4 * 10**4 + i, 9)}")]
+    assert repeats_found(spark, texts) == {(2 * i + 1, 2 * i) for i in range(400)}
+
+
+def test_passages_with_one_changed_word_are_found(spark):
+    texts = []
+    for i in range(60):
+        words = names(i, 60).split()
+        changed = [*words[: 10 + i % 40], "other", *words[11 + i % 40 :]]
+        texts += [(2 * i, f"{names(1000 + i, 30)} {' '.join(words)}"), (2 * i + 1, f"{' '.join(changed)} {names(2000 + i, 30)}")]
+    assert repeats_found(spark, texts) == {(2 * i + 1, 2 * i) for i in range(60)}
+
+
 def test_passages_against_all_windows(spark, sf):
     docs = read(spark, sf, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
