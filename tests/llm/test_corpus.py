@@ -170,6 +170,15 @@ def test_passages_with_one_changed_word_are_found(spark):
     assert repeats_found(spark, texts) == {(2 * i + 1, 2 * i) for i in range(60)}
 
 
+def test_passage_whose_parts_stand_in_earlier_documents(spark):
+    """The smallest document of every part has no passage; one that has comes later."""
+    words = names(1, 60).split()
+    parts = [words[i : i + 30] for i in range(0, 31, 5)]
+    texts = [(i, f"{names(100 + i, 20)} {' '.join(part)} {names(200 + i, 20)}") for i, part in enumerate(parts)]
+    texts += [(50 + i, f"{names(300 + i, 20)} {' '.join(words)} {names(400 + i, 20)}") for i in range(2)]
+    assert repeats_found(spark, texts) == {(51, 50)}
+
+
 def test_passages_against_all_windows(spark, sf):
     docs = read(spark, sf, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
