@@ -179,6 +179,14 @@ def test_passage_whose_parts_stand_in_earlier_documents(spark):
     assert repeats_found(spark, texts) == {(51, 50)}
 
 
+def test_passages_of_repeated_phrases_are_found(spark):
+    texts = []
+    for period in range(1, 9):
+        passage = " ".join((names(period, period).split() * 60)[:60])
+        texts += [(2 * period + j, f"{names(10 * period + j + 500, 20)} {passage} {names(10 * period + j + 700, 20)}") for j in range(2)]
+    assert repeats_found(spark, texts) == {(2 * p + 1, 2 * p) for p in range(1, 9)}
+
+
 def test_passages_against_all_windows(spark, sf):
     docs = read(spark, sf, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
