@@ -187,6 +187,14 @@ def test_passages_of_repeated_phrases_are_found(spark):
     assert repeats_found(spark, texts) == {(2 * p + 1, 2 * p) for p in range(1, 9)}
 
 
+def test_passage_after_its_lines_stood_alone(spark):
+    lines = [names(i, 26) for i in range(4)]
+    alone = " ".join(f"{line} {names(50 + i, 5)}" for i, line in enumerate(reversed(lines)))
+    assert repeats_found(spark, [(0, f"{alone} {names(90, 30)} {' '.join(lines)}"), (1, f"{names(91, 10)} {' '.join(lines)} {names(92, 12)}")]) == {(1, 0)}
+    rows = paragraph_dedup.passages(documents(spark, [(0, f"{alone} {names(90, 30)} {' '.join(lines)}"), (1, " ".join(lines))])).collect()
+    assert max(r.n_words for r in rows) == 104
+
+
 def test_passages_against_all_windows(spark, sf):
     docs = read(spark, sf, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
