@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, compression_quality, cost_packing, cross_polytope, deleted_interpolation, html_content, paragraph_dedup, piece_scan, quality_rules, url_rules
+from . import bag_minhash, compression_quality, cost_packing, cross_polytope, deleted_interpolation, filter_audit, html_content, license_scan, merkle_manifest, paragraph_dedup, piece_scan, quality_rules, url_rules
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,95 @@ from z
 @query("op10_quality_rules", _RULES_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"))
+
+
+_AUDIT_SQL = rf"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}+') as w from documents),
+l as (select doc_id, max((coalesce(quality, 0) = 1)::int) as good, max((coalesce(toxic, 0) = 1)::int) as toxic from labels group by doc_id),
+f as (
+  select part, case when len(w) < 50 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' else '' end
+         || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' else '' end || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+         || case when coalesce(min(doc_id) over (partition by t) < doc_id, false) then 'E' else '' end as fails, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+  from d left join l using (doc_id)),
+m as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+x(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select p.l || q.l || r.l || s.l || t.l as filter_order
+  from x p join x q on q.l <> p.l join x r on r.l not in (p.l, q.l) join x s on s.l not in (p.l, q.l, r.l) join x t on t.l not in (p.l, q.l, r.l, s.l)),
+steps as (select filter_order, unnest(range(1, 6)) as step from orders),
+fate as (
+  select part, filter_order, step, n, good, toxic, fails, contains(fails, substr(filter_order, step, 1)) as fails_own,
+         len(list_filter(string_split(substr(filter_order, 1, step - 1), ''), lambda k: k <> '' and contains(fails, k))) > 0 as gone
+  from m, steps),
+s as (
+  select part, filter_order, step, substr(filter_order, step, 1) as own, coalesce(sum(n) filter (not gone and not fails_own), 0)::bigint as kept,
+         coalesce(sum(n) filter (not gone and fails_own), 0)::bigint as removed, coalesce(sum(n) filter (gone and fails_own), 0)::bigint as redundant,
+         coalesce(sum(n) filter (fails = substr(filter_order, step, 1)), 0)::bigint as unique_fails, coalesce(sum(good) filter (not gone and fails_own), 0)::bigint as good_lost,
+         coalesce(sum(toxic) filter (not gone and fails_own), 0)::bigint as toxic_lost
+  from fate group by part, filter_order, step)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from s
+"""
+
+
+@query("op11_filter_audit", _AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = filter_audit.survival_words(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return filter_audit.audit(filter_audit.survivors(words))
+
+
+#: The rows that op12 tampers with: those whose crc32 of the id's decimals it divides.
+TAMPERED = 7
+
+_ENCODED_SQL = " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang"))
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda k: ord(k)::bigint)),
+              lambda c, k: list_reduce([xor(c, k), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, (u & 1) * 3988292384))), 4294967295)"""
+_MERKLE_SQL = f"""
+with recursive d as (
+  select doc_id, lang, sha256({_ENCODED_SQL} || coalesce(strlen(n_chars::varchar)::varchar || ':' || n_chars::varchar, '-') || coalesce(strlen(text)::varchar || ':' || text, '-')) as leaf,
+         sha256({_ENCODED_SQL} || coalesce(strlen((n_chars + 1)::varchar)::varchar || ':' || (n_chars + 1)::varchar, '-') || coalesce(strlen(text)::varchar || ':' || text, '-')) as other,
+         coalesce({_CRC_SQL} % {TAMPERED} = 0, false) as tampered
+  from documents),
+leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
+up(lang, level, i, h, n) as (
+  select lang, 0, i, leaf, n from leaves
+  union all
+  select lang, any_value(level) + 1, i // 2, sha256(string_agg(h, '' order by i)), (any_value(n) + 1) // 2 from up where n > 1 group by lang, i // 2),
+subroots as (select lang, h, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from up where n = 1),
+top(level, i, h, n) as (
+  select 0, i, h, n from subroots
+  union all
+  select any_value(level) + 1, i // 2, sha256(string_agg(h, '' order by i)), (any_value(n) + 1) // 2 from top where n > 1 group by i // 2),
+steps as (
+  select l.lang, l.i as leaf_i, u.level, l.i >> u.level as node, s.h as sibling
+  from leaves l join (select distinct lang, level from up where n > 1) u on l.lang is not distinct from u.lang
+  left join up s on s.lang is not distinct from l.lang and s.level = u.level and s.i = xor(l.i >> u.level, 1)
+  union all
+  select l.lang, l.i, 1000 + t.level, b.i >> t.level, s.h
+  from leaves l join subroots b on l.lang is not distinct from b.lang join (select distinct level from top where n > 1) t on true
+  left join top s on s.level = t.level and s.i = xor(b.i >> t.level, 1)),
+proofs as (
+  select lang, leaf_i, list({{'odd': node % 2 = 1, 's': sibling}} order by level) as p, coalesce(string_agg(sibling, '' order by level), '') as joined from steps group by lang, leaf_i),
+r as (
+  select l.doc_id, l.leaf, b.h as subroot, (select h from top where n = 1) as root, sha256(coalesce(p.joined, '')) as proof_sha256,
+         list_reduce(list_prepend({{'odd': false, 's': case when l.tampered then l.other else l.leaf end}}, coalesce(p.p, [])),
+                     lambda a, x: {{'odd': false, 's': sha256(case when x.s is null then a.s when x.odd then x.s || a.s else a.s || x.s end)}}).s as folded_root
+  from leaves l join subroots b on l.lang is not distinct from b.lang left join proofs p on p.lang is not distinct from l.lang and p.leaf_i = l.i)
+select *, folded_root = root as verified from r
+"""
+
+
+@query("op12_merkle_manifest", _MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf, roots and proof, and whether the row as some are tampered with still leads to the root."""
+    docs = read(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0
+    changed = merkle_manifest.digest_of([docs[c] + 1 if c == "n_chars" else docs[c] for c in merkle_manifest.COLUMNS])
+    found = merkle_manifest.manifest(docs, changes={"changed": F.when(hit, changed)})
+    found = found.withColumn("folded_root", merkle_manifest.folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
