@@ -28,10 +28,16 @@ NODE = "node_id"
 
 @dataclass(frozen=True)
 class Reach:
-    """How far a query may have to look: to its k-th candidate, or a fixed radius."""
+    """How far a query may have to look: to its k-th candidate, a fixed radius, or as far as a column of its row says.
+
+    ``foreign`` names a column of both sides whose equal values need not meet: cells that hold
+    nothing else are skipped.
+    """
 
     k: int | None = None
     radius: float | None = None
+    column: str | None = None
+    foreign: str | None = None
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -109,8 +115,11 @@ def _cell_plan(queries: DataFrame, candidates: DataFrame, pivots: dict, reach: R
     """
     of = lambda df: {(r[NODE], r["cell"]): r for r in df.collect()}
     big = F.col(NODE).isin(list(pivots))
-    q = of(queries.where(big).groupBy(NODE, "cell").agg(F.count("*").alias("n"), F.max("reach").alias("far")))
-    s = of(candidates.where(big).groupBy(NODE, "cell").agg(F.count("*").alias("n"), F.max("reach").alias("far")))
+    kind = F.col(reach.foreign) if reach.foreign else F.lit(None)
+    facts = [F.count("*").alias("n"), F.max("reach").alias("far"), F.min(kind).alias("low"), F.max(kind).alias("high")]
+    limit_of = F.max(reach.column if reach.column else F.lit(reach.radius)).alias("limit")
+    q = of(queries.where(big).groupBy(NODE, "cell").agg(*facts, limit_of))
+    s = of(candidates.where(big).groupBy(NODE, "cell").agg(*facts))
     near: dict[tuple, list[float]] = {}
     if reach.k:
         nearest = Window.partitionBy(NODE, "cell").orderBy("reach")
@@ -128,8 +137,11 @@ def _cell_plan(queries: DataFrame, candidates: DataFrame, pivots: dict, reach: R
                 bounds = np.sort(np.concatenate([far + apart[c, e] + np.array(near[node, e]) for e in cells]))
                 limit = bounds[reach.k] if len(bounds) > reach.k else math.inf
             else:
-                limit = reach.radius
+                limit = q[node, c]["limit"]
             for e in cells:
+                kinds = {v for r in (q[node, c], s[node, e]) for v in (r["low"], r["high"])}
+                if reach.foreign and len(kinds) == 1:
+                    continue
                 least = apart[c, e] - far - limit
                 least -= 1e-9 * (1.0 + abs(apart[c, e]))  # room for rounding
                 if s[node, e]["far"] >= least:
@@ -143,6 +155,35 @@ _PLAN_SCHEMA = f"{NODE} string, q_cell int, s_cell int, least double, q_chunks b
 _KEY = [NODE, "q_cell", "q_chunk", "s_cell", "s_chunk"]
 
 
+def draw_pivots(candidates: DataFrame, sizes: DataFrame, vector: str, block_rows: int) -> dict[str, np.ndarray]:
+    """Pivots of the nodes of ``sizes`` (node_id, nq, ns) that take more than one block.
+
+    They are drawn by hash; which rows they are changes the work, never the answer.
+    """
+    crowded = sizes.where(F.greatest("nq", "ns") > block_rows)
+    total = crowded.agg(F.sum("ns")).head()[0]
+    share = min(1.0, min(PIVOTS, max(1, total // block_rows)) / total)
+    drawn = F.pmod(F.xxhash64(F.lit(7), "row_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    found: dict[str, list] = {}
+    for r in candidates.join(crowded.select(NODE), NODE, "left_semi").where(drawn).select(NODE, vector).limit(2 * PIVOTS).collect():
+        found.setdefault(r[NODE], []).append(r[vector])
+    return {n: np.unique(np.array(v, dtype=float), axis=0) for n, v in found.items()}
+
+
+def _placed(df: DataFrame, pivots: dict[str, np.ndarray], vector: str) -> DataFrame:
+    """Rows with their cell and their distance from its pivot; they are read by the cell statistics and by the blocks."""
+    if not pivots:
+        return df.withColumns({"cell": F.lit(0), "reach": F.lit(0.0)})
+    return cut_lineage(df.mapInPandas(_placer(pivots, vector), _place_schema(df)))
+
+
+def placed_rows(points: DataFrame, vector: str = "features", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """Rows placed once, and the pivots, for several calls of ``block_join`` on them."""
+    sizes = points.groupBy(NODE).agg(F.count("*").alias("nq")).withColumn("ns", F.col("nq"))
+    pivots = draw_pivots(points, hold(sizes), vector, block_rows)
+    return _placed(points, pivots, vector), pivots
+
+
 def block_join(
     queries: DataFrame,
     candidates: DataFrame,
@@ -152,13 +193,14 @@ def block_join(
     reach: Reach | None = None,
     block_rows: int = BLOCK_ROWS,
     once: bool = False,
+    pivots: dict[str, np.ndarray] | None = None,
 ) -> tuple[DataFrame, bool]:
     """(answers, whole): ``fn(query block, candidate block)`` over the blocks that matter.
 
     Both sides hold (node_id string, row_id bigint, ``vector``, ...). ``whole`` is true when
     every node fitted into one block, so each query row was answered exactly once; else the
     caller merges partial answers. ``once`` visits each unordered pair of blocks once, for
-    symmetric work on one table.
+    symmetric work on one table. ``pivots`` says that both sides come from ``placed_rows``.
     """
     same = queries is candidates
     fn = _guarded(fn, schema)
@@ -171,25 +213,12 @@ def block_join(
             return queries.groupBy(NODE).applyInPandas(lambda g: fn(g, g), schema), True
         return queries.groupBy(NODE).cogroup(_fresh(candidates).groupBy(NODE)).applyInPandas(lambda q, s: fn(q, s), schema), True
 
-    crowded = sizes.where(F.greatest("nq", "ns") > block_rows)
-    pivots: dict[str, np.ndarray] = {}
-    if reach is not None:
-        total = crowded.agg(F.sum("ns")).head()[0]
-        share = min(1.0, min(PIVOTS, max(1, total // block_rows)) / total)
-        # Pivots are drawn by hash; which rows they are changes the work, never the answer.
-        drawn = F.pmod(F.xxhash64(F.lit(7), "row_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-        for r in candidates.join(crowded.select(NODE), NODE, "left_semi").where(drawn).select(NODE, vector).limit(2 * PIVOTS).collect():
-            pivots.setdefault(r[NODE], []).append(r[vector])
-        pivots = {n: np.unique(np.array(v, dtype=float), axis=0) for n, v in pivots.items()}
-    place = _placer(pivots, vector)
-    zero = {"cell": F.lit(0), "reach": F.lit(0.0)}
-
-    def placed(df):
-        # Placed rows are read by the cell statistics and by the blocks.
-        return cut_lineage(df.mapInPandas(place, _place_schema(df))) if pivots else df.withColumns(zero)
-
-    q = placed(queries)
-    s = q if same else placed(candidates)
+    if pivots is None:
+        pivots = draw_pivots(candidates, sizes, vector, block_rows) if reach is not None else {}
+        q = _placed(queries, pivots, vector)
+        s = q if same else _placed(candidates, pivots, vector)
+    else:
+        q, s = queries, candidates
     plain = sizes.where(~F.col(NODE).isin(list(pivots))) if pivots else sizes
     plan = plain.select(
         NODE, F.lit(0).alias("q_cell"), F.lit(0).alias("s_cell"), F.lit(-1.0).alias("least"),

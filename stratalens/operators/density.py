@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, hold
-from .blocks import BLOCK_ROWS, NODE, Reach, block_join, distances, matrix
-from .graphs import components, relabel, spanning_edges, to_roots
+from ..functions.ranks import running_total
+from .blocks import BLOCK_ROWS, NODE, Reach, block_join, distances, matrix, placed_rows
+from .graphs import components, relabel, to_roots
 from .neighbours import knn
 
 # The row itself is not counted among its min_samples neighbours.
 SELF_COUNTS = False
-# Merges between clusters that one task orders; see ``_cluster_tree``.
+# Neighbours of a row that the spanning tree of a large node starts with.
+SEEDS = 16
+# Merges between clusters of a node that one task orders; see ``_cluster_tree``.
 SKELETON_ROWS = 2_000_000
 
 
@@ -130,40 +133,131 @@ def _local_tree(weight: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return a, b, w
 
 
+def _block_tree(rows: DataFrame) -> DataFrame:
+    """Trees of nodes that fit one block."""
+
+    def block(q: pd.DataFrame) -> pd.DataFrame:
+        ids, x, core = q["row_id"].to_numpy(), matrix(q["features"]), q["core"].to_numpy()
+        if len(ids) < 2:
+            return pd.DataFrame({"node_id": pd.Series(dtype=object), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "w": pd.Series(dtype=float)})
+        a, b, w = _local_tree(np.maximum(distances(x, x), np.maximum(core[:, None], core[None, :])), ids)
+        return pd.DataFrame({"node_id": q[NODE].iloc[0], "a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "w": w})
+
+    return rows.groupBy(NODE).applyInPandas(block, _EDGE)
+
+
+_EDGE = "node_id string, a bigint, b bigint, w double"
+
+
+def _nearest_foreign(asking: DataFrame, rows: DataFrame, pivots: dict, block_rows: int) -> DataFrame:
+    """(node_id, row_id, w, a, b): the lightest edge of every asking row to another component, if not heavier than its ``limit``."""
+
+    def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        s = s.sort_values("row_id", kind="stable")
+        ids, mine = s["row_id"].to_numpy(), q["row_id"].to_numpy()
+        w = np.maximum(distances(matrix(q["features"]), matrix(s["features"])), np.maximum(q["core"].to_numpy()[:, None], s["core"].to_numpy()[None, :]))
+        w[q["c"].to_numpy()[:, None] == s["c"].to_numpy()[None, :]] = np.inf
+        # Of equal edges of a row the one to the smallest id comes first.
+        at = w.argmin(axis=1)
+        best = w[np.arange(len(w)), at]
+        keep = np.isfinite(best) & (best <= q["limit"].to_numpy())
+        x, y = mine[keep], ids[at[keep]]
+        return pd.DataFrame({"node_id": q[NODE][keep], "row_id": x, "w": best[keep], "a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    schema = "node_id string, row_id bigint, w double, a bigint, b bigint"
+    found, _ = block_join(asking, rows, block, schema, "features", Reach(column="limit", foreign="c"), block_rows, pivots=pivots)
+    best = found.groupBy(NODE, "row_id").agg(F.min(F.struct("w", "a", "b")).alias("e"))
+    return hold(best.select(NODE, "row_id", "e.w", "e.a", "e.b"))
+
+
+def _component_rounds(rows: DataFrame, lists: DataFrame, block_rows: int) -> DataFrame:
+    """Trees of nodes of many blocks: every component asks for its lightest way out, round by round.
+
+    Known edges, at first those to the nearest neighbours, bound from above what a component has to pay;
+    ``least`` bounds from below what an edge of a row that was not seen yet weighs. Only rows whose
+    lower bound does not exceed the bound of their component search, within it, and
+    what they find or miss becomes their new bounds. So the edges held are a few per row, rounds at
+    least halve the components, and searches are cut by cells that are too far or of one component.
+    """
+    far = lists.groupBy(NODE, "row_id").agg(F.max("dist").alias("far"))
+    placed, pivots = placed_rows(rows, block_rows=block_rows)
+    state = hold(rows.join(far, [NODE, "row_id"]).select(NODE, "row_id", F.col("row_id").alias("c"), F.greatest("core", "far").alias("least")))
+    core = lambda c: rows.select(NODE, F.col("row_id").alias(c), F.col("core").alias(f"core_{c}"))
+    pool = lists.select(NODE, F.least("row_id", "neighbour").alias("a"), F.greatest("row_id", "neighbour").alias("b"), "dist").distinct()
+    pool = pool.join(core("a"), [NODE, "a"]).join(core("b"), [NODE, "b"]).select(NODE, F.greatest("dist", "core_a", "core_b").alias("w"), "a", "b")
+    pool = hold(pool.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    kept = None
+    while True:
+        counts = state.groupBy(NODE, "c").agg(F.min("row_id").alias("first"))
+        several = counts.groupBy(NODE).agg(F.count("*").alias("n")).where("n > 1").select(NODE)
+        groups = hold(counts.join(several, NODE))
+        if groups.isEmpty():
+            return hold(kept)
+        bounds = hold(groups.join(_lightest(pool), [NODE, "c"], "left"))
+        lost = bounds.where(F.col("e").isNull())
+        if not lost.isEmpty():
+            # A component that no known edge leaves asks for one from its first row.
+            asking = placed.join(lost.select(NODE, "c", F.col("first").alias("row_id"), F.lit(float("inf")).alias("limit")), [NODE, "row_id"])
+            more = _nearest_foreign(asking, placed.join(state.select(NODE, "row_id", "c"), [NODE, "row_id"]), pivots, block_rows)
+            pool = hold(pool.unionByName(_with_ends(more, state)))
+            bounds = hold(groups.join(_lightest(pool), [NODE, "c"], "left"))
+        open_rows = hold(state.join(bounds.select(NODE, "c", F.col("e.w").alias("limit")), [NODE, "c"]).where(F.col("least") <= F.col("limit")))
+        found = _nearest_foreign(
+            placed.join(open_rows.select(NODE, "row_id", "c", "limit"), [NODE, "row_id"]), placed.join(state.select(NODE, "row_id", "c"), [NODE, "row_id"]), pivots, block_rows
+        )
+        pool = pool.unionByName(_with_ends(found, state))
+        best = hold(_lightest(pool).select(NODE, "c", "to", "e.w", "e.a", "e.b"))
+        picked = best.select(NODE, "a", "b", "w").distinct()
+        kept = picked if kept is None else kept.unionByName(picked)
+        back = best.select(NODE, F.col("c").alias("to"), F.col("to").alias("back"))
+        first = F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to"))
+        parent = to_roots(best.join(back, [NODE, "to"], "left").select(NODE, "c", first.alias("p")))
+        pool = hold(relabel(pool, parent, "ca", "cb").where(F.col("ca") != F.col("cb")).select(NODE, "w", "a", "b", "ca", "cb"))
+        told = open_rows.select(NODE, "row_id", "limit").join(found.select(NODE, "row_id", "w"), [NODE, "row_id"], "left")
+        told = told.select(NODE, "row_id", F.coalesce("w", "limit").alias("new"))
+        state = relabel(state, parent, "c").join(told, [NODE, "row_id"], "left")
+        state = hold(state.select(NODE, "row_id", "c", F.coalesce(F.greatest("least", "new"), "least").alias("least")))
+
+
+def _with_ends(found: DataFrame, state: DataFrame) -> DataFrame:
+    """Edges with the components of their ends."""
+    end = lambda c: state.select(NODE, F.col("row_id").alias(c), F.col("c").alias(f"c{c}"))
+    return found.select(NODE, "w", "a", "b").distinct().join(end("a"), [NODE, "a"]).join(end("b"), [NODE, "b"]).select(NODE, "w", "a", "b", "ca", "cb")
+
+
+def _lightest(pool: DataFrame) -> DataFrame:
+    """(node_id, c, e, to): the lightest known edge out of every component, ties by the ids of its ends."""
+    e = F.struct("w", "a", "b").alias("e")
+    both = pool.select(NODE, F.col("ca").alias("c"), e, F.col("cb").alias("to")).unionByName(pool.select(NODE, F.col("cb").alias("c"), e, F.col("ca").alias("to")))
+    return both.groupBy(NODE, "c").agg(F.min("e").alias("e"), F.min_by("to", "e").alias("to"))
+
+
 def mutual_spanning_tree(points: DataFrame, min_samples: int, block_rows: int = BLOCK_ROWS, apart: str | None = None) -> DataFrame:
     """(node_id, a, b, w): minimum spanning tree under mutual reachability distance.
 
-    Every pair of blocks contributes the spanning tree of the edges between its rows; an
-    edge outside such a tree cannot be needed, so the tree of their union is the tree of all
-    pairs. The union holds a few edges per row and block and is resolved by rounds of joins.
+    A node that fits one block is solved by one task; others are by rounds of
+    components (``_component_rounds``), which never list all pairs or a tree per pair of blocks.
+    Equal weights are ordered by the ids of their ends, so both give the same tree.
     """
-    core = hold(core_distances(points, min_samples, block_rows)) if apart is None else points.select(NODE, "row_id", F.col(apart).alias("core"))
-    rows = points.select(NODE, "row_id", "features").join(core, [NODE, "row_id"])
-
-    def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node_id": [], "a": [], "b": [], "w": []})
-        if not len(q) or not len(s):
-            return empty
-        same = len(q) == len(s) and set(q["row_id"]) == set(s["row_id"])
-        weight = np.maximum(distances(matrix(q["features"]), matrix(s["features"])), np.maximum(q["core"].to_numpy()[:, None], s["core"].to_numpy()[None, :]))
-        if same:
-            order = np.argsort(s["row_id"].to_numpy())[np.argsort(np.argsort(q["row_id"].to_numpy()))]
-            ids, dense = q["row_id"].to_numpy(), weight[:, order]
-            if len(ids) < 2:
-                return empty
-        else:
-            ids = np.concatenate([q["row_id"], s["row_id"]])
-            dense = np.full((len(ids), len(ids)), np.inf)
-            dense[: len(q), len(q) :] = weight
-            dense[len(q) :, : len(q)] = weight.T
-        a, b, w = _local_tree(dense, ids)
-        keep = np.isfinite(w)
-        x, y = ids[a[keep]], ids[b[keep]]
-        return pd.DataFrame({"node_id": q[NODE].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "w": w[keep]})
-
-    edges, whole = block_join(rows, rows, block, "node_id string, a bigint, b bigint, w double", "features", None, block_rows, once=True)
-    edges = hold(edges)
-    return edges if whole else spanning_edges(edges)
+    sizes = hold(points.groupBy(NODE).agg(F.count("*").alias("n_rows")))
+    large = sizes.where(F.col("n_rows") > block_rows).select(NODE)
+    crowded = not large.isEmpty()
+    lists = None
+    if apart is None:
+        lists = hold(knn(points, max(min_samples, SEEDS) if crowded else min_samples, block_rows=block_rows))
+        core = lists.where(F.col("rank") <= min_samples).groupBy(NODE, "row_id").agg(F.max("dist").alias("core"))
+        # A row alone in its node has no neighbour, and no edge.
+        rows = points.select(NODE, "row_id", "features").join(core, [NODE, "row_id"])
+    else:
+        rows = points.select(NODE, "row_id", "features", F.col(apart).alias("core"))
+    rows = hold(rows)
+    small = _block_tree(rows.join(large, NODE, "left_anti"))
+    if not crowded:
+        return hold(small)
+    if lists is None:
+        lists = hold(knn(rows.join(large, NODE, "left_semi"), SEEDS, block_rows=block_rows))
+    grown = _component_rounds(rows.join(large, NODE, "left_semi"), lists.join(large, NODE, "left_semi"), block_rows)
+    return hold(small.unionByName(grown))
 
 
 def _grow_clusters(rows: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -264,45 +358,85 @@ def _cluster_tree(joined: DataFrame, skeleton: DataFrame) -> DataFrame:
 
     Only merges between grown groups are ordered here: three numbers each, at most one per
     ``min_cluster_size`` rows. Up to ``SKELETON_ROWS`` merges per node go to one task; more
-    are resolved by rounds of joins.
+    are resolved by ``merge_rounds``.
     """
     seeds = joined.groupBy(NODE, F.col("seed").alias("x")).agg(F.lit(None).cast("bigint").alias("y"))
     rows = hold(skeleton.select(NODE, "x", "y", "w", "a", "b").unionByName(seeds.select(NODE, "x", "y", F.lit(None).cast("double").alias("w"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))))
-    most = rows.groupBy(NODE).count().agg(F.max("count")).head()[0] or 0
-    if most <= SKELETON_ROWS:
+    if _most_rows(rows) <= SKELETON_ROWS:
         return hold(rows.groupBy(NODE).applyInPandas(_merge_order, _CLUSTER_SCHEMA))
     return merge_rounds(rows.where(F.col("y").isNotNull()), seeds.select(NODE, "x"))
 
 
-def merge_rounds(merges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The same tree by rounds: groups whose lightest merge is mutual merge, all over the node at once.
+def _most_rows(df: DataFrame) -> int:
+    return df.groupBy(NODE).count().agg(F.max("count")).head()[0] or 0
+
 
-    A merged cluster is named by a negative hash of the two rows of its edge.
+def merge_rounds(merges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same tree in logarithmic rounds, without a whole tree in one task.
+
+    Going down, every group names its lightest merge; the named ones are set aside and what they
+    connect becomes one group, so that at most half of the merges go on. Going up again, the
+    tree of the merges that went on is known, and one that was set aside belongs on the way
+    from its group to the root, below the first heavier merge: such merges of one gap
+    are a chain in the order of their weights. A merged cluster is named by a negative hash of the
+    two rows of its edge.
     """
-    live = hold(merges.select(NODE, "w", "a", "b", F.col("x").alias("ca"), F.col("y").alias("cb")))
-    done = None
+    e = F.struct("w", "a", "b")
+    live = hold(merges.select(NODE, (-F.abs(F.xxhash64("a", "b")) - 1).alias("m"), e.alias("e"), F.col("x").alias("ca"), F.col("y").alias("cb")))
+    levels = []
+    while not live.isEmpty():
+        side = lambda x, y: live.select(NODE, F.col(x).alias("c"), F.struct("e", "m", F.col(y).alias("to")).alias("x"))  # noqa: B023, E731
+        best = side("ca", "cb").unionByName(side("cb", "ca")).groupBy(NODE, "c").agg(F.min("x").alias("x"))
+        best = hold(best.select(NODE, "c", "x.e", "x.m", "x.to"))
+        back = best.select(NODE, F.col("c").alias("to"), F.col("to").alias("back"))
+        first = F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to"))
+        roots = to_roots(best.join(back, [NODE, "to"], "left").select(NODE, "c", first.alias("p")))
+        aside = hold(best.join(roots, [NODE, "c"]).select(NODE, "m", "e", F.col("p").alias("s")).distinct())
+        levels.append((best, aside))
+        live = hold(relabel(live.join(aside.select(NODE, "m"), [NODE, "m"], "left_anti"), roots, "ca", "cb").select(NODE, "m", "e", "ca", "cb"))
     names = seeds.select(NODE, F.col("x").alias("cluster"))
-    while live.limit(1).count():
-        ends = live.select(NODE, F.col("ca").alias("c"), F.struct("w", "a", "b").alias("e")).unionByName(live.select(NODE, F.col("cb").alias("c"), F.struct("w", "a", "b").alias("e")))
-        best = ends.groupBy(NODE, "c").agg(F.min("e").alias("e"))
-        left, right = (best.select(NODE, F.col("c").alias(c), F.col("e").alias(f"e_{c}")) for c in ("ca", "cb"))
-        here = F.struct("w", "a", "b")
-        mutual = live.join(left, [NODE, "ca"]).join(right, [NODE, "cb"]).where((F.col("e_ca") == here) & (F.col("e_cb") == here))
-        name = -F.abs(F.xxhash64("a", "b")) - 1
-        fused = hold(mutual.select(NODE, "ca", "cb", "w", name.alias("p")))
-        ended = fused.select(NODE, F.col("ca").alias("cluster"), F.col("p").alias("parent"), F.col("w").alias("w_end")).unionByName(
-            fused.select(NODE, F.col("cb").alias("cluster"), F.col("p").alias("parent"), F.col("w").alias("w_end"))
-        )
-        done = ended if done is None else done.unionByName(ended)
-        names = names.unionByName(fused.select(NODE, F.col("p").alias("cluster")))
-        swap = ended.select(NODE, F.col("cluster").alias("c"), F.col("parent").alias("p"))
-        for c in ("ca", "cb"):
-            live = live.join(swap.withColumnsRenamed({"c": c, "p": "__p"}), [NODE, c], "left").withColumn(c, F.coalesce("__p", c)).drop("__p")
-        live = hold(live.where(F.col("ca") != F.col("cb")))
-    if done is None:
+    if not levels:
         return hold(names.select(NODE, "cluster", F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("double").alias("w_end")))
-    roots = names.join(done.select(NODE, "cluster"), [NODE, "cluster"], "left_anti")
-    return hold(done.unionByName(roots.select(NODE, "cluster", F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("double").alias("w_end"))))
+    # (node_id, m, e, up, e_up): the tree of the merges of all levels above.
+    tree, above = None, None
+    for best, aside in reversed(levels):
+        tree = _with_chains(tree, above, aside)
+        above = best
+    leaves = names.join(above.select(NODE, F.col("c").alias("cluster"), F.col("m").alias("parent"), F.col("e.w").alias("w_end")), [NODE, "cluster"], "left")
+    return hold(leaves.unionByName(tree.select(NODE, F.col("m").alias("cluster"), F.col("up").alias("parent"), F.col("e_up.w").alias("w_end"))))
+
+
+def _with_chains(tree: DataFrame | None, above: DataFrame | None, aside: DataFrame) -> DataFrame:
+    """``tree`` with the merges of one more level; ``above`` names the first merge of every group that went on."""
+    none = lambda like: F.lit(None).cast(dict(aside.dtypes)[like])
+    if tree is None:
+        gaps = aside.select(NODE, "m", "e", F.lit(False).alias("climbed"), F.col("s").alias("gap"), none("m").alias("below"), none("m").alias("up"), none("e").alias("e_up"))
+    else:
+        start = above.select(NODE, F.col("c").alias("s"), F.col("m").alias("up"), F.col("e").alias("e_up"))
+        at = aside.join(start, [NODE, "s"], "left").withColumn("below", F.when(F.col("e_up") < F.col("e"), F.col("up")))
+        jump, jumps = tree.where(F.col("up").isNotNull()).select(NODE, F.col("m").alias("below"), F.col("up").alias("to"), F.col("e_up").alias("far")), []
+        while not (jump := hold(jump)).isEmpty():
+            jumps.append(jump)
+            onward = jump.select(NODE, F.col("below").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+            jump = jump.join(onward, [NODE, "to"]).select(NODE, "below", F.col("to2").alias("to"), F.col("far2").alias("far"))
+        for jump in reversed(jumps):
+            at = at.join(jump, [NODE, "below"], "left").withColumn("below", F.when(F.col("far") < F.col("e"), F.col("to")).otherwise(F.col("below"))).drop("to", "far")
+        over = tree.select(NODE, F.col("m").alias("below"), F.col("up").alias("up2"), F.col("e_up").alias("e_up2"))
+        at = at.join(over, [NODE, "below"], "left")
+        climbed = F.col("below").isNotNull()
+        gaps = at.select(
+            NODE, "m", "e", climbed.alias("climbed"), F.coalesce("below", "s").alias("gap"), "below",
+            F.when(climbed, F.col("up2")).otherwise(F.col("up")).alias("up"), F.when(climbed, F.col("e_up2")).otherwise(F.col("e_up")).alias("e_up"),
+        )
+    placed = hold(running_total(gaps.withColumn("one", F.lit(1)), [NODE, "climbed", "gap"], "e", "one", "turn"))
+    following = placed.select(NODE, "climbed", "gap", (F.col("turn") - 1).alias("turn"), F.col("m").alias("next"), F.col("e").alias("e_next"))
+    chained = placed.join(following, [NODE, "climbed", "gap", "turn"], "left")
+    chained = chained.select(NODE, "m", "e", F.coalesce("next", "up").alias("up"), F.coalesce("e_next", "e_up").alias("e_up"))
+    if tree is None:
+        return hold(chained)
+    firsts = placed.where((F.col("turn") == 1) & F.col("below").isNotNull()).select(NODE, F.col("below").alias("m"), F.col("m").alias("first"), F.col("e").alias("e_first"))
+    lifted = tree.join(firsts, [NODE, "m"], "left").select(NODE, "m", "e", F.coalesce("first", "up").alias("up"), F.coalesce("e_first", "e_up").alias("e_up"))
+    return hold(lifted.unionByName(chained))
 
 
 def _place_rows(joined: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -368,6 +502,62 @@ def _select(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def select_rounds(masses: DataFrame) -> DataFrame:
+    """What ``_select`` gives, in logarithmic rounds and without a whole tree in one task.
+
+    Sizes and peaks of subtrees add up over ancestors one, two, four, ... steps away. A cluster's score is
+    known once those of its parts are; where one part is still open, it is the larger of the
+    cluster's own mass and a sum plus that part, and such steps along a path are composed by doubling.
+    Choices come down by doubling as well: the highest kept cluster wins.
+    """
+    density = lambda w: F.when(F.col(w) > 0, 1 / F.col(w)).otherwise(float("inf"))
+    number = F.coalesce(F.col("n_own"), F.lit(0))
+    kids = masses.where(F.col("parent").isNotNull()).groupBy(NODE, F.col("parent").alias("cluster")).agg(F.max(density("w_end")).alias("split"), F.count("*").alias("kids"))
+    base = hold(masses.join(kids, [NODE, "cluster"], "left").withColumn("birth", F.when(F.col("w_end").isNull(), 0.0).otherwise(density("w_end"))))
+    jumps, jump = [], base.where(F.col("parent").isNotNull()).select(NODE, "cluster", F.col("parent").alias("up"))
+    while not (jump := hold(jump)).isEmpty():
+        jumps.append(jump)
+        jump = jump.join(jump.select(NODE, F.col("cluster").alias("up"), F.col("up").alias("up2")), [NODE, "up"]).select(NODE, "cluster", F.col("up2").alias("up"))
+    sums = base.select(NODE, "cluster", number.cast("double").alias("size"), F.greatest(F.coalesce("d_max", F.lit(0.0)), F.coalesce("split", F.lit(0.0))).alias("peak"))
+    for jump in jumps:
+        below = jump.join(sums, [NODE, "cluster"]).groupBy(NODE, F.col("up").alias("cluster")).agg(F.sum("size").alias("s2"), F.max("peak").alias("p2"))
+        sums = hold(sums.join(below, [NODE, "cluster"], "left").select(NODE, "cluster", (F.col("size") + F.coalesce("s2", F.lit(0.0))).alias("size"), F.greatest("peak", F.coalesce("p2", F.lit(0.0))).alias("peak")))
+    own = F.when(number > 0, F.col("d_sum") - number * F.col("birth")).otherwise(0.0)
+    mass = own + F.when(F.col("kids") > 0, (F.col("size") - number) * (F.col("split") - F.col("birth"))).otherwise(0.0)
+    known = base.join(sums, [NODE, "cluster"]).withColumn("mass", F.when(F.isnan(mass), 0.0).otherwise(mass))
+    known = hold(known.select(NODE, "cluster", "parent", "peak", "mass", F.coalesce("kids", F.lit(0)).alias("kids")))
+    # score: known; else ``part`` is the one open cluster below, and score = max(most, plus + its score).
+    state = hold(known.select(NODE, "cluster", "parent", "mass", F.when(F.col("kids") == 0, F.col("mass")).alias("score"), F.lit(None).cast("double").alias("most"), F.lit(None).cast("double").alias("plus"), F.lit(None).cast("bigint").alias("part")))
+    while not state.where(F.col("score").isNull()).isEmpty():
+        closed = F.col("score").isNotNull()
+        below = state.where(F.col("parent").isNotNull()).groupBy(NODE, F.col("parent").alias("cluster")).agg(
+            F.count(F.when(~closed, 1)).alias("open"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("sum"), F.max(F.when(~closed, F.col("cluster"))).alias("only")
+        )
+        met = state.join(below, [NODE, "cluster"], "left")
+        ready = F.col("score").isNull() & F.col("part").isNull()
+        met = met.select(
+            NODE, "cluster", "parent", "mass", F.when(ready & (F.col("open") == 0), F.greatest("mass", "sum")).otherwise(F.col("score")).alias("score"),
+            F.when(ready & (F.col("open") == 1), F.col("mass")).otherwise(F.col("most")).alias("most"), F.when(ready & (F.col("open") == 1), F.col("sum")).otherwise(F.col("plus")).alias("plus"),
+            F.when(ready & (F.col("open") == 1), F.col("only")).otherwise(F.col("part")).alias("part"),
+        )
+        met = hold(met)
+        step = met.select(NODE, F.col("cluster").alias("part"), F.col("score").alias("score2"), F.col("most").alias("most2"), F.col("plus").alias("plus2"), F.col("part").alias("part2"))
+        both = met.join(step, [NODE, "part"], "left")
+        onward = F.col("score").isNull() & F.col("part2").isNotNull() & F.col("score2").isNull()
+        state = hold(both.select(
+            NODE, "cluster", "parent", "mass", F.when(F.col("score").isNull() & F.col("score2").isNotNull(), F.greatest(F.col("most"), F.col("plus") + F.col("score2"))).otherwise(F.col("score")).alias("score"),
+            F.when(onward, F.greatest(F.col("most"), F.col("plus") + F.col("most2"))).otherwise(F.col("most")).alias("most"),
+            F.when(onward, F.col("plus") + F.col("plus2")).otherwise(F.col("plus")).alias("plus"), F.when(onward, F.col("part2")).otherwise(F.col("part")).alias("part"),
+        ))
+    parts = state.where(F.col("parent").isNotNull()).groupBy(NODE, F.col("parent").alias("cluster")).agg(F.sum("score").alias("parts"))
+    keep = F.col("parent").isNotNull() & (F.col("parts").isNull() | (F.col("mass") >= F.col("parts")))
+    chosen = hold(state.join(parts, [NODE, "cluster"], "left").select(NODE, "cluster", F.when(keep, F.col("cluster")).alias("selected")))
+    for jump in jumps:
+        over = chosen.select(NODE, F.col("cluster").alias("up"), F.col("selected").alias("higher"))
+        chosen = hold(chosen.join(jump, [NODE, "cluster"], "left").join(over, [NODE, "up"], "left").select(NODE, "cluster", F.coalesce("higher", "selected").alias("selected")))
+    return chosen.join(known.select(NODE, "cluster", "peak"), [NODE, "cluster"])
+
+
 def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node_id, row_id, label, outlier_score) of hierarchical density clustering, every node on its own.
 
@@ -381,7 +571,10 @@ def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, block_ro
     clusters = _cluster_tree(joined, skeleton)
     placed = hold(_place_rows(joined, clusters))
     masses = _stabilities(placed, clusters)
-    picks = hold(masses.groupBy(NODE).applyInPandas(_select, "node_id string, cluster bigint, selected bigint, peak double"))
+    if _most_rows(clusters) <= 2 * SKELETON_ROWS:
+        picks = hold(masses.groupBy(NODE).applyInPandas(_select, "node_id string, cluster bigint, selected bigint, peak double"))
+    else:
+        picks = hold(select_rounds(masses))
     both = placed.join(picks, [NODE, "cluster"])
     density = F.when(F.col("w") > 0, 1 / F.col("w")).otherwise(float("inf"))
     odd = (F.col("peak") == 0) | (density == float("inf"))

@@ -223,3 +223,75 @@ def test_rows_climb_deep_trees(spark):
         while w_end[n, i] is not None and w > w_end[n, i]:
             i = parent[n, i]
         assert got[n, k] == i
+
+
+def kruskal(n, merges):
+    """{(sorted seeds of a cluster): weight at which it ended} by merging one by one."""
+    of, ends = {i: frozenset([i]) for i in range(n)}, {}
+    for w, a, b in sorted(merges):
+        x, y = of[a], of[b]
+        ends[x] = ends[y] = w
+        for v in x | y:
+            of[v] = x | y
+    return {tuple(sorted(k)): v for k, v in ends.items()}
+
+
+def as_sets(rows):
+    """The same from a cluster table."""
+    parent = {r.cluster: r.parent for r in rows}
+    under = {c: set() for c in parent}
+    for c in parent:
+        if c >= 0:
+            up = c
+            while up is not None:
+                under[up].add(c)
+                up = parent[up]
+    return {tuple(sorted(under[r.cluster])): r.w_end for r in rows if r.parent is not None}
+
+
+@pytest.mark.parametrize("kind", ["rising", "random", "comb", "star"])
+def test_merge_rounds_of_many_shapes(spark, kind, monkeypatch):
+    """Chains and trees of 64 groups against merging one by one, in few rounds."""
+    rng = np.random.default_rng(len(kind))
+    n = 65
+    edges = {"rising": lambda i: (i, i + 1, i + 1.0), "random": lambda i: (int(rng.integers(0, i + 1)), i + 1, float(rng.permutation(10**6)[0])), "comb": lambda i: (i, i + 1, float((i * 37) % 64)), "star": lambda i: (0, i + 1, float((i * 11) % 64))}[kind]
+    merges = [(w, a, b) for a, b, w in map(edges, range(n - 1))]
+    rows = [("root", a, b, w, a, b) for w, a, b in merges]
+    frame_ = spark.createDataFrame(rows, "node_id string, x bigint, y bigint, w double, a bigint, b bigint")
+    levels = []
+    chains = D._with_chains
+    monkeypatch.setattr(D, "_with_chains", lambda *a: levels.append(1) or chains(*a))
+    got = D.merge_rounds(frame_, spark.createDataFrame([("root", i) for i in range(n)], "node_id string, x bigint")).collect()
+    assert as_sets(got) == kruskal(n, merges) and len(got) == 2 * n - 1
+    assert len(levels) <= 7 and (kind != "rising" or len(levels) == 1)
+
+
+@pytest.mark.parametrize("seed,m,k", [(1, 5, 4), (2, 3, 3)])
+def test_hdbscan_without_whole_trees_in_a_task(spark, monkeypatch, seed, m, k):
+    x = blobs(seed)
+    monkeypatch.setattr(D, "SKELETON_ROWS", 0)
+    want, odd = brute_hdbscan(x, m, k)
+    got = sorted(D.hdbscan(frame(spark, x), m, k, 60).collect(), key=lambda r: r.row_id)
+    assert [r.label for r in got] == want.tolist()
+    assert np.allclose([r.outlier_score for r in got], odd, atol=1e-9)
+
+
+@pytest.mark.parametrize("k", [3, 20])
+def test_spanning_tree_of_many_blocks(spark, k):
+    """The same edges as one block's, also with copies, ties on a lattice and far groups, and a few per row held."""
+    rng = np.random.default_rng(k)
+    lattice = np.array([(i, j, 0) for i in range(9) for j in range(9)], dtype=float)
+    x = np.vstack([blobs(k, 120, 10), lattice + 100, lattice[:20] + 100, np.full((25, 3), -50.0), rng.normal(size=(60, 3)) * 0.01 + 300])
+    points = frame(spark, x)
+    edges = lambda t: {(r.a, r.b): round(r.w, 9) for r in t.collect()}
+    one, many = edges(D.mutual_spanning_tree(points, k, 4096)), edges(D.mutual_spanning_tree(points, k, 40))
+    assert len(one) == len(x) - 1 and one == many
+
+
+def test_spanning_tree_plan_has_no_tree_per_pair_of_blocks(spark, monkeypatch):
+    held = []
+    keep = D._with_ends
+    monkeypatch.setattr(D, "_with_ends", lambda found, state: held.append(found.count()) or keep(found, state))
+    x = blobs(9, 600, 40)
+    D.mutual_spanning_tree(frame(spark, x), 4, 40)
+    assert max(held) <= len(x)
