@@ -190,15 +190,15 @@ def _component_rounds(rows: DataFrame, lists: DataFrame, block_rows: int) -> Dat
     while True:
         counts = state.groupBy(NODE, "c").agg(F.min("row_id").alias("first"))
         several = counts.groupBy(NODE).agg(F.count("*").alias("n")).where("n > 1").select(NODE)
-        groups = hold(counts.join(several, NODE))
-        if groups.isEmpty():
-            return hold(kept)
+        groups = counts.join(several, NODE)
         bounds = hold(groups.join(_lightest(pool), [NODE, "c"], "left"))
-        lost = bounds.where(F.col("e").isNull())
-        if not lost.isEmpty():
+        live, lost = bounds.agg(F.count("*"), F.count_if(F.col("e").isNull())).head()
+        if not live:
+            return hold(kept)
+        if lost:
             # A component that no known edge leaves asks for one from its first row.
-            asking = placed.join(lost.select(NODE, "c", F.col("first").alias("row_id"), F.lit(float("inf")).alias("limit")), [NODE, "row_id"])
-            more = _nearest_foreign(asking, placed.join(state.select(NODE, "row_id", "c"), [NODE, "row_id"]), pivots, block_rows)
+            ask = bounds.where(F.col("e").isNull()).select(NODE, "c", F.col("first").alias("row_id"), F.lit(float("inf")).alias("limit"))
+            more = _nearest_foreign(placed.join(ask, [NODE, "row_id"]), placed.join(state.select(NODE, "row_id", "c"), [NODE, "row_id"]), pivots, block_rows)
             pool = hold(pool.unionByName(_with_ends(more, state)))
             bounds = hold(groups.join(_lightest(pool), [NODE, "c"], "left"))
         open_rows = hold(state.join(bounds.select(NODE, "c", F.col("e.w").alias("limit")), [NODE, "c"]).where(F.col("least") <= F.col("limit")))
