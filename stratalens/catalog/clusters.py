@@ -3,6 +3,7 @@ their languages; lineitem gives two-column projections whose axes have a closed
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -102,6 +103,19 @@ def k4(spark, sf):
     return D.hdbscan(letter_points(spark, sf), 25, 5).select("row_id", "label")
 
 
+def planted_lattice(spark, sf):
+    """Every segment's customers as two rows of evenly spaced points far apart, by the parity of their nation."""
+    place = F.row_number().over(Window.partitionBy("node_id", "side").orderBy("row_id")).cast("double")
+    return planted(spark, sf).select("node_id", "row_id", "side", F.array(place, F.col("side") * 1e6).alias("features"))
+
+
+# Evenly spaced points never split before they part altogether, so a segment has its two sides and no noise.
+@query("k4_planted_nodes", _PLANTED_SQL)
+def k4_planted(spark, sf):
+    p = hold(planted_lattice(spark, sf))
+    return planted_labels(p, D.hdbscan(p, 5, 3).select("node_id", "row_id", "label"))
+
+
 @query("k5_outlier_scores")
 def k5(spark, sf):
     return rounded(D.hdbscan(letter_points(spark, sf), 25, 5).select("row_id", "outlier_score"))
