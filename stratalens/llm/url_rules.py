@@ -65,8 +65,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str,
     expression = lambda s: F.concat(F.array_join(F.slice("__labels", F.size("__labels") - s.a + 1, s.a), "."), F.lit("\n"), F.substr("path", F.lit(1), s.b))
     wide = own.select("__row", *keep, "host", "path", F.explode_outer(F.transform(fits, expression)).alias("__e"))
     wide = wide.withColumn("__digest", _digest(F.col("__e"))).drop("__e")
-    wide = wide.withColumn("__prefix", F.substring("__digest", 1, PREFIX_CHARS))
-    hit = wide.join(ready, (F.col("__prefix") == F.col("prefix")) & (F.col("__digest") == F.col("digest")), "left")
-    found = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule_verdict"), F.col("rule")))
+    # Urls without an expression fit no prefix, and get one of their own so that they don't gather in one task.
+    wide = wide.withColumn("__prefix", F.coalesce(F.substring("__digest", 1, PREFIX_CHARS), F.concat(F.lit("-"), F.col("__row").cast("string"))))
+    hit = wide.join(ready, F.col("__prefix") == F.col("prefix"), "left")
+    # What shares a prefix is confirmed by the whole digest.
+    found = F.when(F.col("__digest") == F.col("digest"), F.struct(F.length("rule").alias("n"), F.col("rule_verdict"), F.col("rule")))
     best = hit.groupBy("__row", *keep, "host", "path").agg(F.max(found).alias("best"))
     return best.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

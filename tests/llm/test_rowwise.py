@@ -242,3 +242,13 @@ def test_transfer_matrices_are_exact_on_random_strings():
 
 def test_schema_of_fixture_clashes():
     assert "score" in DOCS and "row" in DOCS
+
+
+def test_urls_that_share_a_prefix_only(spark, monkeypatch):
+    """With prefixes of one character most rules meet most urls, and only whole digests decide."""
+    monkeypatch.setattr(url_rules, "PREFIX_CHARS", 1)
+    rules = spark.createDataFrame(RULES + [(f"h{i}.org", "/", "block") for i in range(40)], "host string, path string, verdict string")
+    urls = [(i, f"https://h{i}.org/x") for i in range(60)] + [(100, "https://a.example.com/en/x"), (101, None), (102, "no url"), (103, "http://x.net/es/"), (104, "https://example.de/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert all(got[i] == ((f"h{i}.org/", "block") if i < 40 else (None, "allow")) for i in range(60))
+    assert got[100] == ("example.com/en/", "block") and got[103] == ("net/es/", "block") and got[101] == got[102] == got[104] == (None, "allow")
