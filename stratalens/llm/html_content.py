@@ -1,24 +1,32 @@
 """Main text of web pages from parser events and the ratio of text to tags.
 
-The standard library's parser streams events. Every block element opens a new line; a line
-knows its text, the tags met since the line before, the text inside links and its enclosing
-elements. The ratio of text to tags is smoothed over neighbouring lines by a Gaussian and split
-in two clusters; the lines of the upper one point at the content region: the article that holds
-them, or else the deepest element with most of their text. Lines of that region are the result,
-but for those inside elements whose tag, role, class or id says menu, header, footer, sidebar,
-notice, advert, form or reader comment, and outside of articles lines made of links.
+The standard library's parser streams events. Every block element opens a new line; a line knows
+its pieces of text with the element each stands in, and the tags met since the line before. The
+ratio of unlinked text to tags is smoothed over neighbouring lines by a Gaussian and split in two
+clusters. Lines of the upper one are seeds. The content region is what ``main`` or the articles
+hold, if at least half of the seeds' text is theirs, else the page. All lines of an article in the
+region belong to the text, other lines if they lie between two seeds, stand beside one (same
+container), or are sentences of a paragraph. Runs of link lines in the lower cluster are menus and go, inside articles as well.
+
+Elements are set apart by tag and role (menu, footer, aside, header outside the content), by
+names in class and id, and as forms. Names are weak evidence: a name counts as a whole
+(``sidebar``, ``comment-list``, ``site-footer``, but not ``no-sidebar`` or ``notice-period``),
+never for headings, and neither a name nor a form sets apart what holds the content: ``main`` or
+the article with the heading or most text, or, without both, more than half of the text.
 
 White space (as Unicode has it, no-break space included) inside a line becomes one space; lines
 are joined in page order by a line feed.
 
 Defined cases: null and empty pages and pages without text give an empty text; markup that
-breaks off is read to its end; repeated rows are read one by one; an empty table gives an empty
-result; other columns are not looked at.
+breaks off is read to its end; an unclosed tag at the end counts as text, and the time stays
+linear in the page; repeated rows are read one by one; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,93 +38,156 @@ from pyspark.sql import functions as F
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 SIGMA = 1.0
-REGION_SHARE = 0.8
 LINK_SHARE = 0.8
+LINK_RUN = 3
+SENTENCE_WORDS = 5
 
 # Names of the markup language.
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("blockquote dd dl dt li ol p pre ul".split())
+BLOCKS = PROSE | frozenset(
+    "address article aside body caption center details dialog dir div fieldset figcaption figure footer form "
+    "head header hr html legend main menu nav section summary table tbody td tfoot th thead tr".split()
 )
-CONTAINERS = frozenset("article aside body center dialog div fieldset footer form header main menu nav section table td".split())
-SILENT = frozenset("audio button canvas datalist iframe math noscript object option script select style svg template textarea title video".split())
+BOXES = BLOCKS - PROSE
+#: An element of a key ends where one of its values opens directly inside.
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+SILENT = frozenset("annotation audio button canvas datalist iframe noscript object option script select style svg template textarea title video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-APART = frozenset("aside dialog footer form menu nav".split())
-APART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+APART = frozenset("aside dialog footer menu nav".split())
+APART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright disclaimer disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications pager "
     "pagination paywall popup promo promotion recommended recommendations related replies reply search share sharebar sharing sidebar sidenav signup "
     "skip social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
-_NAME = re.compile(r"[a-z]+")
-_NEVER_APART = frozenset("html body article main head".split())
+#: What may follow such a name and leave its meaning: boxes, places, sizes.
+BESIDE_NAMES = frozenset(
+    "area bar block body bottom box buttons column container content count entry form group header heading inner item items left link links list main outer "
+    "panel right row section site text thread title top unit wrap wrapper".split()
+)
+#: What says that the named thing is a state of the page, not the element itself.
+STATES = frozenset("has hide no not show with without".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_SENTENCE_END = re.compile(r"[.!?:…。！？][\"'”’»)\]]*$")
+
+OPEN, NAMED, FORM, SHUT = 0, 1, 2, 3
+
+
+def furniture(token: str) -> bool:
+    """Whether one token of a class or an id names page furniture as a whole."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    if not words or words[0] in STATES:
+        return False
+    if token.lower() in APART_NAMES or words[-1] in APART_NAMES:
+        return True
+    return words[0] in APART_NAMES and all(w in BESIDE_NAMES or w in APART_NAMES or w.isdigit() for w in words[1:])
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: (text, tags, link characters, path of open elements, set apart)."""
+    """Parser events to lines (block, pieces of (element, text, linked), tags) and a tree of elements by parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.kinds: list[str] = ["page"]
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.lines: list[tuple[int, list[tuple[int, str, bool]], int]] = []
+        self.parents, self.tags, self.flags = [0], ["page"], [OPEN]
+        self.blocks, self.containers = [0], [0]  # nearest block, nearest block that is no prose
+        self.open = [0]
+        self.counts: Counter = Counter()
         self.silent: list[str] = []
-        self.links = 0
-        self.parts: list[str] = []
-        self.tags = 0
-        self.link_chars = 0
+        self.linked = False
+        self.parts: list[tuple[int, str, bool]] = []
+        self.tags_met = 0
+
+    # An opening that no later character closes is looked for once, not once per opening.
+
+    def goahead(self, end):
+        self.last_close = self.rawdata.rfind(">")
+        self.endless: set[str] = set()
+        super().goahead(end)
+
+    def parse_starttag(self, i):
+        return -1 if i > self.last_close else super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        return -1 if i > self.last_close else super().parse_endtag(i)
+
+    def parse_comment(self, i, report=1):
+        return self._once("comment", super().parse_comment, i, report)
+
+    def parse_marked_section(self, i, report=1):
+        return self._once("section", super().parse_marked_section, i, report)
+
+    def _once(self, kind: str, parse, i: int, report: int) -> int:
+        if kind in self.endless:
+            return -1
+        found = parse(i, report)
+        if found < 0:
+            self.endless.add(kind)
+        return found
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.link_chars, tuple(x[1] for x in self.open), self.open[-1][2]))
-            self.tags = 0
-        self.parts, self.link_chars = [], 0
-
-    def _apart(self, tag: str, attrs) -> bool:
-        if tag in _NEVER_APART:
-            return False
-        if tag in APART or tag == "header" and not any(x[0] in ("article", "main") for x in self.open):
-            return True
+        if any(x[1].strip() for x in self.parts):
+            self.lines.append((self.blocks[self.open[-1]], self.parts, self.tags_met))
+            self.tags_met = 0
+        self.parts = []
+
+    def _flag(self, tag: str, attrs) -> int:
+        if tag in ("html", "body", "main", "head"):
+            return OPEN
+        if tag in APART or tag == "header" and not self.counts["article"] and not self.counts["main"]:
+            return SHUT
+        flag = FORM if tag == "form" else OPEN
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value and value.strip().lower() in APART_ROLES:
-                return True
-            if name in ("class", "id") and value:
-                for part in value.lower().split():
-                    if not APART_NAMES.isdisjoint(_NAME.findall(part)):
-                        return True
-            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+            value = (value or "").strip()
+            if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
+                return SHUT
+            if name == "role" and tag != "article" and value.lower() in APART_ROLES:
+                return SHUT
+            if name == "role" and value.lower() == "form":
+                flag = FORM
+            if tag in HEADINGS or flag == FORM:
+                continue
+            if name == "aria-hidden" and value.lower() == "true" or name in ("class", "id") and any(furniture(x) for x in value.split()):
+                flag = NAMED
+        return flag
+
+    def _close(self) -> None:
+        self.counts[self.tags[self.open.pop()]] -= 1
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag in SILENT and tag == self.silent[-1]:
+            if tag == self.silent[-1]:
                 self.silent.append(tag)
             return
+        self.tags_met += 1
         if tag in SILENT:
-            self.tags += 1
             self.silent.append(tag)
             return
         if tag in BLOCKS:
             self.end_line()
-            if self.open[-1][0] == "p":  # a block ends a paragraph that was set apart
-                self.open.pop()
-        self.tags += 1
+            if self.tags[self.open[-1]] == "p" or self.tags[self.open[-1]] in HEADINGS and tag in HEADINGS:
+                self._close()
+            while tag in ENDED_BY.get(self.tags[self.open[-1]], ()):
+                self._close()
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((self.open[-1], " ", False))
         if tag == "a":
-            self.links = 1
+            self.linked = True
         if tag in VOID:
             return
-        apart = self._apart(tag, attrs)
-        # Within an element that is set apart, elements of its own name are counted too.
-        if apart or tag in CONTAINERS or self.open[-1][2] and any(x[0] == tag for x in self.open):
-            self.kinds.append(tag)
-            self.open.append((tag, len(self.kinds) - 1, apart or self.open[-1][2]))
+        flag = self._flag(tag, attrs)
+        # Inline elements matter if they are set apart; those of the same name inside are counted then.
+        if flag or tag in BLOCKS or self.counts[tag]:
+            e, parent = len(self.tags), self.open[-1]
+            self.parents.append(parent)
+            self.tags.append(tag)
+            self.flags.append(flag)
+            self.blocks.append(e if tag in BLOCKS else self.blocks[parent])
+            self.containers.append(e if tag in BOXES else self.containers[parent])
+            self.open.append(e)
+            self.counts[tag] += 1
 
     def handle_endtag(self, tag):
         if self.silent:
@@ -127,14 +198,13 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.end_line()
-        self.tags += 1
+        self.tags_met += 1
         if tag == "a":
-            self.links = 0
-        if any(x[0] == tag for x in self.open):
-            if tag not in BLOCKS:
-                self.end_line()  # an inline element that was set apart
-            while self.open.pop()[0] != tag:
-                pass
+            self.linked = False
+        if self.counts[tag]:
+            while self.tags[self.open[-1]] != tag:
+                self._close()
+            self._close()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -142,11 +212,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        self.parts.append(data)
-        if self.links:
-            self.link_chars += len(data)
+        if not self.silent:
+            self.parts.append((self.open[-1], data, self.linked))
 
 
 def parse(html: str) -> Lines:
@@ -162,6 +229,45 @@ def parse(html: str) -> Lines:
     return lines
 
 
+def inherited(page: Lines, own: list[bool]) -> list[bool]:
+    """For every element whether it or one around it has the mark; parents come before children."""
+    marks = list(own)
+    for e in range(1, len(marks)):
+        marks[e] = marks[e] or marks[page.parents[e]]
+    return marks
+
+
+def summed(page: Lines, own: list[int]) -> list[int]:
+    """For every element the sum of its own value and those inside."""
+    sums = list(own)
+    for e in range(len(sums) - 1, 0, -1):
+        sums[page.parents[e]] += sums[e]
+    return sums
+
+
+def apart(page: Lines) -> list[bool]:
+    """For every element whether its text is no content."""
+    if not any(page.flags):
+        return [False] * len(page.flags)
+    shut = inherited(page, [f == SHUT for f in page.flags])
+    chars, titles = [0] * len(shut), [0] * len(shut)
+    for block, parts, _ in page.lines:
+        titles[block] += page.tags[block] == "h1" and not shut[block]
+        for e, text, _ in parts:
+            chars[e] += 0 if shut[e] else len(text)
+    chars, titles = summed(page, chars), summed(page, titles)
+    articles = [e for e, tag in enumerate(page.tags) if tag == "article" and page.flags[e] == OPEN and chars[e]]
+    core = [e for e, tag in enumerate(page.tags) if tag == "main" and chars[e]]
+    if not core and articles:
+        core = [max(articles, key=lambda e: (titles[e] > 0, chars[e], -e))]
+    around = summed(page, [0] * len(shut))
+    for e in core[:1]:
+        while e and not around[e]:
+            around[e], e = 1, page.parents[e]
+    holds = [bool(around[e]) if core else 2 * chars[e] > chars[0] for e in range(len(shut))]
+    return inherited(page, [f == SHUT or f in (NAMED, FORM) and not holds[e] for e, f in enumerate(page.flags)])
+
+
 def upper_cluster(ratios: np.ndarray) -> np.ndarray:
     """Which smoothed ratios lie above the threshold between the means of two clusters."""
     reach = int(3 * SIGMA)
@@ -185,30 +291,55 @@ def main_text(html: str) -> str:
     if not html:
         return ""
     page = parse(html)
-    kept = [i for i, x in enumerate(page.lines) if not x[4]]
+    hidden = apart(page)
+    texts, ratios, links = [], [], []
+    for _, parts, tags in page.lines:
+        shown = [x for x in parts if not hidden[x[0]]]
+        texts.append(" ".join("".join(x[1] for x in shown).split()))
+        linked = sum(len(x[1].strip()) for x in shown if x[2])
+        links.append(bool(texts[-1]) and linked >= LINK_SHARE * len(texts[-1]))
+        ratios.append(max(len(texts[-1]) - linked, 0) / max(tags, 1))
+    kept = [i for i, text in enumerate(texts) if text]
     if not kept:
         return ""
-    ratios = np.array([0.0 if x[4] else len(x[0]) / max(x[1], 1) for x in page.lines])
-    high = upper_cluster(ratios)
-    chosen = [i for i in kept if high[i]] or kept
-    chars: dict[int, int] = {}
-    for i in chosen:
-        for e in page.lines[i][3]:
-            chars[e] = chars.get(e, 0) + len(page.lines[i][0])
-    for kind in ("article", "main"):
-        outer = {}
-        for i in kept:
-            e = next((e for e in page.lines[i][3] if page.kinds[e] == kind), None)
-            if e is not None:
-                outer[e] = outer.get(e, 0) + len(page.lines[i][0])
-        if outer:
-            regions = {e for e in outer if e in chars} or {max(outer, key=lambda e: (outer[e], -e))}
-            return "\n".join(page.lines[i][0] for i in kept if not regions.isdisjoint(page.lines[i][3]))
-    total = chars[0]
-    # Elements are numbered as they open, so the largest number with most of the text is the deepest.
-    region = max(e for e, n in chars.items() if n >= REGION_SHARE * total)
-    inside = [page.lines[i] for i in kept if region in page.lines[i][3]]
-    return "\n".join(x[0] for x in inside if x[2] < LINK_SHARE * len(x[0]) or x[1] < 2) or "\n".join(x[0] for x in inside)
+    high = upper_cluster(np.array(ratios))
+    seeds = [i for i in kept if high[i] and not links[i]] or kept
+    blocks = [x[0] for x in page.lines]
+    articles = inherited(page, [t == "article" for t in page.tags])
+    for marks in (inherited(page, [t == "main" for t in page.tags]), articles):
+        inside = [i for i in kept if marks[blocks[i]]]
+        if 2 * sum(len(texts[i]) for i in seeds if marks[blocks[i]]) >= sum(len(texts[i]) for i in seeds):
+            kept, seeds = inside, [i for i in seeds if marks[blocks[i]]]
+            break
+    else:
+        articles = [False] * len(articles)
+    anchors = [i for i in kept if articles[blocks[i]]] + seeds
+    seeded = [0] * len(page.tags)
+    for i in anchors:
+        seeded[blocks[i]] = 1
+    seeded = summed(page, seeded)
+    first, last, anchored = min(anchors), max(anchors), set(anchors)
+
+    def belongs(i: int) -> bool:
+        if i in anchored or first < i < last:
+            return True
+        if seeded[page.containers[blocks[i]]] or page.tags[blocks[i]] == "h1":
+            return True
+        text = texts[i]
+        return page.tags[blocks[i]] in PROSE and len(text.split()) >= SENTENCE_WORDS and bool(_SENTENCE_END.search(text)) and not text.startswith("©")
+
+    chosen = [i for i in kept if belongs(i)]
+    out, run = [], []
+    for i in [*chosen, None]:
+        if i is not None and links[i] and not high[i] and page.tags[blocks[i]] not in HEADINGS:
+            run.append(i)
+            continue
+        if len(run) < LINK_RUN and all(articles[blocks[j]] or page.lines[j][2] < 2 for j in run):
+            out += run
+        run = []
+        if i is not None:
+            out.append(i)
+    return "\n".join(texts[i] for i in out or chosen)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +119,67 @@ def test_html_pages(spark):
     assert html_content.extract(pages.limit(0)).collect() == []
 
 
+ARTICLE = "<h1>Title of it</h1><p>A first paragraph with a good deal of text in it.</p><p>Second, which goes on for a while as well.</p>"
+TEXT = "Title of it\nA first paragraph with a good deal of text in it.\nSecond, which goes on for a while as well."
+FRAMES = [
+    (f'<div class="page no-sidebar"><article>{ARTICLE}</article></div>', TEXT),
+    (f'<div class="has-sidebar layout"><article>{ARTICLE}</article></div>', TEXT),
+    (f'<div class="sidebar">aside</div><div class="content-sidebar"><p>x</p></div><div class="wrapper">{ARTICLE}</div>', TEXT),
+    (f"<body><form id=aspnetForm><nav>menu</nav><article>{ARTICLE}</article></form>", TEXT),
+    (f"<body><form id=aspnetForm><div>{ARTICLE}</div></form>", TEXT),
+    (
+        f'<article>{ARTICLE}<h2 id="related-work">Related work</h2><p class=notice-period>The notice period is long.</p>'
+        "<section id=search-methods><h2 id=Social_history>Social history</h2><p>Methods are here.</p></section></article>",
+        f"{TEXT}\nRelated work\nThe notice period is long.\nSocial history\nMethods are here.",
+    ),
+    (f"<main><h1>Title</h1><article>{ARTICLE}</article><p>And a last one.</p></main>", f"Title\n{TEXT}\nAnd a last one."),
+    (f"<article>{ARTICLE}</article><article><p>Short.</p></article>", f"{TEXT}\nShort."),
+    (
+        f"<body><div><a href=/>Home</a> | <a href=/b>About</a></div><div id=a>{ARTICLE * 3}</div><p>A paragraph outside of the box.</p><div>&copy; 2024 Firm</div>",
+        "\n".join([TEXT] * 3) + "\nA paragraph outside of the box.",
+    ),
+    (f"<article>{ARTICLE}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>See <a href=4>the paper</a></p></article>", f"{TEXT}\nSee the paper"),
+    (f"<article>{ARTICLE}<p>Before <span class=ad>BUY <span>now</span></span> after.</p></article>", f"{TEXT}\nBefore after."),
+    (f"<article><h1>T</h1><p>Short.</p></article><section class=comments><article><p>{'very long comment ' * 30}</p></article></section>", "T\nShort."),
+]
+
+
+@pytest.mark.parametrize("case", range(len(FRAMES)))
+def test_html_articles_in_frames(case):
+    assert html_content.main_text(FRAMES[case][0]) == FRAMES[case][1]
+
+
+@pytest.mark.parametrize("token, named", [("sidebar", 1), ("comment-list", 1), ("site-footer", 1), ("cookieNotice", 1), ("ad_2", 1), ("no-sidebar", 0), ("notice-period", 0), ("header", 0), ("Social_history", 0), ("add", 0)])
+def test_html_names(token, named):
+    assert html_content.furniture(token) == bool(named)
+
+
+def test_html_upper_cluster_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 60):
+        ratios = rng.choice([0.0, 1.0, 3.5, 40.0, 200.0], n)
+        smooth = []
+        for i in range(n):
+            near = [(math.exp(-((i - j) ** 2) / 2), ratios[j]) for j in range(n) if abs(i - j) <= 3]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        cut = sum(smooth) / n
+        for _ in range(50):
+            high, low = [x for x in smooth if x >= cut], [x for x in smooth if x < cut]
+            if not high or not low:
+                break
+            cut = (sum(high) / len(high) + sum(low) / len(low)) / 2
+        far = [i for i in range(n) if abs(smooth[i] - cut) > 1e-6]
+        got = html_content.upper_cluster(ratios)
+        assert [bool(got[i]) for i in far] == [smooth[i] >= cut for i in far]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</", "<div>x", "<ul><li>x", "<p>x ", "<!-- >", "<![CDATA[ >", "<div class=ad>x", "<span class=ad>x</p>", "<a x='\"> "])
+def test_html_broken_pages_take_linear_time(piece):
+    started = time.process_time()
+    html_content.main_text(piece * 20_000)
+    assert time.process_time() - started < 3
+
+
 def test_html_very_long_page():
     body = "".join(f"<p>line {i} of the text</p>" for i in range(20_000))
     assert html_content.main_text(f"<nav>menu</nav><article>{body}</article>").count("\n") == 19_999
