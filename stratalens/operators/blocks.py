@@ -71,7 +71,7 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 _DTYPES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "object"}
 
 
-def _guarded(fn, schema: str):
+def guarded(fn, schema: str):
     """``fn`` on blocks with rows on both sides; a chunk may be empty on one. Text columns leave as plain lists."""
     columns = dict(part.strip().split(" ", 1) for part in schema.split(","))
 
@@ -203,7 +203,7 @@ def block_join(
     symmetric work on one table. ``pivots`` says that both sides come from ``placed_rows``.
     """
     same = queries is candidates
-    fn = _guarded(fn, schema)
+    fn = guarded(fn, schema)
     nq = queries.groupBy(NODE).agg(F.count("*").alias("nq"))
     sizes = nq.withColumn("ns", F.col("nq")) if same else nq.join(candidates.groupBy(NODE).agg(F.count("*").alias("ns")), NODE)
     sizes = hold(sizes)
@@ -227,13 +227,23 @@ def block_join(
     if pivots:
         rows = _cell_plan(q, s, pivots, reach, block_rows)
         plan = plan.unionByName(queries.sparkSession.createDataFrame(rows, _PLAN_SCHEMA))
+    return meet(q.withColumnRenamed("cell", "q_cell").drop("reach"), s, plan, fn, schema, once=once), False
+
+
+def meet(asks: DataFrame, rows: DataFrame, plan: DataFrame, fn, schema: str, *more: str, once: bool = False) -> DataFrame:
+    """``fn(query block, candidate block)`` over the chunks of the cell pairs of a plan.
+
+    ``asks`` has ``q_cell``, ``rows`` has ``cell`` and ``reach``; ``more`` names columns that
+    part the queries further, found in ``asks`` and ``plan``.
+    """
+    key = [*_KEY, *more]
     chunk = lambda n: F.pmod(F.xxhash64(F.lit(11), "row_id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    asks = q.withColumnRenamed("cell", "q_cell").drop("reach").join(plan, [NODE, "q_cell"])
+    asks = asks.join(plan, [NODE, "q_cell", *more])
     asks = asks.withColumn("q_chunk", chunk("q_chunks")).withColumn("s_chunk", spread("s_chunks")).drop("least", "q_chunks", "s_chunks")
-    gives = s.withColumnRenamed("cell", "s_cell").join(plan, [NODE, "s_cell"]).where(F.col("reach") >= F.col("least"))
+    gives = rows.withColumnRenamed("cell", "s_cell").join(plan, [NODE, "s_cell"]).where(F.col("reach") >= F.col("least"))
     gives = gives.withColumn("s_chunk", chunk("s_chunks")).withColumn("q_chunk", spread("q_chunks")).drop("least", "q_chunks", "s_chunks", "reach")
     if once:
         ordered = (F.col("q_cell") < F.col("s_cell")) | ((F.col("q_cell") == F.col("s_cell")) & (F.col("q_chunk") <= F.col("s_chunk")))
         asks, gives = asks.where(ordered), gives.where(ordered)
-    return asks.groupBy(*_KEY).cogroup(_fresh(gives).groupBy(*_KEY)).applyInPandas(lambda a, b: fn(a, b), schema), False
+    return asks.groupBy(*key).cogroup(_fresh(gives).groupBy(*key)).applyInPandas(lambda a, b: fn(a, b), schema)

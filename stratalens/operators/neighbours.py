@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import hold
 from .blocks import BLOCK_ROWS, NODE, Reach, block_join, distances, matrix, smallest
+from .counting import count_nearer
 
 _LIST = "node_id string, row_id bigint, neighbour bigint, dist double"
 
@@ -123,39 +125,16 @@ def two_space_neighbours(points: DataFrame, k: int, vector: str = "features", ot
 def cross_ranks(points: DataFrame, lists: DataFrame, vector: str = "features", other: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``other_rank`` to two-space lists: the neighbour's rank in the space that did not choose it.
 
-    A rank is one plus the number of rows strictly nearer (ties by id), counted per block
-    and added up; no full ranking of a row is ever held.
+    A rank is one plus the number of rows strictly nearer (ties by id), counted by cells of
+    each space; no full ranking of a row is ever held.
     """
-    packed = F.array_sort(F.collect_list(F.struct("space", "rank", "neighbour", "other_dist")))
-    asked = lists.groupBy(NODE, "row_id").agg(packed.alias("p"))
-    asked = asked.select(
-        NODE, "row_id", F.col("p.space").alias("spaces"), F.col("p.neighbour").alias("targets"), F.col("p.other_dist").alias("limits")
-    )
-    narrow = points.select(NODE, "row_id", vector, other)
-    queries = narrow.join(asked, [NODE, "row_id"])
-
-    def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        ids = s["row_id"].to_numpy()
-        spaces = [_masked(q, s, distances(matrix(q[c]), matrix(s[c]))) for c in (vector, other)]
-        rows = np.repeat(np.arange(len(q)), [len(t) for t in q["targets"]])
-        chosen, target, limit = (np.concatenate([np.asarray(v) for v in q[c]]) for c in ("spaces", "targets", "limits"))
-        nearer = np.zeros(len(rows), dtype="int64")
-        for start in range(0, len(rows), 4096):
-            part = slice(start, start + 4096)
-            r, lim, tid = rows[part], limit[part][:, None], target[part][:, None]
-            # Chosen in space 0 means ranked in space 1, and the other way round.
-            d = np.where((chosen[part] == 0)[:, None], spaces[1][r], spaces[0][r])
-            nearer[part] = ((d < lim) | ((d == lim) & (ids[None, :] < tid))).sum(axis=1)
-        return pd.DataFrame(
-            {"node_id": q[NODE].iloc[0], "row_id": q["row_id"].to_numpy()[rows], "space": chosen.astype("int32"), "neighbour": target, "nearer": nearer}
-        )
-
-    schema = "node_id string, row_id bigint, space int, neighbour bigint, nearer bigint"
-    counts, whole = block_join(queries, narrow, block, schema, vector, None, block_rows)
-    keys = [NODE, "row_id", "space", "neighbour"]
-    if not whole:
-        counts = counts.groupBy(*keys).agg(F.sum("nearer").alias("nearer"))
-    return lists.join(counts, keys).withColumn("other_rank", F.col("nearer") + 1).drop("nearer")
+    lists, sides = hold(lists), []
+    for space, column in ((1, vector), (0, other)):  # what one space chose is ranked in the other
+        asked = lists.where(F.col("space") == space).select(NODE, "row_id", "neighbour", F.col("other_dist").alias("limit"))
+        counts = count_nearer(points.select(NODE, "row_id", F.col(column).alias("features")), asked, block_rows)
+        sides.append(counts.withColumn("space", F.lit(space)))
+    ranked = lists.join(sides[0].unionByName(sides[1]), [NODE, "row_id", "space", "neighbour"])
+    return ranked.withColumn("other_rank", F.col("nearer") + 1).drop("nearer")
 
 
 def label_agreement(lists: DataFrame, labels: DataFrame) -> DataFrame:

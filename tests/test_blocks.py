@@ -2,7 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from stratalens.operators import blocks as BL
+from stratalens.operators import counting as CO
 from stratalens.operators import faithfulness as FA
 from stratalens.operators import neighbours as N
 from stratalens.operators.trees import scoring_k
@@ -51,8 +54,6 @@ def test_measures_match_brute_force(spark, block_rows):
     x, emb = rng.normal(size=(120, 6)), rng.normal(size=(120, 2))
     k, n = 20, 120
     points = frame(spark, x, emb)
-    from pyspark.sql import functions as F
-
     sizes = points.groupBy("node_id").agg(F.count("*").alias("n_points")).withColumn("k", scoring_k(F.col("n_points")))
     got = FA.measures(FA.ranked_neighbours(points, block_rows=block_rows), sizes).head()
     _, a = brute_lists(x, k)
@@ -72,6 +73,40 @@ def test_measures_match_brute_force(spark, block_rows):
     assert np.isclose(prof.stress, np.sqrt(((d - e) ** 2).sum() / (d**2).sum()))
 
 
+@pytest.mark.parametrize("block_rows", [25, 60, 4096])
+def test_counts_of_nearer_rows_match_brute_force(spark, block_rows):
+    x = clustered(240, 2, 8)
+    x[200:220] = x[199]  # ties beside the large group of copies
+    d, order = brute_lists(x, 239)
+    rng = np.random.default_rng(9)
+    asked = [("root", int(i), int(j), float(d[i, j])) for i in range(240) for j in rng.choice(240, 5, replace=False) if i != j]
+    asked += [("b", i, (i + 1) % 10, float(d[i, (i + 1) % 10])) for i in range(10)]
+    points = frame(spark, x).unionByName(frame(spark, x[:10]).withColumn("node_id", F.lit("b"))).select("node_id", "row_id", "features")
+    got = CO.count_nearer(points, spark.createDataFrame(asked, "node_id string, row_id bigint, neighbour bigint, limit double"), block_rows).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        n = 240 if r.node_id == "root" else 10
+        assert r.nearer == [j for j in order[r.row_id] if j < n].index(r.neighbour), r
+
+
+def test_counting_visits_few_cells(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 2))
+    rows, pivots = BL.placed_rows(frame(spark, x).select("node_id", "row_id", "features"), "features", 50)
+    at = [("root", i, [float(v) for v in p]) for i, p in enumerate(pivots["root"])]
+    pivot = spark.createDataFrame(at, "node_id string, cell int, pivot array<double>")
+    cells = rows.groupBy("node_id", "cell").agg(F.count("*").alias("n"), F.max("reach").alias("s_far")).join(pivot, ["node_id", "cell"])
+    cells = cells.withColumnsRenamed({"cell": "s_cell", "pivot": "s_pivot"})
+    shares = {}
+    for limit in (0.1, 4.0):
+        facts = {"low": F.lit(limit), "high": F.lit(1.1 * limit), "band": F.lit(0), "rows": F.col("n"), "far": F.col("s_far"), "q_pivot": F.col("s_pivot")}
+        ask = cells.withColumns(facts).withColumnRenamed("s_cell", "q_cell").drop("n", "s_far", "s_pivot")
+        pairs = F.sum(F.col("rows") * F.col("n")) / 3000**2
+        found = CO.cut_plan(ask, cells).groupBy("inside").agg(pairs.alias("share")).collect()
+        shares[limit] = {r.inside: r.share for r in found}
+    assert shares[0.1][False] < 0.5 and shares[4.0][False] < 0.3 and shares[4.0][True] > 0.7
+
+
 def test_good_projection_scores_above_noise(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(150, 8)) * np.array([6, 5, 1, 1, 1, 1, 1, 1])
