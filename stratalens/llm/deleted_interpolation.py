@@ -6,8 +6,10 @@ are learnt by expectation-maximisation on a fold of the training texts whose cou
 of the estimates meanwhile. An order whose context was not seen gives the estimate of the order
 below, so that every mixture is a distribution.
 
-Words, pairs and triples of words of all training texts are counted, whatever their frequency, by
-64-bit hashes (two of them are taken for one with a chance of about n * n / 2 ** 65). Texts are put
+Words, pairs and triples of words of all training texts are counted, whatever their frequency, words
+by 64-bit hashes (some two of n are taken for one with a chance of about n * n / 2 ** 65), pairs and
+triples by 56 bits (of n different ones about n * n / 2 ** 57 are taken for another: under a
+hundred of three thousand million). Texts are put
 into batches of about ``BATCH_BYTES``, written once. A batch sends each of its keys once, sorted
 and cut into ranges; a range adds up its keys over all batches and answers every batch in the order
 it asked, so that neither tables of counts nor keys go back. Nothing of them is gathered on the driver.
@@ -44,22 +46,36 @@ RANGE_BYTES = 8 << 20
 ROUNDS = 60
 BUCKETS = 64
 
+#: Pairs and triples, which are most of what is sent, leave out the low byte.
+KEPT_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
+
 START, END = np.uint64(1), np.uint64(2)
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Eight-byte numbers by planes of bytes, without the highest planes that are zero."""
-    planes = x.view(np.uint8).reshape(-1, 8).T
-    return planes[: max(1, -(-int(x.max()).bit_length() // 8))].tobytes() if len(x) else b""
+    """Eight-byte numbers by planes of bytes, without the highest planes that are zero.
+
+    Planes are compressed one by one, as the low ones of keys are random and the high ones are not:
+    number of planes, their lengths, the planes; one that gains nothing stands as it is.
+    """
+    if not len(x):
+        return b""
+    planes = x.view(np.uint8).reshape(-1, 8).T[: max(1, -(-int(x.max()).bit_length() // 8))]
+    parts = [plane.tobytes() for plane in planes]
+    parts = [min(raw, pa.compress(raw, "zstd", asbytes=True), key=len) for raw in parts]
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n:
-        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
+        n_planes = int(np.frombuffer(raw, np.uint32, 1)[0])
+        end = 4 * (n_planes + 1)
+        for i, length in enumerate(np.frombuffer(raw, np.uint32, n_planes, 4).tolist()):
+            part, end = raw[end : end + length], end + length
+            out[:, i] = np.frombuffer(part if len(part) == n else pa.decompress(part, n, "zstd", asbytes=True), np.uint8)
     return out.view(np.uint64).ravel()
 
 
@@ -122,16 +138,16 @@ def keys(first: np.ndarray, w: np.ndarray, order: int) -> np.ndarray:
     before = np.append(START, w[:-1])
     before[first] = START
     if order == 2:
-        return mix(mix(before + _STEP) + w)
+        return mix(mix(before + _STEP) + w) & KEPT_BITS
     later = np.ones(len(w), bool)
     later[first] = False
     twice = np.append(START, before[:-1])
-    return mix(mix(mix(twice + _STEP * np.uint64(3)) + before) + w)[later]
+    return mix(mix(mix(twice + _STEP * np.uint64(3)) + before) + w)[later] & KEPT_BITS
 
 
 def _edges(n: int) -> np.ndarray:
-    """First key of every one of ``n`` ranges."""
-    return np.array([(i << 64) // n for i in range(n)], np.uint64)
+    """First key of every one of ``n`` ranges; its low byte is zero, as in the keys of pairs and triples."""
+    return np.array([(i << 56) // n << 8 for i in range(n)], np.uint64)
 
 
 def counts(batches: DataFrame, n_ranges: int) -> DataFrame:

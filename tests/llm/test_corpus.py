@@ -441,3 +441,13 @@ def test_copies_in_numbers_and_repeated_rows(spark):
     rows = paragraph_dedup.passages(docs).collect()
     assert Counter((r.doc_id, r.kept_doc_id, r.cluster_id) for r in rows) == Counter([(i, 5, 5) for i in range(6, 40)] + [(5, 5, 5)] * 2 + [(None, 5, 5), (51, 5, 5)])
     assert sorted(r.doc_id for r in paragraph_dedup.without_repeats(docs).collect()) == [5, 50, 50, 50, 51]
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 3000):
+        for high in (1, 2, 256, 70_000, 1 << 63):
+            x = rng.integers(0, high, n, dtype=np.uint64)
+            assert (deleted_interpolation.unpacked(deleted_interpolation.packed(x), n) == x).all()
+    ones = np.ones(3000, np.uint64)
+    assert len(deleted_interpolation.packed(ones)) < 100
