@@ -1,9 +1,11 @@
 """Quantiles and range explanations against numpy, including the paths for large groups."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stratalens.operators import characteristics
 from stratalens.operators import predicates as P
 from stratalens.operators.quantiles import exact_quantiles, extents
 from stratalens.operators.scaling import Scaler, fit_scaler
@@ -123,3 +125,36 @@ def test_scaler_uses_population_spread_and_keeps_constants(spark):
     got = {r.feature: r for r in fit_scaler(df, ["a", "flat"]).collect()}
     assert np.isclose(got["a"]["std"], x[:, 0].std()) and got["flat"]["std"] == 1.0
     assert Scaler.fit(df, ["a"], normalize=False).std["a"] == 1.0
+
+
+def test_centroids_of_wide_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 2000))
+    rows = [(None if i % 3 == 2 else f"g{i % 3}", i % 2, x[i].tolist()) for i in range(90)]
+    rows[0][2][5] = None
+    rows += [("g0", 0, None), ("empty", 7, None)]
+    df = spark.createDataFrame(rows, "name string, part int, v array<double>").repartition(5)
+    got = {(r.name, r.part): r.centroid for r in characteristics.centroids(df, "v", 2000, ["name", "part"]).collect()}
+    assert len(got) == 7 and got["empty", 7] == [None] * 2000
+    for g in range(3):
+        for part in range(2):
+            at = [i for i in range(90) if i % 3 == g and i % 2 == part]
+            want = x[at].mean(axis=0)
+            if (g, part) == (0, 0):
+                want[5] = x[at[1:], 5].mean()
+            assert np.allclose(got[None if g == 2 else f"g{g}", part], want)
+    assert characteristics.centroids(df.limit(0), "v", 2000, ["name"]).collect() == []
+
+
+def test_partial_sums_are_handed_on_before_they_grow(monkeypatch):
+    monkeypatch.setattr(characteristics, "HELD_SUMS", 8)
+    names = pa.array([f"k{i % 7}" for i in range(70)])
+    batch = pa.RecordBatch.from_arrays([names, pa.array([[float(i), 1.0] for i in range(70)])], names=["key", "v"])
+    sums, sizes = {}, []
+    for out in characteristics._partial_sums(iter([batch.slice(i, 10) for i in range(0, 70, 10)])):
+        sizes.append(out.num_rows)
+        for key, total, count in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            old = sums.get(key, (0.0, 0))
+            sums[key] = (old[0] + total[0], old[1] + count[0])
+    assert max(sizes) <= 7 and len(sizes) > 1
+    assert sums == {f"k{k}": (sum(range(k, 70, 7)), 10) for k in range(7)}
