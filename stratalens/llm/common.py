@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,23 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import hold
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
-
-    Like a reliable checkpoint it survives lost executors and cuts the lineage, but the
-    columns stay compressed and later reads take only those they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables between steps lie with those of the rest of the library, so that ``session.tidy`` removes them too.
+stored = hold
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
