@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import f1_columns, finite, ratio
 from ..session import hold
+from .predicate_table import LO, PRED, beside, id_column, named, numbered, packed, within
 from .quantiles import GROUP_LIMIT, exact_quantiles, extents, largest_group, value_ranks
 from .scaling import Scaler, fit_scaler
 
@@ -25,8 +26,6 @@ GAIN = 1e-6
 FULL, CORE = 1.0, 0.9
 WORD_BITS = 60
 SELECTED_BIT = 1 << 61
-# Clause tests evaluated in one scan; more predicates are handled in further scans.
-CLAUSES_PER_SCAN = 1500
 
 
 def check_threshold(threshold: float) -> float:
@@ -136,47 +135,15 @@ def scaled_ranges(ranges: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -
     return joined.withColumns(unit).drop("mean", "std")
 
 
-def _row_lists(ranges: DataFrame, features: Sequence[str], id_columns: Sequence[str]) -> list[dict]:
-    """Predicates as small driver lists: a handful of numbers per (predicate, column)."""
-    rows: dict[tuple, dict] = {}
-    for r in ranges.select(*id_columns, "feature", "sel_min", "sel_max").collect():
-        key = tuple(r[c] for c in id_columns)
-        rows.setdefault(key, {"key": key, "bounds": {}})["bounds"][r["feature"]] = (r["sel_min"], r["sel_max"])
-    return [rows[k] for k in sorted(rows, key=str)]
-
-
-def _number(value: float) -> str:
-    return f"({float(value)!r}D)"
-
-
 def _text(value: object) -> str:
-    return _number(value) if isinstance(value, float) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _beside_predicates(rows: DataFrame, preds: list[dict], features: Sequence[str]) -> DataFrame:
-    """Every row beside the bounds of every predicate: (rows..., pred, lo0, hi0, lo1, ...).
-
-    The predicates are one literal, so this is a scan-side generator without a join, and
-    the tests written on its columns stay short whatever the number of predicates. A
-    column without a clause has null bounds.
-    """
-    cells = []
-    for number, p in enumerate(preds):
-        ends = [
-            f"'lo{i}', {_number(p['bounds'][f][0])}, 'hi{i}', {_number(p['bounds'][f][1])}"
-            if f in p["bounds"]
-            else f"'lo{i}', double(null), 'hi{i}', double(null)"
-            for i, f in enumerate(features)
-        ]
-        cells.append(f"named_struct('pred', {number}, 'psel', {_text(p['key'][0])}, {', '.join(ends)})")
-    return rows.select("*", F.expr(f"inline(array({', '.join(cells)}))"))
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _code(features: Sequence[str], selected: str) -> str:
     """Clause membership packed into longs, one bit per column; the top bit marks selected rows."""
     words = []
     for start in range(0, len(features), WORD_BITS):
-        bits = [f"if(`{f}` between lo{start + bit} and hi{start + bit}, {1 << bit}L, 0L)" for bit, f in enumerate(features[start : start + WORD_BITS])]
+        bits = [f"if({within(f'`{f}`', start + bit)}, {1 << bit}L, 0L)" for bit, f in enumerate(features[start : start + WORD_BITS])]
         if start == 0:
             bits.append(f"if({selected}, {SELECTED_BIT}L, 0L)")
         words.append(" + ".join(bits))
@@ -184,44 +151,26 @@ def _code(features: Sequence[str], selected: str) -> str:
     return words[0] if len(words) == 1 else f"array({', '.join(words)})"
 
 
-def _in_scans(preds: list[dict], features: Sequence[str]):
-    size = max(1, CLAUSES_PER_SCAN // max(1, len(features)))
-    for start in range(0, len(preds), size):
-        yield preds[start : start + size]
-
-
-def _key_lookup(preds: list[dict], ids: Sequence[str]) -> str:
-    """SQL array of the predicates' id structs, indexed by their number in the scan."""
-    names = [", ".join(f"'{c}', {_text(v)}" for c, v in zip(ids, p["key"])) for p in preds]
-    return "array(" + ", ".join(f"named_struct({n})" for n in names) + ")"
-
-
 def signatures(background: DataFrame, features: Sequence[str], ranges: DataFrame, scope: str | None = None) -> DataFrame:
     """(sel, t, split, selected, words, n): rows compressed to their clause memberships.
 
-    Rows leave the scan already counted per signature (map-side), so what is shuffled is
-    the number of distinct signatures, not of rows. With ``scope`` a predicate is judged
-    only on rows whose scope equals the part of its label before the last "/".
+    Predicates are a table beside the rows (``predicate_table``). Rows are counted per signature
+    before anything else is shuffled, so what moves is the number of distinct signatures. With
+    ``scope`` a predicate meets only rows whose scope equals the part of its label before the last "/".
     """
     ids = ["sel", "t", "split"]
     numbers = background.select("sel", *([scope] if scope else []), *[finite(f).alias(f) for f in features])
-    mine = "array_contains(sel, psel)" if _is_array(background, "sel") else "sel = psel"
+    own = F.regexp_extract("sel", "^(.*)/[^/]+$", 1) if scope else None
+    table = numbered(packed(ranges, features, ids), ids, own)
+    label = id_column("sel")
+    mine = f"array_contains(sel, {label})" if _is_array(background, "sel") else f"sel = {label}"
     single = len(features) <= WORD_BITS
     first = "code" if single else "code[0]"
     words = f"array(code & ~{SELECTED_BIT}L)" if single else f"transform(code, (w, i) -> if(i = 0, w & ~{SELECTED_BIT}L, w))"
-    out = None
-    for preds in _in_scans(_row_lists(ranges, features, ids), features):
-        rows = _beside_predicates(numbers, preds, features)
-        if scope:
-            rows = rows.where(F.col(scope) == F.regexp_extract("psel", "^(.*)/[^/]+$", 1))
-        code = _code(features, f"coalesce({mine}, false)")
-        counts = rows.select("pred", F.expr(f"{code} as code")).groupBy("pred", "code").agg(F.count("*").alias("n"))
-        part = counts.select(
-            F.expr(f"{_key_lookup(preds, ids)}[pred] as p"),
-            F.expr(f"({first} & {SELECTED_BIT}L) != 0 as selected"), F.expr(f"{words} as words"), "n",
-        ).select("p.*", "selected", "words", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    code = _code(features, f"coalesce({mine}, false)")
+    counts = beside(numbers, table, len(features), scope).select(PRED, F.expr(f"{code} as code")).groupBy(PRED, "code").agg(F.count("*").alias("n"))
+    marked = counts.select(PRED, F.expr(f"({first} & {SELECTED_BIT}L) != 0 as selected"), F.expr(f"{words} as words"), "n")
+    return named(marked, table, ids, "selected", "words", "n")
 
 
 def clause_scores(sigs: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -392,27 +341,16 @@ def active_clauses(rows: DataFrame, method: str) -> DataFrame:
 
 
 def admitted(background: DataFrame, features: Sequence[str], predicates: DataFrame, ids: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(ids..., keep...) of the rows that satisfy every active clause of a predicate.
+    """(keep..., ids...) of the rows that satisfy every active clause of a predicate.
 
     ``predicates`` holds (ids..., feature, sel_min, sel_max, active). A predicate without
-    an active clause admits everything. Rows are tested in the scan against literal
-    bounds; nothing is shuffled. Large predicate sets take several scans.
+    an active clause admits everything. Predicates are a table beside the rows, in one scan.
     """
-    preds = [
-        {"key": p["key"], "bounds": p["bounds"]}
-        for p in _row_lists(predicates.where("active"), features, ids)
-    ]
-    seen = {p["key"] for p in preds}
-    empty = [tuple(r) for r in predicates.select(*ids).distinct().collect() if tuple(r) not in seen]
-    preds += [{"key": k, "bounds": {}} for k in empty]
+    table = numbered(packed(predicates, features, ids, F.col("active")), ids)
     numbers = background.select(*keep, *[finite(f).alias(f) for f in features if f not in keep])
-    test = " and ".join(f"coalesce(`{f}` between lo{i} and hi{i}, lo{i} is null)" for i, f in enumerate(features))
-    out = None
-    for scan in _in_scans(preds, features):
-        hits = _beside_predicates(numbers, scan, features).where(test)
-        part = hits.select(*keep, F.expr(f"inline(array({_key_lookup(scan, ids)}[pred]))"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    test = " and ".join(f"coalesce({within(f'`{f}`', i)}, get({LO}, {i}) is null)" for i, f in enumerate(features))
+    hits = beside(numbers, table, len(features)).where(test)
+    return hits.select(*keep, *[F.col(id_column(c)).alias(c) for c in ids])
 
 
 def quality(background: DataFrame, features: Sequence[str], predicates: DataFrame, ids: Sequence[str], sel_of: str = "sel", member: str = "sel") -> DataFrame:
@@ -421,7 +359,7 @@ def quality(background: DataFrame, features: Sequence[str], predicates: DataFram
     ``sel_of`` is the id column naming the selection a predicate is judged against,
     ``member`` the column of ``background`` that holds the row's selection(s).
     """
-    predicates = hold(predicates)  # read by the scans, the lengths and the keys of empty ones
+    predicates = hold(predicates)  # read by the scan and the lengths
     base = background.withColumnRenamed(member, "__member")
     hit = admitted(base, features, predicates, ids, ["__member"])
     mine = F.array_contains("__member", F.col(sel_of)) if _is_array(base, "__member") else F.col("__member") == F.col(sel_of)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import f1_columns, finite
 from ..session import hold
-from .predicates import _in_scans, _number, _text, check_conditions, generate
+from .predicate_table import HI, LO, PRED, beside, id_column, named, numbered, packed, within
+from .predicates import check_conditions, generate
 from .quantiles import GROUP_LIMIT, order_statistics
 
 # Tests of one group written out as plain columns; beyond, arrays and a generic test.
@@ -81,56 +82,33 @@ def admission_patterns(
     from a small table of counted patterns, without joining rows to rows. With ``member`` a
     row is selected when that column equals the group's first id.
     """
-    bounds: dict[tuple, dict] = {}
-    for r in predicates.select(*group, rep, "feature", "sel_min", "sel_max", "active").collect():
-        reps = bounds.setdefault(tuple(r[c] for c in group), {}).setdefault(r[rep], {})
-        if r["active"]:
-            reps[r["feature"]] = (r["sel_min"], r["sel_max"])
-    groups = [{"key": k, "reps": [v[x] for x in sorted(v)]} for k, v in sorted(bounds.items(), key=lambda x: str(x[0]))]
-    per = max((len(g["reps"]) for g in groups), default=1)
-    short = per * len(features) <= SHORT_TESTS
+    reps = packed(predicates, features, [*group, rep], F.col("active"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(rep).alias("rep"), LO, HI)))
+    joint = reps.groupBy(*group).agg(listed.alias("__reps"))
+    flat = lambda side: F.flatten(F.transform("__reps", lambda x: x[side]))
+    table = numbered(joint.select(*group, F.size("__reps").alias("__m"), flat(LO).alias(LO), flat(HI).alias(HI)), group)
+    width = len(features)
+    per = table.agg(F.max("__m")).head()[0] or 1
+    short = per * width <= SHORT_TESTS
     numbers = [finite(f).alias(f"x{j}") for j, f in enumerate(features)] if short else [F.array(*[finite(f) for f in features]).alias("x")]
     rows = background.select(*numbers, *([F.col(member).alias("member")] if member else []))
-    out = None
-    for part in _in_scans(groups, list(features) * per):
-        cells = []
-        for g in part:
-            names = ", ".join(f"'{c}', {_text(v)}" for c, v in zip(group, g["key"]))
-            cells.append(f"named_struct({names}, {_bounds_columns(g['reps'], features, per) if short else _bounds_arrays(g['reps'], features)})")
-        beside = rows.select("*", F.expr(f"inline(array({', '.join(cells)}))"))
-        chosen = F.coalesce(F.col("member") == F.col(group[0]), F.lit(False)) if member else F.lit(False)
-        if short:
-            code = " + ".join(f"if({_all_within(k, len(features))}, {1 << k}L, 0L)" for k in range(per))
-            counted = beside.select(*group, "m", chosen.alias("selected"), F.expr(f"{code} as code")).groupBy(*group, "m", "selected", "code").agg(F.count("*").alias("n"))
-            bits = F.expr("transform(sequence(0, m - 1), k -> (shiftright(code, k) & 1L) = 1L)")
-            counted = counted.select(*group, "selected", bits.alias("pattern"), "n")
-        else:
-            test = "forall(sequence(0, size(x) - 1), j -> l[j] is null or coalesce(x[j] between l[j] and hi[k][j], false))"
-            pattern = F.expr(f"transform(lo, (l, k) -> {test})")
-            counted = beside.select(*group, chosen.alias("selected"), pattern.alias("pattern")).groupBy(*group, "selected", "pattern").agg(F.count("*").alias("n"))
-        out = counted if out is None else out.unionByName(counted)
-    return out
-
-
-def _bounds_columns(reps: list[dict], features: Sequence[str], per: int) -> str:
-    cells = [f"'m', {len(reps)}"]
-    for k in range(per):
-        for j, f in enumerate(features):
-            low, high = reps[k][f] if k < len(reps) and f in reps[k] else (None, None)
-            number = lambda v: "double(null)" if v is None else _number(v)
-            cells.append(f"'lo{k}_{j}', {number(low)}, 'hi{k}_{j}', {number(high)}")
-    return ", ".join(cells)
+    both = beside(rows, table, per * width)
+    chosen = F.coalesce(F.col("member") == F.col(id_column(group[0])), F.lit(False)) if member else F.lit(False)
+    if short:
+        bits = " + ".join(f"if({_all_within(k, width)}, {1 << k}L, 0L)" for k in range(per))
+        counted = both.select(PRED, "__m", chosen.alias("selected"), F.expr(f"{bits} as code")).groupBy(PRED, "__m", "selected", "code").agg(F.count("*").alias("n"))
+        pattern = F.expr("transform(sequence(0, __m - 1), k -> (shiftright(code, k) & 1L) = 1L)")
+        counted = counted.select(PRED, "selected", pattern.alias("pattern"), "n")
+    else:
+        cell = f"k * {width} + j"
+        test = f"forall(sequence(0, {width - 1}), j -> get({LO}, {cell}) is null or coalesce(x[j] between get({LO}, {cell}) and get({HI}, {cell}), false))"
+        pattern = F.expr(f"transform(sequence(0, __m - 1), k -> {test})")
+        counted = both.select(PRED, chosen.alias("selected"), pattern.alias("pattern")).groupBy(PRED, "selected", "pattern").agg(F.count("*").alias("n"))
+    return named(counted, table, group, "selected", "pattern", "n")
 
 
 def _all_within(k: int, width: int) -> str:
-    return " and ".join(f"coalesce(x{j} between lo{k}_{j} and hi{k}_{j}, lo{k}_{j} is null)" for j in range(width))
-
-
-def _bounds_arrays(reps: list[dict], features: Sequence[str]) -> str:
-    side = lambda at: "array(" + ", ".join(
-        "array(" + ", ".join(_number(b[f][at]) if f in b else "double(null)" for f in features) + ")" for b in reps
-    ) + ")"
-    return f"'lo', {side(0)}, 'hi', {side(1)}"
+    return " and ".join(f"coalesce({within(f'x{j}', k * width + j)}, get({LO}, {k * width + j}) is null)" for j in range(width))
 
 
 def _pair_counts(patterns: DataFrame, group: Sequence[str]) -> DataFrame:
