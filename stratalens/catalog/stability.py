@@ -52,6 +52,83 @@ def b2(spark, sf):
     return rounded(S.stability_sweep(languages(spark, sf), LETTER_COLUMNS, out, [(1.0, "severity"), (0.9, "severity")]))
 
 
+# Orders of a status, exchanged with urgent orders of others. Draws are md5 digests, so SQL lists the same rows.
+ORDER_COLUMNS = ["o_totalprice", "o_custkey", "day"]
+DRAWS = 2
+CONDITIONS = [(1.0, "severity"), (0.9, "severity")]
+
+
+def orders_by_status(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("sel"), "o_orderpriority", "o_totalprice", "o_custkey", F.dayofmonth("o_orderdate").alias("day"))
+
+
+def drawn_orders(spark, sf):
+    rows = orders_by_status(spark, sf)
+    urgent = rows.where(F.col("o_orderpriority") == "1-URGENT").select("row_id", F.col("sel").alias("own"))
+    pool = rows.select("sel").distinct().join(urgent, F.col("sel") != F.col("own")).select("sel", "row_id")
+    return rows, S.perturbed_selections(rows.select("sel", "row_id"), pool, DELTAS, DRAWS)
+
+
+def draw_sql(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || sel || '|' || delta || '|' || rep || '|' || row_id), 1, 13))::bigint"
+
+
+DRAWN_SQL = f"""o as materialized (select o_orderkey as row_id, o_orderstatus as status, o_orderpriority as pri, o_totalprice, o_custkey, extract(day from o_orderdate) as day from orders),
+  sizes as (select status as sel, count(*) as n_sel from o group by 1),
+  cases as (select sel, delta, rep, greatest(1, cast(round_even(dd * n_sel, 0) as bigint)) as swaps
+            from sizes, (values (0.05::double, 0.05::decimal(9, 4)), (0.1::double, 0.1::decimal(9, 4))) d(delta, dd), (select unnest(range(0, {DRAWS}))::int as rep)),
+  member as (select c.*, row_id, {draw_sql(42)} as u from cases c join o on o.status = c.sel),
+  pooled as (select c.*, row_id, {draw_sql(43)} as u from cases c join o on o.status <> c.sel where pri = '1-URGENT'),
+  drawn as materialized (select sel, delta, rep, row_id from (select *, row_number() over (partition by sel, delta, rep order by u) as rn from member) where rn > swaps
+            union all select sel, delta, rep, row_id from (select *, row_number() over (partition by sel, delta, rep order by u) as rn from pooled) where rn <= swaps)"""
+
+
+@query("b1_drawn_rows", f"with {DRAWN_SQL} select sel, delta, rep, row_id from drawn")
+def b1_drawn(spark, sf):
+    return drawn_orders(spark, sf)[1]
+
+
+def sweep_sql(method: str) -> str:
+    """One method's rows of the sweep over ``drawn``: explained draws (``p``), the base selection (``own``), their agreement."""
+    ranges = Q.ranges_cte(CONDITIONS, "marked", "part", ORDER_COLUMNS)
+    base = Q.ranges_cte(CONDITIONS, "o", "status", ORDER_COLUMNS)
+    if method == "db":
+        once = Q.signature_cte("part", ORDER_COLUMNS).replace("from src join wide b on true", "from o src join wide b on true left join parts d on d.row_id = src.row_id and d.part = b.sel")
+        rest = f"{once.replace('coalesce(part = b.sel, false)', 'd.row_id is not null')}, {Q.greedy_cte(ORDER_COLUMNS)}"
+        p = f"with {ranges}, {rest} select *, in_predicate as active from predicate"
+        own = f"with {base}, {Q.signature_cte('status', ORDER_COLUMNS)}, {Q.greedy_cte(ORDER_COLUMNS)} select *, in_predicate as active from predicate"
+        clauses = "case when len(c0) + len(c1) = 0 then 1.0 else len(list_intersect(c0, c1))::double / len(list_distinct(list_concat(c0, c1))) end"
+    else:
+        p, own = (f"with {cte} select *, true as active from ranges" for cte in (ranges, base))
+        clauses = "null::double"
+    bounds = ", ".join(f"max(case when ix = {i} and active then sel_min end) as lo{i}, max(case when ix = {i} and active then sel_max end) as hi{i}" for i in range(len(ORDER_COLUMNS)))
+    test = " and ".join(f"(lo{i} is null or o.{f} between lo{i} and hi{i})" for i, f in enumerate(ORDER_COLUMNS))
+    keys = "sel, delta, t, split"
+    clause_set = lambda rep: f"coalesce(list(feature) filter (active and rep = {rep}), [])"
+    return f"""(with parts as (select row_id, sel || '#' || delta || '#' || rep as part from drawn), marked as (select o.*, part from o left join parts using (row_id)),
+      p as materialized (select split_part(sel, '#', 1) as sel, split_part(sel, '#', 2)::double as delta, split_part(sel, '#', 3)::int as rep, * exclude (sel) from ({p})), own as materialized ({own}),
+      w as (select {keys}, rep, {bounds} from p group by all), ow as (select sel, t, split, {bounds}, count_if(active) as length from own group by sel, t, split),
+      hit as materialized (select {keys}, rep, status = sel as mine, row_id from o join w on {test}),
+      per as (select {keys}, row_id, count(*) as c from hit group by all),
+      jac as (select {keys}, count_if(c = {DRAWS})::double / count(*) as jaccard_admitted from per group by all),
+      f as (select {keys}, rep, n_sel as actual, count_if(mine)::double as tp, count(*)::double as pp from hit join sizes using (sel) group by all),
+      spread as (select {keys}, stddev_samp({Q.F1}) as f1_sd from f group by all),
+      dev as (select {keys}, feature, stddev_samp(sel_min) as a, stddev_samp(sel_max) as b from p group by all),
+      bound as (select {keys}, (avg(a) + avg(b)) / 2 as bound_sd from dev group by all),
+      sets as (select {keys}, {clause_set(0)} as c0, {clause_set(1)} as c1 from p group by all),
+      oh as (select sel, t, split, length, n_sel as actual, count_if(status = sel)::double as tp, count(*)::double as pp from o join ow on {test} join sizes using (sel) group by all)
+      select sel, '{method}' as method, split, t, delta, round(jaccard_admitted, 6) as jaccard_admitted, round(f1_sd, 6) as f1_sd, round(bound_sd, 6) as bound_sd,
+        round({clauses}, 6) as jaccard_clauses, round({Q.F1}, 6) as f1, round(pp / (select count(*) from o), 6) as coverage, length
+      from jac join spread using ({keys}) join bound using ({keys}) join sets using ({keys}) join oh using (sel, t, split))"""
+
+
+@query("b2_drawn_sweep", f"with {DRAWN_SQL} select * from {sweep_sql('db')} union all select * from {sweep_sql('threshold')}")
+def b2_drawn(spark, sf):
+    rows, drawn = drawn_orders(spark, sf)
+    return rounded(S.stability_sweep(rows.drop("o_orderpriority"), ORDER_COLUMNS, hold(drawn), CONDITIONS))
+
+
 # Replicates with a fixed rule, so that SQL can follow: line numbers split a flag's rows
 # into overlapping parts, each leaving out one line number.
 REP_SQL = "(select l.*, case when l_linenumber <> k then l_returnflag || '#' || k end as part, l_returnflag as base, k from lineitem l, (values (1), (2), (3)) r(k))"

@@ -28,8 +28,12 @@ def size_gate(sizes: DataFrame, total: int, min_members: int = MIN_SELECTION, mi
 
 
 def _draw(seed: int, *columns: str) -> Column:
-    """A seeded number in [0, 1) per row and replicate, independent of partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), 11) / F.lit(float(1 << 53))
+    """A seeded number in [0, 1) per row and replicate, independent of partitioning.
+
+    52 bits of an md5 digest of "seed|column|...", which other engines compute as well.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def _lowest(rows: DataFrame, keys: Sequence[str], take: Column, limit: int) -> DataFrame:
