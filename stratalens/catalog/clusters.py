@@ -166,6 +166,23 @@ def k8(spark, sf):
     return rounded(PR.sibling_layout(CH.centroids(v, "features", 64, ["node_id", "cluster"]), 64))
 
 
+# Three centroids always fit into the plane, so the layout keeps their distances exactly.
+@query(
+    "k8_three_children",
+    """with cells as (select (vec_id % 5)::varchar as node_id, (label % 3)::int as child, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
+       centre as (select node_id, child, i, avg(v) as v from cells group by all)
+       select a.node_id, a.child as first, b.child as second, round(sqrt(sum((a.v - b.v) ** 2)), 4) as distance
+       from centre a join centre b on a.node_id = b.node_id and a.i = b.i and a.child < b.child group by 1, 2, 3""",
+)
+def k8_three(spark, sf):
+    v = vectors(spark, sf).select((F.col("row_id") % 5).cast("string").alias("node_id"), (F.col("label") % 3).cast("int").alias("cluster"), "features")
+    placed = hold(PR.sibling_layout(CH.centroids(v, "features", 64, ["node_id", "cluster"]), 64))
+    side = lambda name: placed.select("node_id", F.col("cluster").alias(name), F.struct("rel_x", "rel_y").alias(f"p_{name}"))
+    both = side("first").join(side("second"), "node_id").where("first < second")
+    apart = F.hypot(F.col("p_first.rel_x") - F.col("p_second.rel_x"), F.col("p_first.rel_y") - F.col("p_second.rel_y"))
+    return rounded(both.select("node_id", "first", "second", apart.alias("distance")), 4)
+
+
 @query("k12_cluster_within_groups")
 def k12(spark, sf):
     config = Config.of(hclust_min_cluster_size=10, hclust_min_samples=5)
@@ -178,6 +195,15 @@ def k13(spark, sf):
     return SW.reduce_then_cluster(letter_points(spark, sf), DIMS, config).select("row_id", "label")
 
 
+# The planted sides in four columns, reduced to three.
+@query("k13_planted_nodes", _PLANTED_SQL)
+def k13_planted(spark, sf):
+    p = planted(spark, sf)
+    more = [F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(1000)) / 1000.0 for seed in (1, 2)]
+    p = hold(p.withColumn("features", F.concat("features", F.array(*more))))
+    return planted_labels(p, SW.reduce_then_cluster(p.drop("side"), 4, Config.of(method="PCA", cluster_method="KMeans", cluster_n_clusters=2), 3))
+
+
 # Two columns: the covariance matrix [[p, q], [q, r]] has its first axis along (q, l - p).
 @query(
     "e1_two_column_axes",
@@ -287,6 +313,31 @@ def v11(spark, sf):
     return rounded(D.density_validity(in_space.unionByName(in_view)))
 
 
+# Neighbouring customers of one segment are a cluster of two: its core distance and the only edge of its tree
+# are the distance of the two. All others are alone, which is noise.
+PAIRS_SQL = """c as (select c_mktsegment as node_id, c_custkey as row_id, c_acctbal::double as x, c_nationkey * 100.0::double as y,
+         c_custkey // 2 as label from customer),
+       n_all as (select node_id, count(*) as n_all from c group by 1),
+       d as materialized (select a.node_id, a.label as la, b.label as lb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from c a join c b on a.node_id = b.node_id and a.row_id <> b.row_id),
+       core as (select node_id, la as label, max(d) as core from d where la = lb group by all),
+       sep as (select d.node_id, la as label, min(greatest(d, p.core, q.core)) as sep from d join core p on p.node_id = d.node_id and p.label = la join core q on q.node_id = d.node_id and q.label = lb where la <> lb group by all)"""
+
+
+@query(
+    "v11_clusters_of_two",
+    f"""with {PAIRS_SQL} select node_id, round(sum(2.0::double / n_all * (sep - core) / greatest(sep, core)), 6) as dbcv, count(*) as n_clusters
+        from core join sep using (node_id, label) join n_all using (node_id) group by 1""",
+)
+def v11_pairs(spark, sf):
+    from .inputs import table
+
+    c = table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("node_id"), F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey") * F.lit(100.0)).alias("features"),
+        F.floor(F.col("c_custkey") / 2).cast("int").alias("label"),
+    )
+    return rounded(D.density_validity(c).select("node_id", "dbcv", F.col("n_clusters").cast("bigint").alias("n_clusters")))
+
+
 @query("t32_configuration_sweep")
 def t32(spark, sf):
     configs = [

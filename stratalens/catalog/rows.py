@@ -90,6 +90,24 @@ def s6(spark, sf):
     return tagged.groupBy("part").agg(F.count("*").alias("n_rows"))
 
 
+ORDER_DRAW_SQL = "row_number() over (order by ('0x' || substr(md5('42|' || o_orderkey), 1, 15))::bigint, o_orderkey)"
+
+
+@query("s5_drawn_rows", f"select o_orderkey from (select o_orderkey, {ORDER_DRAW_SQL} as rn from orders) where rn <= 1000")
+def s5_drawn(spark, sf):
+    return identity.subsample(table(spark, sf, "orders"), 1000, seed=42, id_column="o_orderkey").select("o_orderkey")
+
+
+@query(
+    "s6_drawn_rows",
+    f"""select case when rn <= floor(0.2 * n) then 'validation' else 'train' end as part, o_orderkey
+        from (select o_orderkey, {ORDER_DRAW_SQL} as rn, count(*) over () as n from orders)""",
+)
+def s6_drawn(spark, sf):
+    train, val = identity.train_validation_split(table(spark, sf, "orders"), 0.2, seed=42, id_column="o_orderkey")
+    return train.select(F.lit("train").alias("part"), "o_orderkey").unionByName(val.select(F.lit("validation").alias("part"), "o_orderkey"))
+
+
 @query(
     "s7_write_tables",
     """select kind, n, round(mean_value, 6) as mean_value from (

@@ -38,7 +38,9 @@ def assign_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id",
 
 
 def _draw(id_column: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_column))
+    """60 bits of the md5 digest of "seed|id", which other engines compute as well."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(id_column).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def first_by_hash(df: DataFrame, id_column: str, n: int, seed: int) -> Column:
@@ -50,7 +52,7 @@ def first_by_hash(df: DataFrame, id_column: str, n: int, seed: int) -> Column:
     if n <= 0:
         return F.lit(False)
     draw = _draw(id_column, seed)
-    prefix = F.shiftright(draw, 48)
+    prefix = F.shiftright(draw, 44)
     sizes = df.groupBy(prefix.alias("prefix")).count()
     running = sizes.withColumn("upto", F.sum("count").over(Window.orderBy("prefix")))
     cut = running.where(F.col("upto") >= n).orderBy("prefix").head()
