@@ -7,8 +7,8 @@ minus infinity for all others. A state at a chunk's border is the piece that rea
 it; a chunk's transfer matrix says which states at its end follow from which at its start. It
 needs no text but the chunk's and as many characters beside it as the longest piece has.
 
-Matrices of one document are multiplied in order (the product is associative), which fixes the
-state at every border; then each chunk is traced back on its own. Documents of one chunk have
+Matrices of neighbouring chunks are multiplied in a tree of ``FAN`` branches (the product is associative);
+states go down the tree again, which fixes them at every border; then each chunk is traced back on its own. Documents of one chunk have
 both border states given and are encoded at once. Models whose normaliser changes characters
 other than spaces are refused.
 
@@ -19,6 +19,7 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 CHUNK = 16_384
+#: Matrices that one group multiplies, and chunks whose matrices make up a task.
+FAN = 64
+TASK_CHUNKS = 512
 SPACE = "▁"
 #: State before the first and after the last character of a document.
 EDGE = -1
@@ -237,20 +241,68 @@ def _chunks(text: str, size: int, beside: int) -> Iterator[tuple[int, int, str,
         yield k, n, marked[max(0, a - beside) : a], marked[a:b], marked[b : b + beside]
 
 
-def border_states(matrices: list[list[tuple[str, str]]]) -> list[tuple[str, str]]:
-    """(entry, exit) of every chunk on the one path through the product of all matrices."""
-    reach = {matrices[0][0][0]} if matrices[0] else set()
+def product(first: list[tuple[str, str]], second: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Pairs of border states that two neighbouring stretches connect; associative."""
+    after: dict[str, list[str]] = {}
+    for a, b in second:
+        after.setdefault(a, []).append(b)
+    return list(dict.fromkeys((a, c) for a, b in first for c in after.get(b, ())))
+
+
+def border_states(matrices: list[list[tuple[str, str]]], entry: str | None = None, exit_: str | None = None) -> list[tuple[str, str]]:
+    """(entry, exit) of every chunk on the one path through the product of all matrices, between given borders if any."""
+    reach = {entry if entry is not None else matrices[0][0][0]} if matrices[0] else set()
     seen = []
     for m in matrices:
         seen.append([(a, b) for a, b in m if a in reach])
         reach = {b for _, b in seen[-1]}
-    out = []
+    out: list[tuple[str, str]] = []
     for m in reversed(seen):
-        step = next((a, b) for a, b in m if not out or b == out[-1][0])
-        out.append(step)
+        goal = out[-1][0] if out else exit_
+        out.append(next((a, b) for a, b in m if goal is None or b == goal))
     return out[::-1]
 
 
+def _matrices(frame: pd.DataFrame) -> list[list[tuple[str, str]]]:
+    return [list(zip(a, b, strict=True)) for a, b in zip(frame["starts"], frame["ends"], strict=True)]
+
+
+def _folded(frame: pd.DataFrame) -> pd.DataFrame:
+    """The product of up to ``FAN`` neighbouring matrices."""
+    pairs = functools.reduce(product, _matrices(frame.sort_values("k")))
+    return pd.DataFrame({"row": frame["row"].iloc[:1], "k": frame["up"].iloc[:1], "starts": [[a for a, _ in pairs]], "ends": [[b for _, b in pairs]]})
+
+
+def _borders(frame: pd.DataFrame) -> pd.DataFrame:
+    """Border states of up to ``FAN`` neighbours, between those of their stretch where it is a part of a document."""
+    frame = frame.sort_values("k")
+    outer = (frame["entry"].iloc[0], frame["exit"].iloc[0]) if "entry" in frame else ()
+    steps = border_states(_matrices(frame), *outer)
+    return pd.DataFrame({"row": frame["row"], "k": frame["k"], "entry": [a for a, _ in steps], "exit": [b for _, b in steps]})
+
+
+def known_borders(matrices: DataFrame, longest: int, chunks: int, fan: int = FAN) -> DataFrame:
+    """(row, k, entry, exit) of every chunk: products of ``fan`` neighbours up a tree, states down again.
+
+    ``matrices`` holds (row, k, starts, ends), at most ``longest`` of a row. No group holds more than ``fan``
+    matrices; the number of tasks follows the ``chunks``, as the few bytes of the matrices say nothing of their work.
+    """
+    def stretches(level: DataFrame, n: int) -> DataFrame:
+        return level.withColumn("up", F.floor(F.col("k") / fan).cast("int")).repartition(1 + n // TASK_CHUNKS, "row", "up")
+
+    levels = [stretches(matrices, chunks)]
+    while longest > fan:
+        above = levels[-1].groupBy("row", "up").applyInPandas(_folded, "row long, k int, starts array<string>, ends array<string>")
+        longest, chunks = -(-longest // fan), -(-chunks // fan)
+        levels.append(stretches(above, chunks))
+    states = "row long, k int, entry string, exit string"
+    known = levels[-1].groupBy("row", "up").applyInPandas(_borders, states)
+    for level in reversed(levels[:-1]):
+        outer = known.withColumnRenamed("k", "up")
+        known = level.join(outer, ["row", "up"]).groupBy("row", "up").applyInPandas(_borders, states)
+    return known
+
+
 def _name(state: tuple[int, str], origin: int) -> str:
     """A border state as text: the piece and how far before the border it starts."""
     return f"{origin - state[0]} {state[1]}"
@@ -261,7 +313,7 @@ def _state(name: str, origin: int) -> tuple[int, str]:
     return origin - int(back), piece
 
 
-def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Per document: ids as little-endian 32-bit integers in one binary value, and the text decoded from them.
 
     The model file (under a MB, whatever the data) is read on the driver and shipped to the tasks.
@@ -317,12 +369,9 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: st
 
     matrices = parts.mapInArrow(transfers, "row long, k int, starts array<string>, ends array<string>")
 
-    def borders(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("k")
-        steps = border_states([list(zip(a, b, strict=True)) for a, b in zip(frame["starts"], frame["ends"], strict=True)])
-        return pd.DataFrame({"row": frame["row"], "k": frame["k"], "entry": [a for a, _ in steps], "exit": [b for _, b in steps]})
-
-    known = matrices.groupBy("row").applyInPandas(borders, "row long, k int, entry string, exit string")
+    n_chunks = F.ceil((size + 1) / chunk)
+    most, total = docs.select(whole_text(docs, text).alias("text")).where(size >= chunk).agg(F.max(n_chunks), F.sum(n_chunks)).head()
+    known = known_borders(matrices, most or 0, total or 0, fan)
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(shipped.value)

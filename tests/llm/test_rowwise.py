@@ -315,3 +315,17 @@ def test_urls_that_share_a_prefix_only(spark, monkeypatch):
     got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
     assert all(got[i] == ((f"h{i}.org/", "block") if i < 40 else (None, "allow")) for i in range(60))
     assert got[100] == ("example.com/en/", "block") and got[103] == ("net/es/", "block") and got[101] == got[102] == got[104] == (None, "allow")
+
+
+def test_products_of_pieces_in_a_tree(spark, sf):
+    """Groups of two matrices, so that long documents take many levels; documents of other lengths beside them."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    words = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(6).collect()]
+    texts = {1: " ".join(words)[:6_000], 2: "x" * 900, 3: " " * 400, 4: words[0][:10], 5: None, 6: words[1][:257], 7: "日本" * 300}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = piece_scan.encode(docs, tokenizer("piece_bpe_32k.model"), chunk=64, fan=2).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {k: library.encode(v or "") for k, v in texts.items()}
+    a, b, c = [("s", "p"), ("s", "q")], [("p", "p"), ("q", "r"), ("z", "r")], [("r", "e"), ("r", "f")]
+    assert piece_scan.product(piece_scan.product(a, b), c) == piece_scan.product(a, piece_scan.product(b, c)) == [("s", "e"), ("s", "f")]
