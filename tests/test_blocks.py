@@ -154,3 +154,48 @@ def test_boundary_pool(spark, block_rows):
         for i in inside:
             want |= {(name, j) for j in sorted(set(range(80)) - inside, key=lambda j: (d[i, j], j))[:4]}
     assert got == want
+
+
+def test_products_give_the_bits_of_distances():
+    """Vectors far from the origin, copies, rounded values with ties, and values no product can hold."""
+    rng = np.random.default_rng(11)
+    for dims, shift, digits in ((64, 0.0, None), (64, 1e6, 1), (3, 1e4, 0), (13, 0.0, 0), (5, 1e200, None)):
+        a, b = rng.normal(size=(150, dims)) + shift, rng.normal(size=(5000, dims)) + shift
+        if digits is not None:
+            a, b = a.round(digits), b.round(digits)
+        b[4200:4300] = a[:100]
+        mine, ids = np.arange(150), np.arange(5000)
+        d = BL.distances(a, b)
+        d[mine[:, None] == ids[None, :]] = np.inf
+        rows, cols = BL.smallest(d, ids, 9)
+        got = BL.nearest_pairs(a, b, mine, ids, 9)
+        assert (got[0] == rows).all() and (got[1] == cols).all() and (got[2] == d[rows, cols]).all()
+        limits, targets = d[rows, cols], ids[cols]
+        want = CO.count_below(d, ids, rows, limits, targets)
+        squares = BL.Squares(a, b)
+        assert squares.tame == (shift < 1e100)
+        if squares.tame:
+            assert (CO._count_rough(a, b, squares, mine, ids, rows, limits, targets) == want).all()
+            whole = BL.distances(a, b)
+            assert np.allclose(np.concatenate([BL.lengths(a, b, squares, at) for at in BL.slices(150, 64)]), whole, rtol=1e-9, atol=0)
+
+
+def test_whole_nodes_are_read_by_few_large_chunks(spark):
+    sizes = [1, 2048, 2049, 60_000, 600_000]
+    got = [r.c for r in spark.createDataFrame([(n,) for n in sizes], "n bigint").select(BL.chunks(F.col("n"), 2048).alias("c")).collect()]
+    assert got == [1, 1, 2, 8, 37]
+
+
+def test_a_wide_block_holds_no_table_of_its_pairs(spark):
+    """6 000 rows of 64 dimensions in one block: a few tiles, where all distances would take 288 MB."""
+    import tracemalloc
+
+    x = np.random.default_rng(12).normal(size=(6000, 64))
+    tracemalloc.start()
+    BL.nearest_pairs(x, x, np.arange(6000), np.arange(6000), 10)
+    squares = BL.Squares(x, x)
+    for at in BL.slices(6000, BL.TILE_ROWS):
+        BL.lengths(x, x, squares, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
