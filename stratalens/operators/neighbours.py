@@ -143,15 +143,33 @@ def label_agreement(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def boundary_pool(points: DataFrame, selection: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(sel, row_id): rows outside a selection that are among the k nearest outsiders of some member.
 
-    ``selection`` holds (sel, row_id); every selection is a node of its own here, its
-    members asking all rows that it leaves out.
+    ``selection`` holds (sel, row_id). Rows are sent once for all selections, with the names of
+    those they are in; a block leaves out a selection's own rows when it looks for its members.
     """
-    names = [r[0] for r in selection.select("sel").distinct().collect()]
-    member = points.drop(NODE).join(selection, "row_id").withColumnRenamed("sel", NODE).select(NODE, "row_id", "features")
-    every = points.select("row_id", "features", F.explode(F.array(*[F.lit(n) for n in names])).alias(NODE))
-    outside = every.join(selection.withColumnRenamed("sel", NODE), [NODE, "row_id"], "left_anti").select(NODE, "row_id", "features")
-    lists = nearest(member, outside, k, block_rows=block_rows)
-    return lists.select(F.col(NODE).alias("sel"), F.col("neighbour").alias("row_id")).distinct()
+    member = points.drop(NODE).join(selection, "row_id").select(F.lit("root").alias(NODE), "row_id", "features", "sel")
+    inside = selection.groupBy("row_id").agg(F.collect_set("sel").alias("sels"))
+    every = points.join(inside, "row_id", "left").select(F.lit("root").alias(NODE), "row_id", "features", "sels")
+
+    def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        s = _ordered(s)
+        ids, mine, x, y = s["row_id"].to_numpy(), q["row_id"].to_numpy(), matrix(q["features"]), matrix(s["features"])
+        own: dict = {}
+        for i, names in enumerate(s["sels"]):
+            for name in names if names is not None else ():
+                own.setdefault(name, []).append(i)
+        parts = []
+        for name, at in q.groupby("sel", dropna=False).indices.items():
+            name = None if pd.isna(name) else name
+            out = np.ones(len(s), dtype=bool)
+            out[own.get(name, [])] = False
+            left = np.flatnonzero(out)
+            rows, cols, d = nearest_pairs(x[at], y[left], mine[at], ids[left], k)
+            parts.append(pd.DataFrame({"node_id": "root", "sel": [name] * len(rows), "row_id": mine[at][rows], "neighbour": ids[left][cols], "dist": d}))
+        return pd.concat(parts)
+
+    found, _ = block_join(member, every, block, "node_id string, sel string, row_id bigint, neighbour bigint, dist double", "features", None, block_rows)
+    lists = keep_nearest(found, k, ("sel", "row_id"))
+    return lists.select("sel", F.col("neighbour").alias("row_id")).distinct()
 
 
 def silhouette(points: DataFrame, label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:

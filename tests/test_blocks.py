@@ -199,3 +199,20 @@ def test_a_wide_block_holds_no_table_of_its_pairs(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_boundary_pool_sends_rows_once_for_all_selections(spark):
+    """Members of several selections and of an unnamed one; the unnamed one leaves out no rows but the asking one."""
+    x = clustered(90, 4, 6)
+    members = [("a", i) for i in range(30)] + [("b", i) for i in range(20, 60)] + [(None, 85)]
+    sel = spark.createDataFrame(members, "sel string, row_id bigint")
+    d, order = brute_lists(x, 4)
+    want = set()
+    for name in ("a", "b", None):
+        inside = {i for s, i in members if s == name}
+        out = set() if name is None else inside
+        for i in inside:
+            want |= {(name, j) for j in [j for j in order[i] if j not in out][:4]}
+    for block_rows in (25, 4096):
+        got = {(r.sel, r.row_id) for r in N.boundary_pool(frame(spark, x), sel, 4, block_rows).collect()}
+        assert got == want
