@@ -231,3 +231,17 @@ def test_admission_patterns_both_forms(spark, short, monkeypatch):
 def test_letters_are_points(spark):
     p = letter_points(spark, "/root/testdata/sf0.001")
     assert p.columns == ["node_id", "row_id", "features"] and p.where(F.size("features") != len(LETTER_COLUMNS)).count() == 0
+
+
+def test_two_columns_are_settled_without_meeting_pairs(spark, monkeypatch):
+    """Principal axes keep the distances of two columns, so no block of pairs is needed, whatever the node's size."""
+
+    def refuse(*args, **kw):
+        raise AssertionError("pairs were asked for")
+
+    monkeypatch.setattr(PR, "_settle_large", refuse)
+    x = np.random.default_rng(4).normal(size=(60, 2)) * [5.0, 1.0]
+    got = PR.mds(frame(spark, x), 2, n_init=2, block_rows=10).orderBy("row_id").collect()
+    y = np.array([(r.x, r.y) for r in got])
+    apart = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    assert len(got) == 60 and np.allclose(apart(x), apart(y))
