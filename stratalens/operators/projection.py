@@ -182,15 +182,25 @@ def mds(points: DataFrame, dims: int, metric: bool = True, n_init: int = 1, max_
     Each run minimises the raw stress by majorisation until a round gains less than ``SETTLED``
     of it, ``max_iter`` rounds at most; the run of least stress stays, the first of equals.
     Two columns are only turned by their principal axes: all distances stay and the first run is done
-    where it starts.
+    where it starts, unless row ids of the node repeat.
     """
     if not metric:
         raise ValueError("only metric scaling is available")
     rows = complete(points).select(NODE, "row_id", "features")
     placed, axes = pca(rows, dims, 2)
     start = rows.join(placed, [NODE, "row_id"]).join(axes.select(NODE, "center"), NODE)
-    if dims == 2:
-        return as_xy(start)
+    if dims != 2:
+        return _majorised(start, n_init, max_iter, seed, block_rows)
+    # Where ids repeat, a row meets the places of its namesakes too.
+    repeated = hold(rows.groupBy(NODE, "row_id").count().where(F.col("count") > 1).select(NODE).distinct())
+    placed = as_xy(start.join(repeated, NODE, "left_anti"))
+    if repeated.isEmpty():
+        return placed
+    return placed.unionByName(_majorised(start.join(repeated, NODE, "left_semi"), n_init, max_iter, seed, block_rows))
+
+
+def _majorised(start: DataFrame, n_init: int, max_iter: int, seed: int, block_rows: int) -> DataFrame:
+    """The runs of ``mds`` from (node_id, row_id, features, coordinates, center), and the best of them."""
     # A run is a node of its own; its number goes before the node's name.
     drawn = lambda i, k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.lit(k), "row_id"), F.lit(1 << 30)) / (1 << 29) - 1.0)
     spread = F.sqrt(F.aggregate(F.zip_with("features", "center", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda acc, x: acc + x))

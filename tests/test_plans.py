@@ -245,3 +245,13 @@ def test_two_columns_are_settled_without_meeting_pairs(spark, monkeypatch):
     y = np.array([(r.x, r.y) for r in got])
     apart = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
     assert len(got) == 60 and np.allclose(apart(x), apart(y))
+
+
+def test_two_columns_with_repeated_ids_take_the_rounds(spark):
+    x = np.random.default_rng(4).normal(size=(30, 2)) * [5.0, 1.0]
+    twice = frame(spark, x).unionByName(frame(spark, x[:7]))
+    alone = frame(spark, x).withColumn("node_id", F.lit("alone"))
+    got = PR.mds(twice.unionByName(alone), 2).collect()
+    assert sum(r.node_id == "alone" for r in got) == 30 and sum(r.node_id == "root" for r in got) == 30 - 7 + 4 * 7
+    y = np.array([(r.x, r.y) for r in got if r.node_id == "root"])
+    assert np.allclose(y.mean(axis=0), 0)
