@@ -128,10 +128,13 @@ def lengths(a: np.ndarray, b: np.ndarray, squares: Squares | None = None, at: sl
     return out
 
 
-def nearest_pairs(a: np.ndarray, b: np.ndarray, mine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_pairs(
+    a: np.ndarray, b: np.ndarray, mine: np.ndarray, ids: np.ndarray, k: int, within: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, distance) of the k nearest of every row of ``a`` but those of its own id; ``ids`` ascending, so ties go to the lower id.
 
-    The same as ``smallest`` of all ``distances``: the product only leaves out what cannot be among them.
+    The same as ``smallest`` of all ``distances``: the product only leaves out what cannot be among them. ``within``
+    holds a distance per row beyond which nothing is asked.
     """
     squares = Squares(a, b)
     k = min(k, len(b))
@@ -142,18 +145,20 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray, mine: np.ndarray, ids: np.ndarra
         for at in slices(len(a), 256):
             d = distances(a[at], b)
             d[mine[at, None] == ids[None, :]] = np.inf
+            if within is not None:
+                d[d > within[at, None]] = np.inf
             rows, cols = smallest(d, ids, k)
             found.append((rows + at.start, cols, d[rows, cols]))
         return tuple(np.concatenate(x) for x in zip(*found))
     out = []
     for at in slices(len(a), TILE_ROWS):
-        bound = np.full(at.stop - at.start, np.inf)
+        bound = np.full(at.stop - at.start, np.inf) if within is None else within[at] ** 2 * (1 + 1e-12) + squares.slack(at, slice(None))
         rows, cols, low = [], [], []
         for on in slices(len(b), TILE_COLUMNS):
             d2, slack = squares.tile(at, on), squares.slack(at, on)
             own_i, own_j = same_ids(mine[at], ids[on])
             d2[own_i, own_j] = np.inf
-            if not rows or np.count_nonzero(d2 <= (bound + slack)[:, None]) > 4 * k * len(d2):
+            if not rows and within is None or np.count_nonzero(d2 <= (bound + slack)[:, None]) > 4 * k * len(d2):
                 if k <= d2.shape[1]:
                     bound = np.minimum(bound, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
             i, j = np.nonzero((d2 <= (bound + slack)[:, None]) & (d2 < np.inf))
@@ -164,6 +169,9 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray, mine: np.ndarray, ids: np.ndarra
         keep = np.concatenate(low) <= bound[i]
         i, j = i[keep], j[keep]
         d = pair_distances(a[at], b, i, j)
+        if within is not None:
+            near = d <= within[at][i]
+            i, j, d = i[near], j[near], d[near]
         order = np.lexsort((ids[j], d, i))
         i, j, d = i[order], j[order], d[order]
         first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
@@ -387,3 +395,124 @@ def meet(asks: DataFrame, rows: DataFrame, plan: DataFrame, fn, schema: str, *mo
         ordered = (F.col("q_cell") < F.col("s_cell")) | ((F.col("q_cell") == F.col("s_cell")) & (F.col("q_chunk") <= F.col("s_chunk")))
         asks, gives = asks.where(ordered), gives.where(ordered)
     return asks.groupBy(*key).cogroup(_fresh(gives).groupBy(*key)).applyInPandas(lambda a, b: fn(a, b), schema)
+
+
+def finite_rows(df: DataFrame, vector: str) -> DataFrame:
+    """Rows that have a distance at all."""
+    known = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
+    return df.where(F.coalesce(F.forall(vector, lambda x: known(x.cast("double"))), F.lit(False)))
+
+
+class Guide:
+    """Which cells a row has to visit for its k nearest candidates outside its selection.
+
+    ``facts`` holds (node_id, cell, sels, n, far, near) per cell and set of selections: rows, largest reach and the
+    k + 1 smallest ones. ``NONE`` is the selection of rows that leave out nobody.
+    """
+
+    NONE = ""
+
+    def __init__(self, pivots: dict[str, np.ndarray], facts: list, k: int, names: list[str]):
+        self.pivots = pivots
+        self.apart = {node: distances(points, points) for node, points in pivots.items()}
+        self.index = {name: i for i, name in enumerate(names)}
+        self.far, self.kth = ({node: np.full((len(names), len(points)), start) for node, points in pivots.items()} for start in (-np.inf, np.inf))
+        reaches: dict[tuple, list[float]] = {}
+        for node, cell, sels, _, far, near in facts:
+            inside = {self.index[x] for x in sels or ()}
+            for i in (i for i in range(len(names)) if i not in inside):
+                self.far[node][i, cell] = max(self.far[node][i, cell], far)
+                reaches.setdefault((node, i, cell), []).extend(near)
+        for (node, i, cell), near in reaches.items():
+            if len(near) > k:
+                self.kth[node][i, cell] = sorted(near)[k]
+
+    def _tiles(self, pdf: pd.DataFrame, vector: str):
+        for (node, name), at in pdf.groupby([NODE, "of"]).indices.items():
+            for part in slices(len(at), 1024):
+                here = at[part]
+                yield node, self.index[name], here, distances(matrix(pdf[vector].iloc[here]), self.pivots[node])
+
+    def first(self, vector: str):
+        """Adds ``q_cell``, where k candidates are known to be near."""
+
+        def run(batches):
+            for pdf in batches:
+                cell = np.zeros(len(pdf), dtype="int32")
+                for node, i, here, d in self._tiles(pdf, vector):
+                    known = np.isfinite(self.kth[node][i])
+                    some = np.isfinite(self.far[node][i])
+                    cell[here] = np.where(known, d + self.kth[node][i], np.inf).argmin(axis=1) if known.any() else np.where(some, d, np.inf).argmin(axis=1)
+                yield pdf.assign(q_cell=cell)
+
+        return run
+
+    def others(self, vector: str):
+        """A row per further cell that may hold a candidate within ``within``."""
+
+        def run(batches):
+            for pdf in batches:
+                rows, cells = [np.zeros(0, int)], [np.zeros(0, int)]
+                first, within = pdf["q_cell"].to_numpy(), pdf["within"].to_numpy()
+                for node, i, here, d in self._tiles(pdf, vector):
+                    own, limit = d.argmin(axis=1), within[here, None]
+                    apart = self.apart[node][own]
+                    with np.errstate(all="ignore"):
+                        room = 1e-9 * (1.0 + d)
+                        out = d - self.far[node][i] - limit > room
+                        # A cell's rows are on its side of the plane between its pivot and the row's own.
+                        out |= (d * d - d[np.arange(len(d)), own, None] ** 2) / (2.0 * apart) - limit > room * (1.0 + d / apart)
+                    out |= ~np.isfinite(self.far[node][i])
+                    out[np.arange(len(d)), first[here]] = True
+                    r, c = np.nonzero(~out)
+                    rows.append(here[r])
+                    cells.append(c)
+                rows, cells = np.concatenate(rows), np.concatenate(cells).astype("int32")
+                for part in slices(len(rows), 1 << 16):
+                    yield pdf.iloc[rows[part]].assign(q_cell=cells[part])
+
+        return run
+
+
+# Most pairs of a selection and a cell that are told to the tasks.
+GUIDED = 1 << 20
+
+
+def guided_nearest(queries: DataFrame, candidates: DataFrame, k: int, block, schema: str, vector: str, pivots: dict[str, np.ndarray], block_rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """Partial lists of the k nearest candidates of all queries, or None where there are too many selections to tell.
+
+    ``queries`` have ``of``, the name of a selection or ``Guide.NONE``, ``candidates`` have ``sels``, those they are in.
+    A query visits the cell that is known to hold k candidates near it, then every other cell that may hold one
+    within the k-th distance found; ``block`` finds them, within ``within`` where that is not null.
+    """
+    names = [r["of"] for r in queries.select("of").distinct().limit(GUIDED).collect()]
+    if len(names) * sum(len(x) for x in pivots.values()) > GUIDED:
+        return None
+    names = sorted({*names, Guide.NONE})
+    rows = _placed(candidates, pivots, vector)
+    told = rows.withColumn("sels", F.array_sort(F.filter(F.coalesce("sels", F.array().cast("array<string>")), lambda x: x.isin(names))))
+    order = Window.partitionBy(NODE, "cell", "sels").orderBy("reach")
+    nearest = F.array_sort(F.collect_list(F.when(F.col("rn") <= k + 1, F.col("reach"))))
+    facts = told.withColumn("rn", F.row_number().over(order)).groupBy(NODE, "cell", "sels").agg(F.count("*").alias("n"), F.max("reach").alias("far"), nearest.alias("near"))
+    facts = facts.limit(GUIDED // (k + 1) + 1).collect()
+    if len(facts) > GUIDED // (k + 1):
+        return None
+    guide = Guide(pivots, [tuple(r) for r in facts], k, names)
+    fields = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
+    asks = cut_lineage(queries.mapInPandas(guide.first(vector), f"{fields}, q_cell int"))
+    fn = guarded(block, schema)
+
+    def visited(asks: DataFrame) -> DataFrame:
+        nq = asks.groupBy(NODE, "q_cell").agg(F.count("*").alias("nq"))
+        ns = rows.groupBy(NODE, F.col("cell").alias("q_cell")).agg(F.count("*").alias("ns"))
+        plan = nq.join(ns, [NODE, "q_cell"]).select(
+            NODE, "q_cell", F.col("q_cell").alias("s_cell"), F.lit(-1.0).alias("least"), chunks(F.col("nq"), block_rows).alias("q_chunks"), chunks(F.col("ns"), block_rows).alias("s_chunks")
+        )
+        return meet(asks, rows, hold(plan), fn, schema)
+
+    found = hold(visited(asks.withColumn("within", F.lit(math.inf))))
+    place = F.row_number().over(Window.partitionBy(NODE, "of", "row_id").orderBy("dist"))
+    kth = found.withColumn("rank", place).where(F.col("rank") == k).select(NODE, "of", "row_id", F.col("dist").alias("within"))
+    asks = asks.join(kth, [NODE, "of", "row_id"], "left").withColumn("within", F.coalesce("within", F.lit(math.inf)))
+    further = asks.mapInPandas(guide.others(vector), f"{fields}, q_cell int, within double")
+    return found.unionByName(visited(further))

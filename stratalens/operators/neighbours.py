@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import hold
-from .blocks import BLOCK_ROWS, NODE, TILE_ROWS, Reach, Squares, block_join, lengths, matrix, nearest_pairs, pair_distances, slices
+from .blocks import (
+    BLOCK_ROWS, FEW, NODE, TILE_ROWS, WIDE, Guide, Reach, Squares, block_join, draw_pivots, finite_rows, guided_nearest, lengths, matrix, nearest_pairs, pair_distances, slices,
+)
 from .counting import count_nearer
 
 _LIST = "node_id string, row_id bigint, neighbour bigint, dist double"
@@ -44,8 +46,67 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, vector: str = "fe
         rows, cols, d = nearest_pairs(matrix(q[vector]), matrix(s[vector]), mine, ids, k)
         return pd.DataFrame({"node_id": q[NODE].iloc[0], "row_id": mine[rows], "neighbour": ids[cols], "dist": d})
 
-    found, _ = block_join(queries, candidates, block, _LIST, vector, Reach(k=k), block_rows, tiled=True)
-    return keep_nearest(found, k)
+    guided, queries, candidates = _guided(queries, candidates, k, vector, block_rows)
+    if queries is not None:
+        found, _ = block_join(queries, candidates, block, _LIST, vector, Reach(k=k), block_rows, tiled=True)
+        guided = found if guided is None else guided.unionByName(found)
+    return keep_nearest(guided, k)
+
+
+_PLACES = "node_id string, of string, row_id bigint, neighbour bigint, dist double"
+
+
+def _outside(k: int, vector: str):
+    """A block of queries with ``of`` and ``within`` beside candidates with ``sels``: the k nearest outside the selection ``of``."""
+
+    def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        s = _ordered(s)
+        ids, mine, x, y, within = s["row_id"].to_numpy(), q["row_id"].to_numpy(), matrix(q[vector]), matrix(s[vector]), q["within"].to_numpy()
+        own: dict = {}
+        for i, names in enumerate(s["sels"]):
+            for name in names if names is not None else ():
+                own.setdefault(name, []).append(i)
+        parts = [pd.DataFrame({"node_id": [], "of": [], "row_id": [], "neighbour": [], "dist": []})]
+        for name, at in q.groupby("of").indices.items():
+            out = np.ones(len(s), dtype=bool)
+            out[own.get(name, [])] = False
+            left = np.flatnonzero(out)
+            rows, cols, d = nearest_pairs(x[at], y[left], mine[at], ids[left], k, within[at])
+            parts.append(pd.DataFrame({"node_id": [q[NODE].iloc[0]] * len(rows), "of": [name] * len(rows), "row_id": mine[at][rows], "neighbour": ids[left][cols], "dist": d}))
+        return pd.concat([p for p in parts if len(p)] or parts)
+
+    return block
+
+
+def _cell_rows(k: int, block_rows: int) -> int:
+    """Rows of a cell that a row has to search whole; a list of k must fit well into one."""
+    return max(block_rows // WIDE, 4 * k)
+
+
+def _guided(queries: DataFrame, candidates: DataFrame, k: int, vector: str, block_rows: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(lists of crowded nodes of few dimensions, queries and candidates of the other nodes)."""
+    same = queries is candidates
+    # They are read for sizes, cells and searches.
+    queries = hold(queries)
+    candidates = queries if same else hold(candidates)
+    sizes = queries.groupBy(NODE).agg(F.count("*").alias("nq"), F.max(F.size(vector)).alias("width"))
+    sizes = hold(sizes.withColumn("ns", F.col("nq")) if same else sizes.join(candidates.groupBy(NODE).agg(F.count("*").alias("ns")), NODE))
+    width, crowded = sizes.agg(F.max("width"), F.count_if(F.greatest("nq", "ns") > block_rows)).head()
+    if not crowded or (width or 0) >= FEW:
+        return None, queries, candidates
+    known = finite_rows(candidates, vector).withColumn("sels", F.array().cast("array<string>"))
+    pivots = draw_pivots(known, sizes.where(F.greatest("nq", "ns") > block_rows), vector, _cell_rows(k, block_rows))
+    if not pivots:
+        return None, queries, candidates
+    mine = F.col(NODE).isin(list(pivots))
+    asking = finite_rows(queries.where(mine), vector).withColumn("of", F.lit(Guide.NONE))
+    found = guided_nearest(asking, known.where(mine), k, _outside(k, vector), _PLACES, vector, pivots, block_rows)
+    if found is None:
+        return None, queries, candidates
+    found = found.select(NODE, "row_id", "neighbour", "dist")
+    left = sizes.where(~mine).limit(1).count()
+    rest = queries.where(~mine) if left else None
+    return found, rest, rest if same or not left else candidates.where(~mine)
 
 
 def knn(points: DataFrame, k: int, vector: str = "features", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -146,6 +207,7 @@ def boundary_pool(points: DataFrame, selection: DataFrame, k: int = 10, block_ro
     ``selection`` holds (sel, row_id). Rows are sent once for all selections, with the names of
     those they are in; a block leaves out a selection's own rows when it looks for its members.
     """
+    points = hold(points.select(NODE, "row_id", "features"))
     member = points.drop(NODE).join(selection, "row_id").select(F.lit("root").alias(NODE), "row_id", "features", "sel")
     inside = selection.groupBy("row_id").agg(F.collect_set("sel").alias("sels"))
     every = points.join(inside, "row_id", "left").select(F.lit("root").alias(NODE), "row_id", "features", "sels")
@@ -167,11 +229,30 @@ def boundary_pool(points: DataFrame, selection: DataFrame, k: int = 10, block_ro
             parts.append(pd.DataFrame({"node_id": "root", "sel": [name] * len(rows), "row_id": mine[at][rows], "neighbour": ids[left][cols], "dist": d}))
         return pd.concat(parts)
 
-    found, _ = block_join(member, every, block, "node_id string, sel string, row_id bigint, neighbour bigint, dist double", "features", None, block_rows)
-    lists = keep_nearest(found, k, ("sel", "row_id"))
+    lists = _guided_outsiders(member, every, k, block_rows)
+    if lists is None:
+        found, _ = block_join(member, every, block, "node_id string, sel string, row_id bigint, neighbour bigint, dist double", "features", None, block_rows)
+        lists = keep_nearest(found, k, ("sel", "row_id"))
     return lists.select("sel", F.col("neighbour").alias("row_id")).distinct()
 
 
+def _guided_outsiders(member: DataFrame, every: DataFrame, k: int, block_rows: int) -> DataFrame | None:
+    """(sel, row_id, neighbour, dist, rank) of members of few dimensions by the cells near them; None where blocks do as well."""
+    sizes = hold(every.groupBy(NODE).agg(F.count("*").alias("nq"), F.count("*").alias("ns"), F.max(F.size("features")).alias("width")))
+    width, n = sizes.agg(F.max("width"), F.max("nq")).head()
+    if (n or 0) <= block_rows or (width or 0) >= FEW:
+        return None
+    # Names are told apart from no name, which leaves out nobody.
+    known = finite_rows(every, "features").withColumn("sels", F.transform("sels", lambda x: F.concat(F.lit("="), x)))
+    asking = finite_rows(member, "features").withColumn("of", F.coalesce(F.concat(F.lit("="), "sel"), F.lit(Guide.NONE))).drop("sel")
+    pivots = draw_pivots(known, sizes, "features", _cell_rows(k, block_rows))
+    found = guided_nearest(asking, known, k, _outside(k, "features"), _PLACES, "features", pivots, block_rows) if pivots else None
+    if found is None:
+        return None
+    name = F.when(F.col("of") != Guide.NONE, F.substring("of", 2, 1 << 30)).alias("sel")
+    return keep_nearest(found, k, ("of", "row_id")).select(name, "row_id", "neighbour", "dist", "rank")
+
+
 def silhouette(points: DataFrame, label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node_id, silhouette, n_points) with Euclidean distances over non-noise rows.
 

@@ -1,6 +1,7 @@
 """Blocked distance work against plain numpy, with blocks small enough to force every path."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,33 @@ def test_boundary_pool_sends_rows_once_for_all_selections(spark):
     for block_rows in (25, 4096):
         got = {(r.sel, r.row_id) for r in N.boundary_pool(frame(spark, x), sel, 4, block_rows).collect()}
         assert got == want
+
+
+def test_rows_visit_few_cells_and_lose_no_neighbour(spark):
+    """Cells of 16 rows: a row of a cluster visits cells of its own cluster only; rows without a place neither ask nor answer."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 30, (8, 3))[rng.integers(0, 8, 640)] + rng.normal(0, 1, (640, 3))
+    pivots = {"root": np.unique(x[::16], axis=0)}
+    d = BL.distances(x, pivots["root"])
+    cell, reach = d.argmin(axis=1), d.min(axis=1)
+    facts = [("root", int(c), [], int((cell == c).sum()), float(reach[cell == c].max()), np.sort(reach[cell == c])[:5].tolist()) for c in np.unique(cell)]
+    guide = BL.Guide(pivots, facts, 4, [BL.Guide.NONE])
+    asks = pd.DataFrame({"node_id": "root", "of": BL.Guide.NONE, "row_id": np.arange(640), "features": x.tolist()})
+    first = pd.concat(guide.first("features")([asks]))
+    near, order = brute_lists(x, 4)
+    kth = np.array([near[i, order[i][3]] for i in range(640)])
+    further = pd.concat(guide.others("features")([first.assign(within=kth)]))
+    visits = set(zip(first["row_id"], first["q_cell"])) | set(zip(further["row_id"], further["q_cell"]))
+    assert all((i, cell[j]) in visits for i in range(640) for j in order[i][:4])
+    assert len(visits) < 640 * len(facts) / 3
+
+    holed = x.tolist()
+    holed[5][1], holed[6][0] = None, float("nan")
+    rows = spark.createDataFrame([("root", i, v) for i, v in enumerate(holed)], "node_id string, row_id bigint, features array<double>")
+    got = {}
+    for r in N.knn(rows, 4, block_rows=64).collect():
+        got.setdefault(r.row_id, {})[r["rank"]] = r.neighbour
+    kept = [i for i in range(640) if i not in (5, 6)]
+    assert sorted(got) == kept
+    for i in kept:
+        assert [got[i][r] for r in range(1, 5)] == [j for j in sorted(kept, key=lambda j: (near[i, j], j)) if j != i][:4]
