@@ -175,7 +175,9 @@ def stability_sweep(
     """
     check_conditions(conditions)
     name = F.concat_ws("#", "sel", F.col("delta").cast("string"), F.col("rep").cast("string"))
-    marked = with_selections(background, perturbed, name)
+    # Every method and condition reads the rows several times, whatever it takes to make them.
+    background = hold(background.select("row_id", "sel", *features))
+    marked = hold(with_selections(background, perturbed, name))
     base_rows = background.withColumn("sel", F.col("sel"))
     parts = F.split("sel", "#")
     out = None

@@ -158,3 +158,20 @@ def test_partial_sums_are_handed_on_before_they_grow(monkeypatch):
             sums[key] = (old[0] + total[0], old[1] + count[0])
     assert max(sizes) <= 7 and len(sizes) > 1
     assert sums == {f"k{k}": (sum(range(k, 70, 7)), 10) for k in range(7)}
+
+
+def test_a_sweep_makes_its_rows_once(spark):
+    """Rows that cost something to make are made once, however many passes read them."""
+    from stratalens.operators.stability import stability_sweep
+
+    made = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        made.add(1)
+        return float(x % 17)
+
+    rows = spark.range(60).select(F.col("id").alias("row_id"), F.when(F.col("id") < 30, "a").otherwise("b").alias("sel"), F.udf(costly, "double")("id").alias("f"))
+    drawn = spark.range(60).where("id < 25").select(F.lit("a").alias("sel"), F.lit(0.1).alias("delta"), F.explode(F.array(F.lit(0), F.lit(1))).alias("rep"), F.col("id").alias("row_id"))
+    got = stability_sweep(rows, ["f"], drawn, [(1.0, "severity")], ("threshold",)).collect()
+    assert [(r.sel, r.method, r.jaccard_admitted) for r in got] == [("a", "threshold", 1.0)]
+    assert made.value == 60
