@@ -138,11 +138,12 @@ PARTS = [1, 2, 3]
 def parts(spark, sf):
     """(base, rep, t, split, feature, sel_min, sel_max, in_predicate) of three parts of every flag, and the rows."""
     names = [F.when(F.col("l_linenumber") != k, F.concat(F.col("l_returnflag"), F.lit(f"#{k}"))) for k in PARTS]
-    rows = spread_lines(spark, sf).withColumn("sel", F.array_compact(F.array(*names)))
+    # Ranges, signatures and patterns read them several times.
+    rows = hold(spread_lines(spark, sf).select("l_returnflag", *LINE_FEATURES, F.array_compact(F.array(*names)).alias("sel")))
     found = P.generate("db", rows, LINE_FEATURES, Q.FULL_CORE)
     split = F.split("sel", "#")
     preds = found.select(split[0].alias("base"), split[1].cast("int").alias("rep"), "t", "split", "feature", "sel_min", "sel_max", "in_predicate")
-    return hold(preds), spread_lines(spark, sf)
+    return hold(preds), rows.drop("sel")
 
 
 PARTS_CTE = f"""{Q.ranges_cte(Q.FULL_CORE, REP_SQL, 'part')}, pr as (select split_part(sel, '#', 1) as base, cast(split_part(sel, '#', 2) as int) as rep, t, split, feature, ix, sel_min, sel_max from ranges),
