@@ -179,6 +179,28 @@ def test_passage_whose_parts_stand_in_earlier_documents(spark):
     assert repeats_found(spark, texts) == {(51, 50)}
 
 
+def test_common_words_without_a_passage_meet_no_whole_part(spark, monkeypatch):
+    """Pairs grow with the documents, not with their square, and passages around the common words are found."""
+    line, pairs = names(0, 32).split(), []
+    kept = paragraph_dedup.stored
+
+    def told(df):
+        out = kept(df)
+        if out.columns == ["r", "l", "banded"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(paragraph_dedup, "stored", told)
+    # Some have a part of the line only, so that words of the line tell parts of a key from the key.
+    texts = [(i, f"{names(100 + i, 40)} {' '.join(line if i < 80 else line[:22])} {names(300 + i, 40)}") for i in range(84)]
+    for j in range(12):
+        words = [*line, *names(600 + j, 24).split()]
+        changed = [*words[: 33 + j], *["other"] * (j % 3), *words[33 + j + (j % 2) :]]
+        texts += [(100 + 2 * j, f"{names(700 + j, 30)} {' '.join(words)} {names(800 + j, 30)}"), (101 + 2 * j, f"{names(900 + j, 30)} {' '.join(changed)} {names(1000 + j, 30)}")]
+    assert repeats_found(spark, texts) == {(101 + 2 * j, 100 + 2 * j) for j in range(12)}
+    assert sum(pairs) < 12 * len(texts)
+
+
 def test_passages_of_repeated_phrases_are_found(spark):
     texts = []
     for period in range(1, 9):
