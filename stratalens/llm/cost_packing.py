@@ -84,7 +84,7 @@ class Encoder:
                 ids = self._ids(" ".join(letters))
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(letters):
-                    self._put(letters, ids, [0, *ends[:-1].tolist()], ends.tolist())
+                    self._put(letters, ids, [0, *ends.tolist()][: len(letters)], ends.tolist())
                 else:
                     part += letters
             joined = "".join(part)

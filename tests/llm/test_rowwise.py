@@ -236,6 +236,13 @@ def test_words_encode_like_whole_texts(word_model, monkeypatch):
         assert encoder.encode(part) == [np.array(word_model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
 
 
+def test_words_without_letters_are_learnt_alone(word_model):
+    with open(tokenizer("word_bpe_49k.json"), "rb") as f:
+        encoder = cost_packing.Encoder(f.read())
+    for text in ("all letters known", "all 1850 letters", "½ ... 12", "known", ""):  # the second and third bring no new word of letters
+        assert encoder.encode([text]) == [np.array(word_model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_packing_round_trip(spark, word_model):
     texts = [*awkward(), *[(100 + i, prose(i, 30 + 7 * i)) for i in range(40)], *[(200 + i, t) for i, t in enumerate(TRICKY)]]
     rows = cost_packing.pack(documents(spark, texts).repartition(3), tokenizer("word_bpe_49k.json")).collect()
