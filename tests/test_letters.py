@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from stratalens.catalog.inputs import LETTER_COLUMNS, letter_points, letter_rows
+from stratalens.operators import density as D
 from stratalens.operators import projection as PR
 
 
@@ -35,3 +36,13 @@ def test_documents_without_text_have_no_place(spark, folder):
 def test_documents_without_text_are_noise(spark, folder, query):
     labels = {r["row_id"]: r["label"] for r in entry.queries()[query](spark, folder).collect()}
     assert len(labels) == 60 and labels[3] == labels[4] == -1
+
+
+def test_rows_without_distances_are_no_pivots(spark):
+    rng = np.random.default_rng(6)
+    rows = [("n", i, [None, 0.0] if i % 3 == 0 else [float("nan"), 1.0] if i % 3 == 1 else [float(v) for v in rng.normal(0, 1, 2) + 8 * (i % 2)]) for i in range(240)]
+    points = spark.createDataFrame(rows, "node_id string, row_id long, features array<double>")
+    held = {r["row_id"]: r["label"] for r in D.dbscan(points, 1.0, 4, block_rows=8).collect()}
+    whole = {r["row_id"]: r["label"] for r in D.dbscan(points, 1.0, 4).collect()}
+    assert held == whole and len(held) == 240
+    assert all(held[i] == -1 for i in held if i % 3 < 2) and len({held[i] for i in held if i % 3 == 2} - {-1}) >= 2
