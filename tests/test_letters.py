@@ -46,3 +46,13 @@ def test_rows_without_distances_are_no_pivots(spark):
     whole = {r["row_id"]: r["label"] for r in D.dbscan(points, 1.0, 4).collect()}
     assert held == whole and len(held) == 240
     assert all(held[i] == -1 for i in held if i % 3 < 2) and len({held[i] for i in held if i % 3 == 2} - {-1}) >= 2
+
+
+def test_validity_takes_rows_without_distances_as_noise(spark):
+    rng = np.random.default_rng(7)
+    good = [("n", i, [float(v) for v in rng.normal(0, 1, 2) + 8 * (i % 2)], i % 2) for i in range(80)]
+    odd = [("n", 100, None, 0), ("n", 101, [None, 1.0], 1), ("n", 102, [float("nan"), 1.0], 1), ("n", 103, [1.0, 2.0], -1)]
+    schema = "node_id string, row_id long, features array<double>, label int"
+    alone = D.density_validity(spark.createDataFrame(good, schema)).first()
+    both = D.density_validity(spark.createDataFrame(good + odd, schema)).first()
+    assert both["dbcv"] == pytest.approx(alone["dbcv"] * 80 / 84) and (both["status"], both["n_clusters"]) == ("ok", 2)
